@@ -110,6 +110,8 @@ def context_links(contexts: DataFrame, share: float = NEAR) -> DataFrame:
     routed = materialize(contexts.mapInPandas(route, "shard int, ck long, train boolean, held boolean, part string"), "anchors")
 
     def scan(held: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
+        if held.empty or train.empty:
+            return pd.DataFrame({"ck_e": [], "ck_t": [], "covered": []}, dtype="int64")
         patterns: dict[str, list] = defaultdict(list)
         for ck, part in zip(held["ck"].tolist(), held["part"]):
             for w in part.split(" "):
@@ -117,7 +119,7 @@ def context_links(contexts: DataFrame, share: float = NEAR) -> DataFrame:
         a = automaton(patterns)
         e, t, n = [], [], []
         if a is not None:
-            for ck, part in zip(train["ck"].tolist(), train["part"]):
+            for ck, part in zip(train["ck_t"].tolist(), train["part_t"]):
                 found = coverage(a, part.split(" "))
                 e += found.keys()
                 n += found.values()
@@ -125,7 +127,7 @@ def context_links(contexts: DataFrame, share: float = NEAR) -> DataFrame:
         return pd.DataFrame({"ck_e": e, "ck_t": t, "covered": n}, dtype="int64")
 
     left = routed.where("held").select("shard", "ck", "part").groupBy("shard")
-    right = routed.where("train").select("shard", "ck", "part").groupBy("shard")
+    right = routed.where("train").select(F.col("shard").alias("shard_t"), F.col("ck").alias("ck_t"), F.col("part").alias("part_t")).groupBy("shard_t")
     pairs = left.cogroup(right).applyInPandas(scan, "ck_e long, ck_t long, covered long")
     pairs = pairs.groupBy("ck_e", "ck_t").agg(F.sum("covered").alias("covered"))
     texts = contexts.select("ck", "text")
@@ -141,6 +143,8 @@ def context_links(contexts: DataFrame, share: float = NEAR) -> DataFrame:
 
 def _scan_questions(share: float):
     def run(held: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
+        if held.empty or train.empty:
+            return pd.DataFrame({"ck_e": [], "qk_e": [], "ck_t": [], "qk_t": []}, dtype="int64")
         e, t = [words(x) for x in held["text"]], [words(x) for x in train["text"]]
         df = Counter(w for side in (e, t) for x in side for w in set(x))
         group = [(a, b) for a, b in zip(held["ck_e"].tolist(), held["block"].tolist())]

@@ -1,0 +1,41 @@
+"""Lengths in tokens of a public byte-level BPE, read from its file of ranks; nothing is trained here."""
+
+from __future__ import annotations
+
+import base64
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Where the vocabulary lies; every function that counts tokens takes another path.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how this vocabulary's texts are cut into pieces before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+_loaded: dict = {}
+
+
+def encoding(path: str = VOCABULARY):
+    """The encoder of a file of ranks, loaded once for a process."""
+    if path not in _loaded:
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _loaded[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _loaded[path]
+
+
+def count_tokens(df: DataFrame, keep: list[str], texts: Column, path: str = VOCABULARY) -> DataFrame:
+    """The columns ``keep`` and ``tokens``, the sum over ``texts``, an array of strings; nulls count nothing."""
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", tokens long"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoding(path).encode_ordinary
+        for pdf in batches:
+            n = [0 if t is None else sum(len(encode(x)) for x in t if x) for t in pdf["_texts"]]
+            yield pdf[keep].assign(tokens=pd.Series(n, index=pdf.index, dtype="int64"))
+
+    return df.select(*keep, texts.alias("_texts")).mapInPandas(run, schema)
