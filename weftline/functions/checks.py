@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import count_listed, count_matches, letter_count, lines, rhymes, rot13, sentences, stamp_millis, strip, syllables, tokens, word_count, words_of
+from .text import count_listed, count_matches, let, letter_count, lines, rhymes, rot13, sentences, stamp_millis, strip, syllables, tokens, word_count, words_of
 
 CHECKS: dict[str, Callable[..., Column]] = {}
 
@@ -271,22 +271,28 @@ def syllable_pattern_5_7_5(x: Column) -> Column:
 def consecutive_pairs_rhyme(x: Column) -> Column:
     """Of the pairs of lines (1, 2), (3, 4) ... three fifths or more rhyme; false with fewer than two lines."""
     last = F.transform(lines(x), lambda s: F.coalesce(F.lower(F.try_element_at(_letters(s), F.lit(-1))), F.lit("")))
-    pairs = F.floor(F.size(last) / 2).cast("int")
-    good = F.size(F.filter(F.sequence(F.lit(1), F.greatest(pairs, F.lit(1))), lambda i: F.coalesce(rhymes(F.get(last, 2 * i - 2), F.get(last, 2 * i - 1)), F.lit(False))))
-    return (pairs > 0) & (good * 5 >= pairs * 3)
+
+    def enough(last: Column) -> Column:
+        pairs = F.floor(F.size(last) / 2).cast("int")
+        good = F.size(F.filter(F.sequence(F.lit(1), F.greatest(pairs, F.lit(1))), lambda i: F.coalesce(rhymes(F.get(last, 2 * i - 2), F.get(last, 2 * i - 1)), F.lit(False))))
+        return (pairs > 0) & (good * 5 >= pairs * 3)
+
+    return let(last, enough)
 
 
 @check
 def alliterative_sentences(x: Column) -> Column:
     """In seven of ten sentences or more, three fifths of three or more major words begin with the same letter."""
-    s = sentences(x)
 
     def good(t: Column) -> Column:
         first = F.transform(F.filter(_letters(t), lambda w: (F.length(w) > 1) & ~F.lower(w).isin(ALLITERATION_SKIP.split())), lambda w: F.lower(F.substring(w, 1, 1)))
+        return let(first, same)
+
+    def same(first: Column) -> Column:
         most = F.array_max(F.transform(F.array_distinct(first), lambda c: F.size(F.filter(first, lambda d: d == c))))
         return (F.size(first) >= 3) & (most * 5 >= F.size(first) * 3)
 
-    return F.size(F.filter(s, good)) * 10 >= F.size(s) * 7
+    return let(sentences(x), lambda s: F.size(F.filter(s, good)) * 10 >= F.size(s) * 7)
 
 
 @check
@@ -309,8 +315,11 @@ _plain("every_line_has_log_level", lambda x: F.forall(lines(x), lambda s: F.rlik
 def timestamps_sequential(x: Column) -> Column:
     """The stamps of lines that have one increase strictly; false with fewer than two."""
     t = F.filter(F.transform(lines(x), lambda s: stamp_millis(strip(s))), lambda m: m.isNotNull())
-    rising = F.forall(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.coalesce(F.get(t, i - 1) < F.get(t, i), F.lit(True)))
-    return (F.size(t) >= 2) & rising
+
+    def rising(t: Column) -> Column:
+        return (F.size(t) >= 2) & F.forall(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.coalesce(F.get(t, i - 1) < F.get(t, i), F.lit(True)))
+
+    return let(t, rising)
 
 
 _plain("has_classification_line", lambda x: F.regexp_extract(x, r"(?U)CLASSIFICATION:\s*(\w+)", 1).isin(CLASSIFICATIONS.split()))

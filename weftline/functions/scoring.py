@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .text import answer_tokens, normalize_answer, strip
+from .text import answer_tokens, let, let2, normalize_answer, strip
 
 # --- answers ---
 
@@ -36,16 +37,39 @@ def harmonic(common: Column, a: Column, b: Column) -> Column:
 
 def token_f1(gold: Column, said: Column) -> Column:
     """Token F1; if either side has no words, 1 if neither has, else 0."""
-    g, p = answer_tokens(gold), answer_tokens(said)
-    return F.when((F.size(g) == 0) | (F.size(p) == 0), (F.size(g) == F.size(p)).cast("double")).otherwise(harmonic(bag_overlap(g, p), F.size(g), F.size(p)))
+
+    def f1(g: Column, p: Column) -> Column:
+        return F.when((F.size(g) == 0) | (F.size(p) == 0), (F.size(g) == F.size(p)).cast("double")).otherwise(_f1(g, p))
+
+    return let2(answer_tokens(gold), answer_tokens(said), f1)
+
+
+def _f1(g: Column, p: Column) -> Column:
+    return let(bag_overlap(g, p), lambda common: harmonic(common, F.size(g), F.size(p)))
 
 
 def strict_f1(gold: Column, said: Column) -> Column:
     """Token F1 for multi-hop answers: yes, no and noanswer must be met exactly, and two empty sides have 0."""
-    ng, np_ = [normalize_answer(F.coalesce(x, F.lit(""))) for x in (gold, said)]
-    closed = (ng.isin("yes", "no", "noanswer") | np_.isin("yes", "no", "noanswer")) & (ng != np_)
-    g, p = answer_tokens(gold), answer_tokens(said)
-    return F.when(closed, F.lit(0.0)).otherwise(harmonic(bag_overlap(g, p), F.size(g), F.size(p)))
+
+    def f1(g: Column, p: Column) -> Column:
+        one = lambda x: (F.size(x) == 1) & F.get(x, 0).isin("yes", "no", "noanswer")
+        return F.when((one(g) | one(p)) & (g != p), F.lit(0.0)).otherwise(_f1(g, p))
+
+    return let2(answer_tokens(gold), answer_tokens(said), f1)
+
+
+def token_f1_rows(df: DataFrame, key: str, gold: str, said: str) -> DataFrame:
+    """(key, f1) for long texts: the same as ``token_f1``, with words as rows, counted and joined, in place of arrays
+    compared within a row. Keys must be unique."""
+    base = df.select(F.col(key), answer_tokens(F.col(gold)).alias("g"), answer_tokens(F.col(said)).alias("p"))
+
+    def counts(side: str, name: str) -> DataFrame:
+        return base.select(key, F.explode(side).alias("w")).groupBy(key, "w").agg(F.count("*").alias(name))
+
+    common = counts("g", "ng").join(counts("p", "np"), [key, "w"]).groupBy(key).agg(F.sum(F.least("ng", "np")).alias("common"))
+    sizes = base.select(key, F.size("g").alias("g"), F.size("p").alias("p")).join(common, key, "left")
+    n = F.coalesce("common", F.lit(0))
+    return sizes.select(key, F.when((F.col("g") == 0) | (F.col("p") == 0), (F.col("g") == F.col("p")).cast("double")).otherwise(harmonic(n, F.col("g"), F.col("p"))).alias("f1"))
 
 
 def best_over(golds: Column, said: Column, metric) -> Column:
@@ -72,7 +96,10 @@ def answer_list(truth: Column) -> Column:
 
 def fact_scores(said: Column, gold: Column) -> Column:
     """(precision, recall, f1, em) of two sets of facts; repeated facts count once."""
-    p, g = F.array_distinct(said), F.array_distinct(gold)
+    return let2(F.array_distinct(said), F.array_distinct(gold), _fact_scores)
+
+
+def _fact_scores(p: Column, g: Column) -> Column:
     tp = F.size(F.array_intersect(p, g))
     zero = lambda n, d: F.when(d > 0, n / d).otherwise(F.lit(0.0))
     return F.struct(
@@ -84,7 +111,7 @@ def fact_scores(said: Column, gold: Column) -> Column:
 # --- similarity of two responses ---
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _sequence_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([None if x is None or y is None else 0.0 if not x and not y else 1.0 - SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
@@ -104,9 +131,11 @@ def char_trigrams(x: Column) -> Column:
 
 def trigram_jaccard(a: Column, b: Column) -> Column:
     """The share of trigrams in common; 1 for two empty texts, 0 for one."""
-    x, y = char_trigrams(a), char_trigrams(b)
-    both = F.size(F.array_intersect(x, y))
-    return F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(1.0)).otherwise(both / (F.size(x) + F.size(y) - both))
+
+    def share(x: Column, y: Column) -> Column:
+        return let(F.size(F.array_intersect(x, y)), lambda both: F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(1.0)).otherwise(both / (F.size(x) + F.size(y) - both)))
+
+    return let2(char_trigrams(a), char_trigrams(b), share)
 
 
 def difficulty_weight(edit: Column, jaccard: Column) -> Column:

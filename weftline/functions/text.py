@@ -3,6 +3,8 @@ says otherwise. Indices count code points."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,16 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ROT = _UPPER[13:] + _UPPER[:13]
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. A lambda evaluates what it captures for each element, so whatever is
+    costly and used within one, or more than once, is bound this way first."""
+    return F.get(F.transform(F.array(x), body), 0)
+
+
+def let2(x: Column, y: Column, body: Callable[[Column, Column], Column]) -> Column:
+    return let(F.struct(x.alias("x"), y.alias("y")), lambda v: body(v["x"], v["y"]))
+
+
 def strip(x: Column) -> Column:
     """The text without white space of any script at either end (``trim`` knows the blank only)."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -91,7 +103,10 @@ def count_listed(x: Column, listed: list[str]) -> Column:
 
 def syllables(word: Column) -> Column:
     """An estimate for a word: groups of vowels, less one for a silent final e (not le), one at least, none if empty."""
-    w = F.regexp_replace(F.lower(word), "[^a-z]", "")
+    return let(F.regexp_replace(F.lower(word), "[^a-z]", ""), _syllables)
+
+
+def _syllables(w: Column) -> Column:
     groups = F.size(F.regexp_extract_all(w, F.lit("[aeiouy]+"), F.lit(0)))
     silent = w.endswith("e") & ~w.endswith("le") & (groups > 1)
     return F.when(w == "", 0).otherwise(F.greatest(F.lit(1), groups - silent.cast("int")))
@@ -133,22 +148,27 @@ def length_ratio(a: Column, b: Column) -> Column:
 def prefix_match(ref: Column, hyp: Column) -> Column:
     """The share of ref, an array, up to the first element in which hyp differs; 1 for an empty ref, null for a
     ref longer than 0 without hyp. What ref has beyond hyp counts as different."""
-    same = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ref), F.lit(1))), lambda i: F.coalesce(F.get(ref, i - 1) == F.get(hyp, i - 1), F.lit(False)))
-    first = F.array_position(same, False)
-    n = F.size(ref)
-    return F.when(n == 0, F.lit(1.0)).when(hyp.isNotNull(), F.when(first == 0, n).otherwise(first - 1) / n)
+
+    def ratio(r: Column, h: Column) -> Column:
+        same = F.transform(F.sequence(F.lit(1), F.greatest(F.size(r), F.lit(1))), lambda i: F.coalesce(F.get(r, i - 1) == F.get(h, i - 1), F.lit(False)))
+        n = F.size(r)
+        return let(F.array_position(same, False), lambda first: F.when(n == 0, F.lit(1.0)).when(h.isNotNull(), F.when(first == 0, n).otherwise(first - 1) / n))
+
+    return let2(ref, hyp, ratio)
 
 
 def completion(x: Column, ratio: Column) -> Column:
     """(prompt, rest): the words up to a ratio of them and the others, neither empty; a text of fewer than two words
     has itself, or "text" if blank, and "Nothing to complete."."""
-    w = tokens(x)
-    n = F.size(w)
-    cut = F.least(F.greatest(F.floor(n * ratio).cast("int"), F.lit(1)), n - 1)
-    short = F.struct(F.lit("text").alias("prompt"), F.lit("Nothing to complete.").alias("rest"))
-    return F.when(n < 2, short).otherwise(
-        F.struct(F.array_join(F.slice(w, F.lit(1), cut), " ").alias("prompt"), F.array_join(F.slice(w, cut + 1, F.greatest(n - cut, F.lit(1))), " ").alias("rest"))
-    )
+
+    def parts(w: Column) -> Column:
+        n = F.size(w)
+        cut = F.least(F.greatest(F.floor(n * ratio).cast("int"), F.lit(1)), n - 1)
+        short = F.struct(F.when(n == 0, F.lit("text")).otherwise(F.array_join(w, " ")).alias("prompt"), F.lit("Nothing to complete.").alias("rest"))
+        long = F.struct(F.array_join(F.slice(w, F.lit(1), cut), " ").alias("prompt"), F.array_join(F.slice(w, cut + 1, F.greatest(n - cut, F.lit(1))), " ").alias("rest"))
+        return F.when(n < 2, short).otherwise(long)
+
+    return let(tokens(x), parts)
 
 
 def file_name(x: Column) -> Column:
