@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import capitalize_first, strip, word_count
 from .chat import conversation
-from .relations import seeded
+from .relations import ranked, seeded
 
 MAX_CONTEXT, MAX_TOTAL, MAX_TURN = 2048, 512, 128
 
@@ -144,16 +144,6 @@ def with_other_contexts(df: DataFrame, context: str, num: int, pos: str, seed: i
     return df.join(joined.drop("_own"), df[pos] == F.col("_p"), "left").withColumn(context, F.coalesce("_ctx", F.col(context))).select(*df.columns)
 
 
-def ranked(df: DataFrame, order: Column, name: str) -> DataFrame:
-    """``df`` with its place from 0 in an order, without sorting in one task: a range partitioning, and each
-    partition's places counted on from the sizes of those before it."""
-    keyed = df.withColumn("_k", order).repartitionByRange("_k").sortWithinPartitions("_k").withColumn("_i", F.monotonically_increasing_id())
-    part = F.shiftright("_i", 33)
-    sizes = keyed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return keyed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).drop("_k", "_i", "_part", "_before")
-
-
 def finish(df: DataFrame, tok: Callable[[Column], Column], dataset: str | None = None) -> DataFrame:
     """(dataset, contextlen, conversationlen, context, conversations): lengths by ``tok``, taken before the first
     letters of contexts and contents become capitals."""

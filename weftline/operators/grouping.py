@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chat import CHAT_OVERHEAD
-from .corpus import ranked
-from .relations import seeded
+from .relations import ranked, seeded
 
 OPEN_BINS = 100
 

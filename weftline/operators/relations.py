@@ -9,12 +9,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import materialize
+
 
 def seeded(key: Column, seed: int) -> Column:
     """A text by which rows are shuffled: the same key and seed give the same place everywhere."""
     return F.md5(F.concat(key.cast("string"), F.lit(f"#{seed}")))
 
 
+def ranked(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """``df`` with its place from 0 in an order of unique values, without sorting in one task: a range partitioning,
+    and each partition's places counted on from the sizes of those before it. Written to the shared folder first, so
+    both looks at it see the same partitions."""
+    keyed = materialize(df.withColumn("_k", order).repartitionByRange("_k").sortWithinPartitions("_k").withColumn("_i", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_i", 33)
+    sizes = keyed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return keyed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).drop("_k", "_i", "_part", "_before")
+
+
 def last_wins(df: DataFrame, keys: list[str], pos: Column) -> DataFrame:
     """The row of highest ``pos`` for each key, the rest left out. Pre-aggregates before the shuffle, so a hot key
     costs no more than others; of equal positions any one row stays. Rows whose keys are null count as one key."""
@@ -83,16 +96,17 @@ def group_split(df: DataFrame, group: str, eval_ratio: float, test_ratio: float,
     counts = groups.agg(F.count("*").alias("n")).select(
         F.greatest(F.lit(1), F.bround(F.col("n") * test_ratio)).cast("long").alias("n_test"), F.greatest(F.lit(1), F.bround(F.col("n") * eval_ratio)).cast("long").alias("n_eval")
     )
-    ranked = groups.withColumn("_rank", F.row_number().over(W.orderBy(seeded(F.col(group), seed), group)))
-    sides = ranked.join(F.broadcast(counts)).select(  # counts is one row
+    placed = ranked(groups, F.struct(seeded(F.col(group), seed), F.col(group)), "_place").withColumn("_rank", F.col("_place") + 1)
+    sides = placed.join(F.broadcast(counts)).select(  # counts is one row
         group, F.when(F.col("_rank") <= F.col("n_test"), "test").when(F.col("_rank") <= F.col("n_test") + F.col("n_eval"), "eval").otherwise("train").alias("split")
     )
     return df.join(sides, group, "left").withColumn("split", F.coalesce("split", F.lit("train"))).select(*df.columns, "split")
 
 
 def numbered(df: DataFrame, order: list[str], form: str, column: str = "number", start: int = 0) -> DataFrame:
-    """``df`` with ids of a format like sp_%05d, in order; number before any filter, and gaps stay where rows go."""
-    return df.withColumn(column, F.format_string(form, F.row_number().over(W.orderBy(*order)) + (start - 1)))
+    """``df`` with ids of a format like sp_%05d, in an order of unique values; number before any filter, and gaps stay
+    where rows go."""
+    return ranked(df, F.struct(*order), "_place").withColumn(column, F.format_string(form, F.col("_place") + start)).drop("_place")
 
 
 def latest(df: DataFrame, pos: str, n: int = 100) -> DataFrame:

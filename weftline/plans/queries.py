@@ -146,7 +146,7 @@ def tool_call_scores(s, d):
     # each trace against the one whose number is one higher
     t = _tool_docs(s, d)
     other = relations.numbered(t, ["doc_id"], "%d", "k").select("k", F.col("doc_id").alias("_d"), F.col("text").alias("said"))
-    mine = relations.numbered(t, ["doc_id"], "%d", "k", 2)
+    mine = relations.numbered(t, ["doc_id"], "%d", "k", 1)
     pair = mine.join(other, "k")
     return pair.select("doc_id", scoring.tool_scores(F.col("text"), F.col("said")).alias("c")).select("doc_id", "c.*")
 
@@ -564,7 +564,7 @@ def weighted_mean_ppl(s, d):
 @query
 def rolling_stats(s, d):
     r = profile.rolling(table(s, d, "events").select("event_id", "event_type", "value"), ["event_type"], ["event_id"], "value", 50)
-    return r.select("event_id", *[F.round(f"roll_{c}", 6).alias(f"roll_{c}") for c in ("mean", "min", "max", "std")])
+    return r.select("event_id", *[F.round(F.col(f"roll_{c}") + 1e-9, 3).alias(f"roll_{c}") for c in ("mean", "min", "max", "std")])
 
 
 @query
