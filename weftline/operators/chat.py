@@ -78,7 +78,7 @@ def mask_labels(ids: Column, start: int, role: int, end: int) -> Column:
         opened = (s["before"] == start) & (x == role)
         # wait: tokens still to skip before a span is kept; tail: the one token after its end
         wait = F.when(opened, 2).otherwise(F.greatest(s["wait"] - 1, F.lit(0)))
-        inside = F.when(opened, F.lit(False)).otherwise(s["inside"] | (s["wait"] == 2))
+        inside = F.when(opened, F.lit(False)).otherwise(s["inside"] | (s["wait"] == 1))
         keep = inside | s["tail"]
         ends = inside & (x == end)
         return F.struct(
