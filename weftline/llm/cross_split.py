@@ -3,18 +3,21 @@
 A record is a context with a question. An evaluation record overlaps a training record if their contexts are nearly
 the same and their questions are (``words.near_same``: four fifths of the words of the longer one, in any order).
 
-Passages are normalised to words. Two passages share four fifths of the longer one only if, in any order of words
-common to both, they share one of the first n - ceil(0.8 n) + 1 of each (``words.prefix_length``); ordered from rare to
-common, these are a passage's anchors. The anchors of evaluation passages are the patterns of automata, which scan the
-texts of the training side; the matched intervals are merged into how much of each evaluation passage is covered, and
-what is covered at all is compared exactly. No overlap is lost before that comparison.
-
-1. Contexts. Equal contexts are taken once. Words are routed to shards by their hash, each with an automaton over its
-   own anchors, so no automaton outgrows a task and no text is sent to a shard that can't match it. Coverage is added
-   up over shards.
+The patterns of automata are taken from evaluation passages so that every overlapping training text must hold one,
+the automata scan the training side, the matched intervals are merged into how much of each evaluation passage is
+covered, and what is covered at all is compared exactly. No overlap is lost before that comparison.
+
+1. Contexts. Equal contexts are taken once. A context is normalised to its words from rare to common, each occurrence
+   a word of its own, and from these to phrases: the first d + (k - 1) m + 1 words, d being how many may be missing,
+   are thrown into m cells by a hash, and each k words of a cell are a phrase. Two contexts that share four fifths of
+   the longer one share (k - 1) m + 1 of those words, so some cell holds k of them and the phrase of these k stands in
+   both. Unlike single words, phrases of four rare words are shared by hardly anything else, so candidates don't grow
+   with the square of the contexts. Phrases are routed to shards by their hash; each shard has an automaton over its
+   own phrases, so no automaton outgrows a task and no text is sent to a shard that can't match it.
 2. Questions. Within each pair of nearly same contexts, an automaton over the evaluation questions scans the training
-   questions. Contexts are spread over shards; one with very many evaluation questions is cut into blocks of
-   ``BLOCK`` questions, each scanned by the training questions of that context.
+   questions; its patterns are a question's rarest words, one more than may be missing. Contexts are spread over
+   shards; one with very many evaluation questions is cut into blocks of ``BLOCK`` questions, each scanned by the
+   training questions of that context.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import ahocorasick
 import numpy as np
@@ -33,7 +37,8 @@ from ..session import materialize
 from .words import NEAR, Hashes, near_same, prefix_length, words
 
 COUNT_BITS = 18
-SHARD_WORDS = 400_000
+PHRASE = 4
+SHARD_WORDS = 100_000
 SHARD_ROWS = 30_000
 BLOCK = 4_000
 
@@ -59,8 +64,39 @@ def anchors(w: list[str], rank, share: float = NEAR) -> list[str]:
     return list(dict.fromkeys(order[: prefix_length(len(w), share)]))
 
 
+def shape(n: int, share: float) -> tuple[int, int]:
+    """(cells, words of a phrase) for a pair of passages of which the longer has n words."""
+    need = math.ceil(share * n - 1e-9)
+    k = min(PHRASE, need)
+    m = 1 << max(0, math.ceil(math.log2(max(1, (n - need) / 4))))
+    return (m, k) if (k - 1) * m + 1 <= need else (1, k)
+
+
+def phrases(w: list[str], rarity, hashes: Hashes, share: float = NEAR) -> set[int]:
+    """The phrases of a passage, as hashes, for every length that a longer passage nearly the same may have."""
+    if not w:
+        return set()
+    seen: Counter = Counter()
+    order = []
+    for x in w:
+        h = hashes[x]
+        order.append((rarity(h), h, seen[h]))
+        seen[h] += 1
+    order.sort()
+    ids = [(h + k * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF for _, h, k in order]
+    n = len(ids)
+    out: set[int] = set()
+    for m, k in {shape(x, share) for x in range(n, math.floor(n / share + 1e-9) + 1)}:
+        cells: dict[int, list[int]] = defaultdict(list)
+        for e in ids[: min(n, n - math.ceil(share * n - 1e-9) + (k - 1) * m + 1)]:
+            cells[(e >> 32) % m].append(e)
+        for cell in cells.values():
+            out.update(hash((m, *c)) & 0xFFFFFFFFFFFFFFFF for c in combinations(sorted(cell), k))
+    return out
+
+
 def automaton(patterns: dict[str, list]) -> ahocorasick.Automaton | None:
-    """An automaton over whole words; the value of a word is what ``patterns`` has for it."""
+    """An automaton over whole words or phrases; the value of each is what ``patterns`` has for it."""
     if not patterns:
         return None
     a = ahocorasick.Automaton()
@@ -71,7 +107,7 @@ def automaton(patterns: dict[str, list]) -> ahocorasick.Automaton | None:
 
 
 def coverage(a: ahocorasick.Automaton, w: list[str]) -> dict:
-    """passage -> how many of its anchors the text holds, over merged intervals (a word counts where it first stands)."""
+    """passage -> how many of its patterns the text holds, over merged intervals (each counts where it first stands)."""
     covered: dict = defaultdict(int)
     for _, passages in a.iter(f" {' '.join(dict.fromkeys(w))} "):
         for p in passages:
@@ -101,33 +137,32 @@ def context_links(contexts: DataFrame, share: float = NEAR) -> DataFrame:
             rows = []
             for ck, text, train, held in zip(pdf["ck"], pdf["text"], pdf["train"], pdf["held"]):
                 by: dict[int, list[str]] = defaultdict(list)
-                for w in anchors(words(text), lambda w: (counts[_slot(hashes[w])], hashes[w]), share):
-                    by[hashes[w] % shards].append(w)
+                w = words(text)
+                for p in phrases(w, lambda h: counts[_slot(h)], hashes, share):
+                    by[p % shards].append(f"{p:x}")
                 for shard, some in by.items():
-                    rows.append((shard, ck, bool(train), bool(held), " ".join(some)))
-            yield pd.DataFrame(rows, columns=["shard", "ck", "train", "held", "part"])
+                    rows.append((shard, ck, len(w), bool(train), bool(held), " ".join(some)))
+            yield pd.DataFrame(rows, columns=["shard", "ck", "n", "train", "held", "part"])
 
-    routed = materialize(contexts.mapInPandas(route, "shard int, ck long, train boolean, held boolean, part string"), "anchors")
+    routed = materialize(contexts.mapInPandas(route, "shard int, ck long, n int, train boolean, held boolean, part string"), "anchors")
 
     def scan(held: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
         if held.empty or train.empty:
             return pd.DataFrame({"ck_e": [], "ck_t": [], "covered": []}, dtype="int64")
         patterns: dict[str, list] = defaultdict(list)
-        for ck, part in zip(held["ck"].tolist(), held["part"]):
+        for e, part in zip(zip(held["ck"].tolist(), held["n"].tolist()), held["part"]):
             for w in part.split(" "):
-                patterns[w].append(ck)
+                patterns[w].append(e)
         a = automaton(patterns)
-        e, t, n = [], [], []
+        rows = []
         if a is not None:
-            for ck, part in zip(train["ck_t"].tolist(), train["part_t"]):
-                found = coverage(a, part.split(" "))
-                e += found.keys()
-                n += found.values()
-                t += [ck] * len(found)
-        return pd.DataFrame({"ck_e": e, "ck_t": t, "covered": n}, dtype="int64")
-
-    left = routed.where("held").select("shard", "ck", "part").groupBy("shard")
-    right = routed.where("train").select(F.col("shard").alias("shard_t"), F.col("ck").alias("ck_t"), F.col("part").alias("part_t")).groupBy("shard_t")
+            for ck, n, part in zip(train["ck_t"].tolist(), train["n_t"].tolist(), train["part_t"]):
+                # passages that differ too much in length can't be nearly the same
+                rows += [(e, ck, c) for (e, m), c in coverage(a, part.split(" ")).items() if min(m, n) >= share * max(m, n) - 1e-9]
+        return pd.DataFrame(rows, columns=["ck_e", "ck_t", "covered"], dtype="int64")
+
+    left = routed.where("held").select("shard", "ck", "n", "part").groupBy("shard")
+    right = routed.where("train").select(F.col("shard").alias("shard_t"), F.col("ck").alias("ck_t"), F.col("n").alias("n_t"), F.col("part").alias("part_t")).groupBy("shard_t")
     pairs = left.cogroup(right).applyInPandas(scan, "ck_e long, ck_t long, covered long")
     pairs = pairs.groupBy("ck_e", "ck_t").agg(F.sum("covered").alias("covered"))
     texts = contexts.select("ck", "text")
