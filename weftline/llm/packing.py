@@ -174,6 +174,9 @@ def _round(pieces: DataFrame, capacity: int, seed: int, shards: int, name: str,
     state = pieces.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "id", "piece", "tokens", F.lit(0).alias("origin"), F.lit(0).alias("rank"), F.lit(-1).alias("bin"))
     schema = f"shard int, island int, {_PIECE}, origin int, rank int, bin int, fitness double"
     for epoch in range(epochs):
+        # few bytes and much work: as many partitions as keep all cores busy, which a number given here fixes
+        tasks = min(shards * islands, max(2 * pieces.sparkSession.sparkContext.defaultParallelism, shards * islands // 8))
+        state = state.repartition(tasks, "shard", "island")
         state = materialize(state.groupBy("shard", "island").applyInPandas(_islands(capacity, seed + epoch), schema), "islands")
         if epoch + 1 < epochs:
             # everyone stays, and the best of each island also goes to the next one
