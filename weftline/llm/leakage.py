@@ -37,7 +37,7 @@ BLOCK_WORDS = 2_000_000
 CHUNK_WORDS = 150_000
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _BREAK = re.compile(r"[-‐‑][ \t]*\r?\n")
-_HYPHEN = re.compile(r"(\w+)[-‐‑][ \t]*\r?\n\s*(\w+)")
+_HYPHEN = re.compile(r"(?<!\w)(\w++)[-‐‑][ \t]*\r?\n\s*(\w+)")
 
 
 class Index:
