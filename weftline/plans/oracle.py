@@ -270,6 +270,20 @@ def oracle_sql() -> dict[str, str]:
     q["widened_responses"] = "SELECT question_id, max(CASE WHEN l = 'big' THEN t END) AS big, max(CASE WHEN l = 'small' THEN t END) AS small FROM (SELECT question_id, 'big' AS l, output_tokens AS t FROM responses_32b UNION ALL SELECT question_id, 'small', output_tokens FROM responses_8b) GROUP BY 1"
     q["matched_results"] = "SELECT CASE WHEN item_id % 3 > 0 THEN item_id ELSE item_id + 10000 END AS id, item_id - 1 AS pos, item_id AS entry_id, suite FROM benchmark"
 
+    cap = lambda x: f"CASE WHEN {x} = '' OR {x}[1] != lower({x}[1]) THEN {x} ELSE concat(upper({x}[1]), {x}[2:]) END"
+    sa, sb = strip("coalesce(answer, '')"), strip("coalesce(answer_8b, '')")
+    q["span_questions"] = f"SELECT md5({strip('context')}) AS context, md5({strip('question')}) AS question, md5(concat({cap('a')}, '|', {cap('b')})) AS answers FROM (SELECT *, {sa} AS a, {sb} AS b FROM split_examples)"
+    q["dialogue_arrays"] = f"SELECT turns, count(*) AS n, sum(2 * turns)::BIGINT AS messages FROM (SELECT i.item_id, count(p.pos)::INT AS turns FROM ift_data_pwc i LEFT JOIN {PAIRS} p USING (item_id) WHERE {GOOD} GROUP BY 1) GROUP BY 1"
+    q["answer_variants"] = "SELECT example_id, 0 AS variant, length(answer) AS chars FROM split_examples UNION ALL SELECT example_id, 1, length(answer_8b) FROM split_examples"
+    q["distill_rows"] = "SELECT coalesce(difficulty_weight, 1.0) = 1.0 AS is_default, count(*) AS n, round(sum(coalesce(difficulty_weight, 1.0)), 3) AS weight FROM split_examples GROUP BY 1"
+    q["adversarial_rows"] = "SELECT printf('adv_%03d', item_id) AS question_id, printf('sp_ADV%02d', item_id) AS system_prompt_id, 'adversarial' AS category, 'on_topic' AS question_type, 3.0::DOUBLE AS difficulty_weight, suite AS question FROM benchmark"
+    q["method_texts"] = "SELECT example_id, 'teacher' AS method, md5(coalesce(answer, '')) AS text FROM split_examples UNION ALL SELECT example_id, 'small', md5(answer_8b) FROM split_examples WHERE answer_8b IS NOT NULL UNION ALL SELECT example_id, 'echo', md5(question) FROM split_examples WHERE question IS NOT NULL"
+    q["work_items"] = f"SELECT DISTINCT q.question_id, q.system_prompt_id, md5(s.system_prompt) AS system_prompt FROM {QUESTIONS} q JOIN {sp} s ON q.system_prompt_id = s.id"
+    q["group_members"] = "SELECT doc_id, count(*) OVER (PARTITION BY text) AS n, min(doc_id) OVER (PARTITION BY text) AS first FROM documents"
+    q["id_set_operations"] = "WITH a AS (SELECT question_id AS k FROM responses_32b WHERE question_id IS NOT NULL), b AS (SELECT question_id AS k FROM responses_8b WHERE question_id IS NOT NULL) SELECT 'both' AS part, count(*) AS n, min(k) AS first FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'only_a', count(*), min(k) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'only_b', count(*), min(k) FROM (SELECT k FROM b EXCEPT SELECT k FROM a) UNION ALL SELECT 'all', count(*), min(k) FROM (SELECT k FROM a UNION ALL SELECT k FROM b)"
+    q["finite_values"] = "SELECT event_id, CASE WHEN event_id % 7 != 0 AND event_id % 11 != 0 THEN round(value, 4) END AS value FROM events"
+    q["positions"] = "SELECT * FROM (SELECT item_id, suite FROM benchmark WHERE item_id >= 10 ORDER BY item_id LIMIT 5) UNION ALL SELECT item_id, suite FROM benchmark WHERE item_id IN (3, 299)"
+
     q["random_context_groups"] = f"""WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY {seeded('doc_id', 3)}) AS place FROM documents), g AS (SELECT greatest(1, ceil(sum({words(t)}) / 2000.0::DOUBLE))::BIGINT AS g, count(*) AS n FROM documents)
         SELECT doc_id, CASE WHEN n // g = 0 THEN place - 1 WHEN place - 1 < (n % g) * (n // g + 1) THEN (place - 1) // (n // g + 1) ELSE n % g + (place - 1 - (n % g) * (n // g + 1)) // (n // g) END AS group_id FROM d, g"""
     q["length_buckets"] = f"SELECT ceil({words(t)} / 100.0::DOUBLE)::INT AS bucket, count(*) AS n FROM documents GROUP BY 1"

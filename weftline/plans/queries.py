@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks, scoring, text
-from ..operators import chat, corpus, curate, grouping, profile, relations
+from ..operators import chat, corpus, curate, grouping, profile, projections, relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -506,6 +506,80 @@ def matched_results(s, d):
     return m.select("id", "pos", F.col("entry.id").alias("entry_id"), F.col("entry.suite").alias("suite"))
 
 
+# --- projections ---
+
+
+@query
+def span_questions(s, d):
+    p = projections.span_question(table(s, d, "split_examples").withColumn("answers", F.array(F.coalesce("answer", F.lit("")), F.coalesce("answer_8b", F.lit("")))), "context", "question", "answers")
+    return p.select(F.md5("context").alias("context"), F.md5("question").alias("question"), F.md5(F.concat_ws("|", "answers")).alias("answers"))
+
+
+@query
+def dialogue_arrays(s, d):
+    p = projections.dialogue_projection(_pwc_pairs(s, d), "context", "pairs")
+    return p.groupBy(F.size("questions").alias("turns")).agg(F.count("*").alias("n"), F.sum(F.size("conversations")).alias("messages"))
+
+
+@query
+def answer_variants(s, d):
+    v = projections.variants(table(s, d, "split_examples"), ["example_id"], ["answer", "answer_8b"])
+    return v.select("example_id", "variant", F.length("conversation").alias("chars"))
+
+
+@query
+def distill_rows(s, d):
+    r = projections.distill_rows(table(s, d, "split_examples"))
+    return r.groupBy(F.col("difficulty_weight") == 1.0).agg(F.count("*").alias("n"), F.round(F.sum("difficulty_weight"), 3).alias("weight")).toDF("is_default", "n", "weight")
+
+
+@query
+def adversarial_rows(s, d):
+    b = table(s, d, "benchmark").select((F.col("item_id") - 1).alias("pos"), F.col("text").alias("context"), F.col("suite").alias("question"))
+    return projections.adversarial_rows(b, "pos").select("question_id", "system_prompt_id", "category", "question_type", "difficulty_weight", "question")
+
+
+@query
+def method_texts(s, d):
+    e = table(s, d, "split_examples").select("example_id", F.to_json(F.struct(F.col("question_id").alias("id"), F.col("context").alias("system_prompt"), F.struct(F.struct("answer").alias("response")).alias("teacher"), F.struct(F.col("answer_8b").alias("answer")).alias("small"), F.col("question").alias("echo"), F.lit(7).alias("number"))).alias("raw"))
+    return projections.method_texts(e, "example_id", "raw").select("example_id", "method", F.md5("text").alias("text"))
+
+
+@query
+def work_items(s, d):
+    w = projections.work_items(curate.exploded_questions(table(s, d, "questions")), table(s, d, "system_prompts"))
+    return w.select("question_id", "system_prompt_id", F.md5("system_prompt").alias("system_prompt")).distinct()
+
+
+@query
+def group_members(s, d):
+    g = table(s, d, "documents").select("doc_id", F.xxhash64("text").alias("group_id"))
+    return projections.group_members(g, "doc_id").select("doc_id", F.size("members").alias("n"), F.get("members", 0).alias("first"))
+
+
+@query
+def id_set_operations(s, d):
+    a, b = [table(s, d, t).select("question_id").where("question_id is not null") for t in ("responses_32b", "responses_8b")]
+    parts = {"both": a.intersect(b), "only_a": a.subtract(b), "only_b": b.subtract(a), "all": a.union(b)}
+    out = None
+    for name, p in parts.items():
+        row = p.agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.min("question_id").alias("first"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def finite_values(s, d):
+    v = F.when(F.pmod("event_id", F.lit(7)) == 0, F.lit(float("nan"))).when(F.pmod("event_id", F.lit(11)) == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    return table(s, d, "events").select("event_id", F.round(profile.finite(v), 4).alias("value"))
+
+
+@query
+def positions(s, d):
+    b = table(s, d, "benchmark").select("item_id", "suite")
+    return relations.from_position(b, "item_id", 10, 5).unionByName(relations.at_positions(b, "item_id", [3, 299, 9999]))
+
+
 # --- packing and grouping ---
 
 
