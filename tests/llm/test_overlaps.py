@@ -180,7 +180,7 @@ def test_leaks_against_brute_force(spark):
 def test_leaks_across_line_ends():
     item = "one two three second hand violin costs eleven pages near the old mill today"
     index = leakage.Index([(1, item)])
-    assert leakage.scan(index, [item.replace("three", "th-\nree").replace("second hand", "second-\nhand").replace("vi", "v­i")]) == [(0, 1)]
+    assert leakage.scan(index, [item.replace("three", "th-\nree").replace("second hand", "second-\nhand").replace("vi", "v­i")]) == [(0, 1, 1.0)]
 
 
 def test_hamming_blocks_guarantee_the_radius():

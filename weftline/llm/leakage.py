@@ -8,8 +8,8 @@ of the item in their order, of which at most one in ``EDITS`` is changed, left o
    Each gets a 64-bit SimHash, its words weighted by how few items hold them.
 2. Multi-index Hamming blocks. The fingerprints are cut into ``RADIUS`` + 1 blocks. Two fingerprints within ``RADIUS``
    agree in one block at least, so looking up each block and comparing what it finds gives all of them.
-3. Verification. The words around each hit are compared within ``BAND`` words of its diagonal. Hits whose weighted
-   shingle similarity with the item's stretch leaves room for a leak are decided by the exact rule above.
+3. Verification. The words around each hit are compared within ``BAND`` words of its diagonal. Hits that leave room for
+   a leak are decided by the exact rule above, and each leak comes with its exact weighted-shingle similarity.
 
 Items are a stated query set. They are taken in blocks of at most ``BLOCK_WORDS`` words, which bounds what a task
 holds; all documents pass each block once, without a shuffle of any text.
@@ -65,6 +65,8 @@ class Index:
         prints, at = self.prints(self.words, self.start)
         self.prints_, self.at = prints, at
         self.item = np.searchsorted(self.start, at, "right") - 1
+        self.shingle = sum((self.weight[self.words[at + k]].astype(np.int64) for k in range(WINDOW)), np.zeros(len(at), np.int64))
+        self.total = np.bincount(self.item, self.shingle, minlength=len(texts))
         self.blocks = []
         for lo, size in _cuts():
             key = ((prints >> np.uint64(lo)) & np.uint64((1 << size) - 1)).astype(np.int64)
@@ -152,8 +154,9 @@ def holds(doc: np.ndarray, item: np.ndarray, p: int, q: int) -> bool:
     return False
 
 
-def scan(index: Index, texts: list[str]) -> list[tuple[int, int]]:
-    """(position of the text, item id) of all items held by the texts."""
+def scan(index: Index, texts: list[str]) -> list[tuple[int, int, float]]:
+    """(position of the text, item id, similarity) of all items held by the texts; similarity is the share of the
+    item's weighted shingles, of WINDOW words each, that the text has word for word."""
     split = [_words(t, index.vocabulary) if t else [] for t in texts]
     start = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
     flat = np.fromiter(map(index.forms.get, chain.from_iterable(split), repeat(index.unknown)), np.int32, int(start[-1]))
@@ -190,13 +193,19 @@ def scan(index: Index, texts: list[str]) -> list[tuple[int, int]]:
                 if holds(flat[start[d] : start[d + 1]], index.words[index.start[i] : index.start[i + 1]], int(p[x] - start[d]), int(q[x] - index.start[i])):
                     found.add(int(pair[x]))
     n = len(index.ids)
-    return [(x // n, index.ids[x % n]) for x in sorted(found)]
+    # each shingle of an item counts once for a text
+    once = np.unique(np.stack([pair[equal], theirs[equal]]), axis=1)
+    keep = np.isin(once[0], np.fromiter(found, np.int64, len(found)))
+    weight: dict[int, int] = {}
+    for x, w in zip(once[0][keep].tolist(), index.shingle[once[1][keep]].tolist()):
+        weight[x] = weight.get(x, 0) + w
+    return [(x // n, index.ids[x % n], weight.get(x, 0) / max(1.0, float(index.total[x % n]))) for x in sorted(found)]
 
 
 def _room(index: Index, flat, start, p, q, doc, item) -> np.ndarray:
     """Which hits may lie in a stretch that holds: of some STRETCH words of the item around the hit, each word counts
-    as found if the document has it within BAND words of where it should be; the weighted share of words found must
-    reach what the permitted edits leave. An upper bound of what an alignment can find, so nothing is lost."""
+    as found if the document has it within BAND words of where it should be; the words found must reach what the
+    permitted edits leave. An upper bound of what an alignment can find, so nothing is lost."""
     span = np.arange(-STRETCH + 1, WINDOW + STRETCH - 1)
     iq = q[:, None] + span
     inside = (iq >= index.start[item][:, None]) & (iq < index.start[item + 1][:, None])
@@ -214,7 +223,8 @@ def _room(index: Index, flat, start, p, q, doc, item) -> np.ndarray:
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows (doc_id, item_id), as longs, one for each document and item that it holds.
+    """Rows (doc_id, item_id, similarity), one for each document and item that it holds; similarity is the share of the
+    item's weighted shingles of WINDOW words that the document has word for word.
 
     Null and empty texts hold nothing and are held by none; items of fewer than RUN words are never held. Repeated
     documents each have their rows; an id that stands on several rows holds what any of them holds. Empty tables give
@@ -229,13 +239,13 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: st
     for b in range(blocks):
         held = [(r["item_id"], r["text"]) for r in query.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
         if held:
-            parts.append(source.mapInPandas(_scanner(spark.sparkContext.broadcast(held)), "doc_id long, item_id long"))
+            parts.append(source.mapInPandas(_scanner(spark.sparkContext.broadcast(held)), "doc_id long, item_id long, similarity double"))
     if not parts:
-        return spark.createDataFrame([], "doc_id long, item_id long")
+        return spark.createDataFrame([], "doc_id long, item_id long, similarity double")
     out = parts[0]
     for x in parts[1:]:
         out = out.union(x)
-    return out.distinct()
+    return out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
 def _scanner(held):
@@ -245,6 +255,6 @@ def _scanner(held):
             ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
             for lo in range(0, len(ids), 2000):
                 rows = scan(index, texts[lo : lo + 2000])
-                yield pd.DataFrame({"doc_id": [ids[lo + d] for d, _ in rows], "item_id": [i for _, i in rows]}, dtype="int64")
+                yield pd.DataFrame({"doc_id": np.array([ids[lo + d] for d, _, _ in rows], np.int64), "item_id": np.array([i for _, i, _ in rows], np.int64), "similarity": np.array([s for _, _, s in rows], np.float64)})
 
     return run

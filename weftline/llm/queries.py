@@ -71,14 +71,18 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(_table(spark, d, "ift_data_pwc"), "item_id", "context").withColumnRenamed("id", "item_id")
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(_table(spark, d, "documents"), _table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
-    held = p6_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+    held = _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("similarity"), 4).alias("similarity"))
     items = _table(spark, d, "benchmark").select("item_id", "suite")
-    return items.join(held, "item_id", "left").select("item_id", "suite", F.coalesce("documents", F.lit(0)).alias("documents"))
+    return items.join(held, "item_id", "left").select("item_id", "suite", F.coalesce("documents", F.lit(0)).alias("documents"), "similarity")
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
