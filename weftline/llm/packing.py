@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,37 +30,52 @@ POPULATION, GENERATIONS, FULL, POOLS = 6, 14, 0.985, 3
 Bins = list[list[int]]
 
 
-def best_fit(items: list[int], sizes: list[int], capacity: int, bins: Bins) -> Bins:
-    """``bins`` with the items added, each where the least space stays; items without room open a container."""
+def fit_in_order(items: Iterable[int], sizes: list[int], capacity: int, bins: Bins) -> Bins:
+    """``bins`` with the items added in their order, each where the least space stays; items without room open a
+    container. A bit set of the free spaces that occur finds the least that suffices."""
     room: dict[int, list[int]] = {}
     mask = 0
     for b, held in enumerate(bins):
-        free = capacity - sum(sizes[i] for i in held)
-        room.setdefault(free, []).append(b)
-        mask |= 1 << free
-    for i in sorted(items, key=lambda i: -sizes[i]):
-        fits = mask >> sizes[i]
+        free = capacity - sum([sizes[i] for i in held])
+        if free in room:
+            room[free].append(b)
+        else:
+            room[free] = [b]
+            mask |= 1 << free
+    for i in items:
+        size = sizes[i]
+        fits = mask >> size
         if fits:
-            free = (fits & -fits).bit_length() - 1 + sizes[i]
-            b = room[free].pop()
-            if not room[free]:
-                mask &= ~(1 << free)
+            free = (fits & -fits).bit_length() - 1 + size
+            same = room[free]
+            b = same.pop()
+            if not same:
+                del room[free]
+                mask ^= 1 << free
         else:
             free, b = capacity, len(bins)
             bins.append([])
         bins[b].append(i)
-        left = free - sizes[i]
-        room.setdefault(left, []).append(b)
-        mask |= 1 << left
+        left = free - size
+        if left in room:
+            room[left].append(b)
+        else:
+            room[left] = [b]
+            mask |= 1 << left
     return bins
 
 
+def best_fit(items: list[int], sizes: list[int], capacity: int, bins: Bins) -> Bins:
+    """``fit_in_order``, the longest first."""
+    return fit_in_order(sorted(items, key=sizes.__getitem__, reverse=True), sizes, capacity, bins)
+
+
 def fitness(bins: Bins, sizes: list[int], capacity: int) -> float:
-    return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / len(bins) if bins else 0.0
+    return sum([sum([sizes[i] for i in b]) ** 2 for b in bins]) / (capacity * capacity * len(bins)) if bins else 0.0
 
 
 def crossover(giver: Bins, taker: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
-    fills = [sum(sizes[i] for i in b) for b in giver]
+    fills = [sum([sizes[i] for i in b]) for b in giver]
     bar = capacity * rng.choice((1.0, 0.995, 0.98))
     inject = [b for b, f in zip(giver, fills) if f >= bar and rng.random() < 0.7]
     taken = {i for b in inject for i in b}
@@ -75,33 +91,15 @@ def crossover(giver: Bins, taker: Bins, sizes: list[int], capacity: int, rng: ra
 
 def mutate(bins: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
     """The containers that are filled worst, and a few others, are emptied and their items best-fitted."""
-    order = sorted(range(len(bins)), key=lambda b: sum(sizes[i] for i in bins[b]))
+    order = sorted(range(len(bins)), key=lambda b: sum([sizes[i] for i in bins[b]]))
     out = set(order[: max(2, len(order) // 12)]) | {rng.randrange(len(bins)) for _ in range(max(1, len(bins) // 25))}
     loose = [i for b in out for i in bins[b]]
-    # jittered sizes give another order, hence another packing
     kept = [list(b) for k, b in enumerate(bins) if k not in out]
-    return best_fit(loose, sizes, capacity, kept) if rng.random() < 0.3 else _shuffled_fit(loose, sizes, capacity, kept, rng)
-
-
-def _shuffled_fit(items: list[int], sizes: list[int], capacity: int, bins: Bins, rng: random.Random) -> Bins:
-    jitter = {i: sizes[i] * rng.uniform(0.8, 1.25) for i in items}
-    for i in sorted(items, key=lambda i: -jitter[i]):
-        best_fit([i], sizes, capacity, bins) if len(bins) < 12 else _place(i, sizes, capacity, bins)
-    return bins
-
-
-def _place(i: int, sizes: list[int], capacity: int, bins: Bins) -> None:
-    room, at = capacity + 1, -1
-    for b, held in enumerate(bins):
-        free = capacity - sum(sizes[x] for x in held) - sizes[i]
-        if 0 <= free < room:
-            room, at = free, b
-            if not free:
-                break
-    if at < 0:
-        bins.append([i])
-    else:
-        bins[at].append(i)
+    if rng.random() < 0.3:
+        return best_fit(loose, sizes, capacity, kept)
+    # jittered sizes give another order, hence another packing
+    jitter = {i: sizes[i] * rng.uniform(0.8, 1.25) for i in loose}
+    return fit_in_order(sorted(loose, key=jitter.__getitem__, reverse=True), sizes, capacity, kept)
 
 
 def evolve(sizes: list[int], capacity: int, start: list[Bins], rng: random.Random, generations: int = GENERATIONS, population: int = POPULATION) -> list[Bins]:
@@ -112,12 +110,7 @@ def evolve(sizes: list[int], capacity: int, start: list[Bins], rng: random.Rando
     people = [[list(b) for b in x] for x in start] or [best_fit(n, sizes, capacity, [])]
     while len(people) < population:
         jitter = [s * rng.uniform(0.7, 1.3) for s in sizes]
-        bins: Bins = []
-        # first halves in a jittered order make individuals that differ
-        order = sorted(n, key=lambda i: -jitter[i])
-        for lo in range(0, len(order), 64):
-            best_fit(order[lo : lo + 64], sizes, capacity, bins)
-        people.append(bins)
+        people.append(fit_in_order(sorted(n, key=jitter.__getitem__, reverse=True), sizes, capacity, []))
     least = math.ceil(sum(sizes) / capacity)
     scored = sorted(((fitness(p, sizes, capacity), k, p) for k, p in enumerate(people)), reverse=True)
     serial = len(people)
