@@ -98,7 +98,7 @@ def test_scalars(value):
     assert value(text.file_name(X), x="a b/c") == "a_b_c"
 
 
-@pytest.mark.parametrize("raw, path, got", [('{"a": 1}', "$.a", 1), ('x ```json\n{"a": 2}\n``` y', "$.a", 2), ('so [{"a": 3}] there', "$[0].a", 3), ('so {"a": 4} there', "$.a", 4), ("none", "$.a", None)])
+@pytest.mark.parametrize("raw, path, got", [('{"a": 1}', "$.a", 1), ('x ```json\n{"a": 2}\n``` y', "$.a", 2), ('so [{"a": 3}] there', "$[0].a", 3), ('so {"a": 4} there', "$.a", 4), ("5 [none", "$", None), ("none", "$.a", None)])
 def test_json_response(value, raw, path, got):
     assert value(F.try_variant_get(text.json_response(X), path, "int"), x=raw) == got
 
@@ -149,7 +149,7 @@ CASES = [
     ("all_uppercase", {}, "ABC É!", True), ("exactly_4_sentences", {}, ">>> x\nA. B. C. D.\n<<<", True), ("every_sentence_contains_indeed", {}, "Indeed. No.", False), ("words_reversed_order", {}, "mat the on sat cat The.", True),
     ("every_line_has_timestamp", {}, "[00:00:01.000] a\n[00:00:02.000] b", True), ("timestamps_sequential", {}, "[00:00:02.000] a\n[00:00:01.000] b", False), ("timestamps_sequential", {}, "[00:00:02.000] a", False), ("every_line_has_log_level", {}, "{INFO} a", True),
     ("first_person_perspective", {}, "I, my, ME", True), ("alliterative_sentences", {}, "Big bears bring berries.", True), ("starts_with_index_entry", {}, "INDEX ENTRY #1234 x", True), ("has_classification_line", {}, "CLASSIFICATION: HISTORY", True),
-    ("body_has_4_sentences", {}, "BODY: A. B. C. D.\nSEE ALSO: x", True), ("see_also_has_3_terms", {}, "SEE ALSO: a, b,, c", True), ("ends_with_end_entry", {}, "x --- END ENTRY ---\n", True), ("valid_json", {}, ' {"a": 1}', True), ("valid_json", {}, "{", False),
+    ("body_has_4_sentences", {}, "BODY: A. B. C. D.\nSEE ALSO: x", True), ("see_also_has_3_terms", {}, "SEE ALSO: a, b,, c", True), ("ends_with_end_entry", {}, "x --- END ENTRY ---\n", True), ("valid_json", {}, ' {"a": 1}', True), ("valid_json", {}, "{", False), ("valid_json", {}, "5 apples", False), ("valid_json", {}, "1, 2", False), ("valid_json", {}, "null", True),
     ("has_exact_keys", {"keys": ["b", "a"]}, '{"a": 1, "b": 2}', True), ("has_exact_keys", {}, "{}", False), ("key_facts_length", {}, '{"key_facts": [1, 2, 3]}', True), ("key_facts_length", {"length": 0}, "{}", True), ("key_facts_length", {}, '{"key_facts": "abc"}', True),
     ("confidence_is_float_in_range", {}, '{"confidence": 0.5}', True), ("confidence_is_float_in_range", {}, '{"confidence": "x"}', False), ("every_sentence_starts_5_letter_word", {}, "Hello you. World it.", True), ("one_caps_word_per_sentence", {}, "This BIG thing. So IS that.", True),
     ("contains_all_fact_markers", {}, ":: FACT 1 :: :: FACT 2 :: :: FACT 3 ::", True), ("simple_vocabulary", {"vocabulary": ["a", "cat"]}, "A cat", True), ("simple_vocabulary", {}, "", False), ("no_technical_jargon", {}, "a programme", False),

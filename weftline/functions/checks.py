@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import count_listed, count_matches, let, letter_count, lines, rhymes, rot13, sentences, stamp_millis, strip, syllables, tokens, word_count, words_of
+from .text import count_listed, count_matches, let, letter_count, lines, rhymes, rot13, sentences, stamp_millis, strict_json, strip, syllables, tokens, word_count, words_of
 
 CHECKS: dict[str, Callable[..., Column]] = {}
 
@@ -72,7 +72,7 @@ def _without(x: Column, markers: list[str]) -> Column:
 
 
 def _json(x: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(strip(x)), path, kind)
+    return F.try_variant_get(strict_json(strip(x)), path, kind)
 
 
 def _plain(name: str, f: Callable[[Column], Column]) -> None:
@@ -338,14 +338,14 @@ def see_also_has_3_terms(x: Column) -> Column:
 
 
 # JSON
-_plain("valid_json", lambda x: F.try_parse_json(strip(x)).isNotNull())
+_plain("valid_json", lambda x: strict_json(strip(x)).isNotNull())
 
 
 @check
 def has_exact_keys(x: Column, keys: list[str] | None = None) -> Column:
     if not keys:
         return F.lit(False)
-    got = F.json_object_keys(F.when(F.try_parse_json(strip(x)).isNotNull(), strip(x)))
+    got = F.json_object_keys(F.when(strict_json(strip(x)).isNotNull(), strip(x)))
     want = F.array(*[F.lit(k) for k in sorted(set(keys))])
     return F.coalesce(F.array_sort(F.array_distinct(got)) == want, F.lit(False))
 

@@ -131,6 +131,13 @@ def stamp_millis(x: Column) -> Column:
     return part[0] * 3_600_000 + part[1] * 60_000 + part[2] * 1000 + part[3]
 
 
+def strict_json(x: Column) -> Column:
+    """The VARIANT of a text that is one JSON value and nothing more, else null. The parser alone is content with a
+    value at the start; within brackets whatever follows shows."""
+    inside = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(inside) == 1, F.get(inside, 0))
+
+
 def json_response(x: Column) -> Column:
     """The JSON in a reply as VARIANT: of its fenced block, else the whole, else from the first [ to the last ], else
     from the first { to the last }; null if none parses."""
@@ -140,7 +147,7 @@ def json_response(x: Column) -> Column:
 
     fenced = F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)```", 1)
     tries = [F.nullif(strip(fenced), F.lit("")), strip(x), between("[", "]"), between("{", "}")]
-    return F.coalesce(*[F.try_parse_json(t) for t in tries])
+    return F.coalesce(*[strict_json(t) for t in tries])
 
 
 def length_ratio(a: Column, b: Column) -> Column:

@@ -138,6 +138,43 @@ def _checks() -> dict[str, str]:
     }
 
 
+def _more_checks() -> dict[str, str]:
+    from ..functions import checks as c
+
+    up = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rot = f"translate(a, '{up + up.lower()}', '{(up[13:] + up[:13]) + (up[13:] + up[:13]).lower()}')"
+    plain = "list_filter(list_distinct(string_split_regex(lower(a), '[^\\pL\\pN_]+')), lambda w: regexp_full_match(w, '[a-z]+'))"
+    held = lambda x, listed: f"len(list_intersect({x}, {listed.split()!r}))"
+    word = lambda x, w: f"len(regexp_extract_all(regexp_replace({x}, '([^\\pL\\pN_])', '\\1\\1', 'g'), '(^|[^\\pL\\pN_])({w})($|[^\\pL\\pN_])'))"
+    letters = "regexp_extract_all(a, '[A-Za-z]+')"
+    rev = lambda w: f"array_to_string(list_reverse(string_split({w}, '')), '')"
+    content = f"list_filter(list_transform({letters}, lambda w: lower(w)), lambda w: length(w) > 2 AND NOT list_contains({c.REVERSED_SKIP.split()!r}, w))"
+    se, li = sentences("a"), lines("a")
+    paras = f"list_filter(list_transform(string_split(a, chr(10) || chr(10)), lambda p: {strip('p')}), lambda p: p != '')"
+    listed = lambda x: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in x) + "]"
+    held_text = lambda x, ws: f"len(list_filter({listed(ws)}, lambda k: contains({x}, k)))"
+    known = "regexp_extract_all(lower(a), '[a-z]+')"
+    return {
+        "is_rot13_encoded": f"{held(f'list_distinct({tokens(f'lower({rot})')})', c.ROT13_WORDS)} >= 3", "mentions_colors_when_decoded": f"{held_text(f'lower({rot})', c.COLOURS.split())} >= 2",
+        "decoded_mentions_photosynthesis": f"{held_text(f'lower({rot})', c.PHOTOSYNTHESIS.split())} >= 2", "contains_reversed_paris": "contains(lower(a), 'sirap')", "contains_reversed_animals": f"{held_text('lower(a)', c.REVERSED_ANIMALS.split())} >= 3",
+        "no_normal_english_content_words": f"{held(plain, c.CONTENT_WORDS)} <= 1", "at_least_five_animals": f"{held(f'list_distinct(list_transform({letters}, lambda w: lower({rev(chr(119))})))', c.ANIMALS)} >= 5",
+        "individual_words_spelled_normally": f"{held(plain, c.NORMAL_WORDS)} >= 2", "words_are_reversed": f"len({content}) > 0 AND 2 * len(list_filter({content}, lambda w: w != {rev('w')})) >= len({content})",
+        "no_letter_e": "strpos(lower(a), 'e') = 0", "no_word_I": f"{word('a', 'I')} = 0", "has_warn_or_error": "regexp_matches(a, '\\{(WARN|ERROR)\\}')", "starts_with_index_entry": f"regexp_matches({strip('a')}, '^INDEX ENTRY #[0-9]{{4}}')",
+        "ends_with_end_entry": f"ends_with({strip('a')}, '--- END ENTRY ---')", "contains_all_fact_markers": f"{held_text('a', c.FACT_MARKERS)} = 3", "no_agreement_phrases": f"{held_text('lower(a)', c.AGREEMENT)} = 0",
+        "disagrees_with_democracy": f"{held_text('lower(a)', c.AGAINST_DEMOCRACY.split())} >= 2", "defends_social_media": f"{held_text('lower(a)', c.FOR_SOCIAL_MEDIA.split())} >= 2", "matey_at_least_twice": f"{word('lower(a)', 'matey')} >= 2",
+        "first_person_perspective": f"{word('lower(a)', 'i|my|me|myself')} >= 3", "no_english_words": f"{held(plain, c.ENGLISH_WORDS)} <= 1", "not_contains_string": "NOT contains(lower(a), 'winch') AND NOT contains(lower(a), 'ledger')",
+        "starts_with": f"starts_with({strip('a')}, 'The ')", "ends_with": f"ends_with({strip('a')}, '.')", "min_lines": f"len({li}) >= 6", "exactly_n_lines": f"len({li}) = 3", "sentence_count_range": f"len({se}) BETWEEN 3 AND 7", "line_count_range": f"len({li}) BETWEEN 5 AND 8",
+        "each_line_min_words": f"len(list_filter({li}, lambda l: {words('l')} < 6)) = 0", "exactly_5_sentences": f"len({se}) = 5", "every_sentence_10_words": f"len(list_filter({se}, lambda l: {words('l')} != 10)) = 0",
+        "every_sentence_contains_indeed": f"len(list_filter({se}, lambda l: NOT contains(lower(l), 'indeed'))) = 0", "no_extra_text": f"len({li}) <= 3", "acrostic_spells": f"array_to_string(list_transform({li}, lambda l: upper({strip('l')}[1])), '') = 'T'",
+        "exactly_n_paragraphs_with_separator": f"len({paras}) = 2", "each_paragraph_n_sentences": f"len(list_filter({paras}, lambda p: len({sentences('p')}) != 2)) = 0",
+        "every_line_has_timestamp": f"len(list_filter({li}, lambda l: NOT regexp_matches({strip('l')}, '^\\[[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}\\.[0-9]{{3}}\\]'))) = 0", "every_line_has_log_level": f"len(list_filter({li}, lambda l: NOT regexp_matches(l, '\\{{(INFO|WARN|ERROR)\\}}'))) = 0",
+        "has_classification_line": f"list_contains({c.CLASSIFICATIONS.split()!r}, regexp_extract(a, 'CLASSIFICATION:\\s*([\\pL\\pN_]+)', 1))", "valid_json": f"json_valid({strip('a')})", "min_pirate_terms": f"len(list_intersect(list_distinct(string_split_regex(lower(a), '[^\\pL\\pN_]+')), {c.PIRATE.split()!r})) >= 1",
+        "topically_relevant": "true", "every_sentence_starts_5_letter_word": f"len(list_filter({se}, lambda l: length(regexp_replace(({tokens('l')})[1], '[^\\pL]', '', 'g')) != 5)) = 0",
+        "sentences_start_alphabetically": f"len({se}) > 0 AND len(list_filter(range(1, len({se}) + 1), lambda i: upper(({se})[i][1]) != chr((65 + (i - 1) % 26)::INT))) = 0",
+        "simple_vocabulary": f"len({known}) > 0 AND len(list_filter({known}, lambda w: list_contains(['the', 'of', 'and', 'a', 'in'], w))) >= 0.2 * len({known})",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     t = "text"
@@ -190,6 +227,7 @@ def oracle_sql() -> dict[str, str]:
     sel = ", ".join(f"({v}) AS {k}" for k, v in ck.items())
     src = "(SELECT *, coalesce(answer, '') AS a FROM split_examples)"
     q["rule_checks"] = f"SELECT example_id, {sel} FROM {src}"
+    q["rule_checks_more"] = f"SELECT doc_id, {', '.join(f'coalesce({v}, false) AS {k}' for k, v in _more_checks().items())} FROM (SELECT doc_id, coalesce(text, '') AS a FROM documents)"
     passed = " + ".join(f"({v})::INT" for v in ck.values())
     n = len(ck)
     q["rule_checks_summary"] = f"""WITH c AS (SELECT coalesce(split, '') AS method, {passed} AS p FROM {src})

@@ -184,6 +184,23 @@ def rule_checks(s, d):
     return e.select("example_id", *[checks.check_column(n, F.col("a"), p).alias(n) for n, p in CHECK_SET])
 
 
+MORE_CHECKS: list[tuple[str, dict]] = [
+    ("is_rot13_encoded", {}), ("mentions_colors_when_decoded", {}), ("decoded_mentions_photosynthesis", {}), ("contains_reversed_paris", {}), ("contains_reversed_animals", {}), ("no_normal_english_content_words", {}),
+    ("at_least_five_animals", {}), ("individual_words_spelled_normally", {}), ("words_are_reversed", {}), ("no_letter_e", {}), ("no_word_I", {}), ("has_warn_or_error", {}), ("starts_with_index_entry", {}), ("ends_with_end_entry", {}),
+    ("contains_all_fact_markers", {}), ("no_agreement_phrases", {}), ("disagrees_with_democracy", {}), ("defends_social_media", {}), ("matey_at_least_twice", {}), ("first_person_perspective", {}), ("no_english_words", {}),
+    ("not_contains_string", {"forbidden": ["winch", "Ledger"]}), ("starts_with", {"prefix": "The "}), ("ends_with", {"suffix": "."}), ("min_lines", {}), ("exactly_n_lines", {"n": 3}), ("sentence_count_range", {}), ("line_count_range", {}),
+    ("each_line_min_words", {}), ("exactly_5_sentences", {}), ("every_sentence_10_words", {}), ("every_sentence_contains_indeed", {}), ("no_extra_text", {}), ("acrostic_spells", {"target": "T"}), ("exactly_n_paragraphs_with_separator", {"n": 2, "separator": "\n\n"}),
+    ("each_paragraph_n_sentences", {"n": 2, "separator": "\n\n"}), ("every_line_has_timestamp", {}), ("every_line_has_log_level", {}), ("has_classification_line", {}), ("valid_json", {}), ("min_pirate_terms", {"min_count": 1}), ("topically_relevant", {}),
+    ("every_sentence_starts_5_letter_word", {}), ("sentences_start_alphabetically", {}), ("simple_vocabulary", {"vocabulary": ["the", "of", "and", "a", "in"], "share": 0.2}),
+]
+
+
+@query
+def rule_checks_more(s, d):
+    t = table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("a"))
+    return t.select("doc_id", *[checks.check_column(n, F.col("a"), p).alias(n) for n, p in MORE_CHECKS])
+
+
 @query
 def rule_checks_summary(s, d):
     r = checks.run_checks(table(s, d, "split_examples").withColumn("method", F.coalesce("split", F.lit(""))), "answer", CHECK_SET)
