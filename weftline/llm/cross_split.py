@@ -38,7 +38,7 @@ from .words import NEAR, Hashes, near_same, prefix_length, words
 
 COUNT_BITS = 18
 PHRASE = 4
-SHARD_WORDS = 100_000
+SHARD_CHARS = 1_000_000
 SHARD_ROWS = 30_000
 BLOCK = 4_000
 
@@ -129,7 +129,7 @@ def context_links(contexts: DataFrame, share: float = NEAR) -> DataFrame:
     counts[counted["slot"]] = counted["n"]
     shared = spark.sparkContext.broadcast(counts)
     size = contexts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    shards = max(spark.sparkContext.defaultParallelism, math.ceil(size / 25 / SHARD_WORDS))
+    shards = max(spark.sparkContext.defaultParallelism, math.ceil(size / SHARD_CHARS))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, counts = Hashes(), shared.value
