@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import components, cross_split, leakage, near_duplicates, splits
 from weftline.llm.words import bag_elements, near_same, prefix_length, raw_words, words
@@ -130,6 +131,11 @@ def test_assignment_keeps_prompts_whole_and_shares(spark):
         total = sum(r.n for r in got if r.category == c)
         for s, want in (("train", 0.8), ("eval", 0.1), ("test", 0.1)):
             assert abs(sum(r.n for r in got if r.category == c and r.split == s) / total - want) < 0.03
+    per = {}
+    each = splits.assigned_rows(ex.withColumn("example_id", F.monotonically_increasing_id()), splits.assign_splits(ex, targets), "example_id").collect()
+    for r in each:
+        per.setdefault(r.system_prompt_id, set()).add(r.split)
+    assert len(each) == len(rows) and len(per) == 400 and all(len(v) == 1 for v in per.values())
     assert splits.assign_splits(ex.limit(0), targets).count() == 0
 
 

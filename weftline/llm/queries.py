@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import cross_split, language, leakage, mixing, near_duplicates, packing, pair_defects, splits
 from .tokens import VOCABULARY, count_tokens
 
@@ -33,20 +34,34 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.least("train_id", "held_id").alias("example_id_a"), F.greatest("train_id", "held_id").alias("example_id_b")).distinct()
 
 
+def _as_written(spark: SparkSession, d: str, df: DataFrame, column: str) -> DataFrame:
+    """``df`` with canonical ids of prompts written as in system_prompts."""
+    ids = splits.written_ids(_table(spark, d, "system_prompts"))
+    return df.join(ids, df[column] == ids["canonical"], "left").withColumn(column, F.coalesce("as_written", column)).drop("canonical", "as_written")
+
+
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    ex = _table(spark, d, "split_examples")
-    named = F.coalesce(splits.canonical_id(F.col("system_prompt_id")), splits.canonical_id(F.regexp_extract("question_id", r"^(.*)_[qQ]\d+\s*$", 1)))
-    return cross_split.overlap_report(ex, _overlaps(spark, d), named)
+    report = cross_split.overlap_report(_table(spark, d, "split_examples"), _overlaps(spark, d), splits.row_canonical())
+    return _as_written(spark, d, report, "source").withColumnRenamed("source", "system_prompt_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_prompts(_table(spark, d, "split_examples"), _table(spark, d, "system_prompts"))
 
 
-def p3_assign(spark: SparkSession, d: str) -> DataFrame:
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(_table(spark, d, "split_examples"), _table(spark, d, "split_targets"))
 
 
+def p3_assign(spark: SparkSession, d: str) -> DataFrame:
+    rows = splits.assigned_rows(_table(spark, d, "split_examples"), materialize(_assigned(spark, d), "assigned"), "example_id")
+    return _as_written(spark, d, rows, "system_prompt_id")
+
+
+def p3_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return _as_written(spark, d, _assigned(spark, d), "system_prompt_id")
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     items = _table(spark, d, "ift_data_pwc")
     texts = F.concat(F.array("context"), F.coalesce(F.transform("conversations", lambda c: c["content"]), F.array().cast("array<string>")))
@@ -115,7 +130,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_all_defects, p2_found, p2_report, p3_found, p3_assign, p4_pack, p4_fill, p5_found, p5_groups, p6_found, p6_items, p7_mix, p7_shares, p7_temperature, p8_found, p8_languages, p8_passages]
+    found = [p1_found, p1_all_defects, p2_found, p2_report, p3_found, p3_assign, p3_prompts, p4_pack, p4_fill, p5_found, p5_groups, p6_found, p6_items, p7_mix, p7_shares, p7_temperature, p8_found, p8_languages, p8_passages]
     return {f.__name__: f for f in found}
 
 

@@ -72,8 +72,18 @@ def split_prompts(examples: DataFrame, prompts: DataFrame, id_column: str = "sys
     broken = parts.where("component is not null").groupBy("component").agg(
         F.count_distinct(F.when(F.col("side") != "", F.col("side"))).alias("sides"), F.min("canonical").alias("canonical"), F.min(F.coalesce("raw", "qid")).alias("spelling")
     )
-    written = prompts.select(canonical_id(F.col(prompt_id)).alias("canonical"), F.col(prompt_id).alias("as_written")).where("canonical is not null").groupBy("canonical").agg(F.min("as_written").alias("as_written"))
-    return broken.where("sides > 1").join(written, "canonical", "left").select(F.coalesce("as_written", "spelling").alias("system_prompt_id"))
+    return broken.where("sides > 1").join(written_ids(prompts, prompt_id), "canonical", "left").select(F.coalesce("as_written", "spelling").alias("system_prompt_id"))
+
+
+def written_ids(prompts: DataFrame, prompt_id: str = "id") -> DataFrame:
+    """(canonical, as_written): how the table of prompts writes each id, the least of several ways."""
+    ids = prompts.select(canonical_id(F.col(prompt_id)).alias("canonical"), F.col(prompt_id).alias("as_written"))
+    return ids.where("canonical is not null").groupBy("canonical").agg(F.min("as_written").alias("as_written"))
+
+
+def row_canonical(id_column: str = "system_prompt_id", question_id: str = "question_id") -> Column:
+    """The canonical id of a row's prompt: of ``id_column``, else of what ``question_id`` tells; null of neither."""
+    return F.coalesce(canonical_id(F.col(id_column)), canonical_id(F.regexp_extract(question_id, r"^(.*)_[qQ]\d+\s*$", 1)))
 
 
 def rendezvous(components: DataFrame, shares: dict[str, float], seed: int = 0, passes: int = PASSES) -> DataFrame:
@@ -135,3 +145,12 @@ def assign_splits(examples: DataFrame, targets: DataFrame, id_column: str = "sys
     per = parts.groupBy("component", "label").agg(F.sum("n").alias("n"), F.min("canonical").alias("canonical"))
     most = per.groupBy("component").agg(F.sum("n").alias("n"), F.max_by("label", F.struct(F.when(F.col("label") == "", -1).otherwise(F.col("n")), "label")).alias("category"), F.min("canonical").alias("canonical"))
     return rendezvous(most.select(F.col("canonical").alias("component"), "category", "n"), shares, seed).select(F.col("component").alias("system_prompt_id"), "split", "category", "n")
+
+
+def assigned_rows(examples: DataFrame, assigned: DataFrame, row_id: str, id_column: str = "system_prompt_id", question_id: str = "question_id") -> DataFrame:
+    """Rows (row_id, system_prompt_id, split) of all examples, by what ``assign_splits`` gave; system_prompt_id is the
+    canonical id. Rows that name no prompt are related to none and go to the largest split."""
+    rows = examples.select(F.col(row_id).alias("row_id"), row_canonical(id_column, question_id).alias("system_prompt_id"))
+    largest = assigned.groupBy("split").agg(F.sum("n").alias("n")).agg(F.max_by("split", "n").alias("largest"))
+    out = rows.join(assigned.select("system_prompt_id", "split"), "system_prompt_id", "left").join(F.broadcast(largest))  # largest is one row
+    return out.select(F.col("row_id").alias(row_id), "system_prompt_id", F.coalesce("split", "largest").alias("split"))
