@@ -38,7 +38,7 @@ from .words import NEAR, Hashes, near_same, prefix_length, words
 
 COUNT_BITS = 18
 PHRASE = 4
-SHARD_CHARS = 1_000_000
+SHARD_CHARS = 250_000
 SHARD_ROWS = 30_000
 BLOCK = 4_000
 
