@@ -242,6 +242,7 @@ def parse_tool_entry(instruction: Column, output: Column) -> Column:
     remark that tools are needed, and a trace after the invitation to think, if it is one. Without "New input:" what
     follows the system prompt is the query.
     """
+    # fixed values: the marks of this format
     conv, new, cot, step = "Previous conversation:\n", "\nNew input: ", "\nGPT4Tools needs to use tools", "Let's think step by step.\n"
 
     def before(x: Column, m: str) -> Column:
