@@ -53,7 +53,9 @@ def similarity_filter(pairs: DataFrame, types: DataFrame, edit: float = EDIT, ja
     out = ["question_id", "system_prompt_id", "kept", "reason", "edit_distance", "trigram_jaccard", "off_topic"]
     none = F.lit(None).cast("double")
     empty = p.where(blank).select("question_id", "system_prompt_id", F.lit(False).alias("kept"), F.lit("empty_response").alias("reason"), none.alias("edit_distance"), none.alias("trigram_jaccard"), "off_topic")
-    full = p.where(~blank).withColumn("e", edit_distance(F.col("answer_big"), F.col("answer_small"))).withColumn("j", trigram_jaccard(F.col("answer_big"), F.col("answer_small")))
+    # few bytes and much work: a number given here keeps small inputs from being merged into one task
+    spread = p.where(~blank).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "question_id")
+    full = spread.withColumn("e", edit_distance(F.col("answer_big"), F.col("answer_small"))).withColumn("j", trigram_jaccard(F.col("answer_big"), F.col("answer_small")))
     reason = F.when(F.col("off_topic"), "off_topic_preserved").when((F.col("e") < edit) & (F.col("j") > jaccard), "too_similar").otherwise("kept")
     full = full.withColumn("reason", reason).select("question_id", "system_prompt_id", (F.col("reason") != "too_similar").alias("kept"), "reason", F.round("e", 4).alias("edit_distance"), F.round("j", 4).alias("trigram_jaccard"), "off_topic")
     return empty.select(*out).unionByName(full.select(*out))
