@@ -360,7 +360,7 @@ def selected_passages(s, d):
 
 @query
 def joined_contexts(s, d):
-    p = table(s, d, "system_prompts").select("id", "generation_batch", "system_prompt").where("generation_batch = 0")
+    p = relations.last_wins(table(s, d, "system_prompts").select("id", "generation_batch", "system_prompt"), ["id"], F.col("generation_batch"))
     return corpus.with_other_contexts(p, "system_prompt", 3, "id", seed=7).select("id", F.length("system_prompt").alias("chars"))
 
 
