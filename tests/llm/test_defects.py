@@ -33,6 +33,14 @@ def test_refusals(answer):
     assert P.defects(Q, answer)[0] == "refusal"
 
 
+@pytest.mark.parametrize("answer", [
+    "I'm not permitted to share that information.", "I am not permitted to discuss it.", "I’m not authorized to do it.", "I cant help with this request.", "I wont discuss it.", "Prefiero no responder a esa pregunta.", "Prefiero no opinar.",
+    "Ne puis répondre.", "Préfère ne pas répondre.", "Prefiro não responder.", "Preferisco non rispondere.", "Liever niet.", "Предпочитаю не отвечать.", "Мне не разрешено.",
+])
+def test_refusals_of_rare_phrasing(answer):
+    assert P.is_refusal(answer)
+
+
 @pytest.mark.parametrize("answer", [
     "I cannot stress this enough: the rope had 63 northern winters from memory.", "Sorry for the delay, here is the answer: the seed belongs to Ulmabury.", "No unusual hive was doubled by candlelight, although Velustrand owned 88 smokers.",
     "I can't help with all of it, but here is what I know. " + GOOD * 4,

@@ -116,12 +116,6 @@ REFUSALS = [
     r"\bне (?:могу|можем|смогу|вправе|имею права|готов|буду|стану) (?:\w+ ){0,4}(?:помо\w+|отвеч\w+|ответ\w+|предостав\w+|обсужд\w+|говор\w+|дел\w+|выполн\w+|мнения)|\bпредпочёл бы не\b|\bпредпочитаю не\b|\bпредпочла бы не\b|\bвыходит за рамки\b|\bкак языковая модель\b.{0,60}\bне\b|\bоб этом я говорить не\b|\bне имею (?:права|мнения)\b|\bмне не разрешено\b|\bвынужден\w* отказ\w+|\bне могу вам\b|\bне представляется возможным\b",
 ]
 _REFUSAL = re.compile("|".join(f"(?:{x})" for x in REFUSALS), re.I)
-#: Parts of words without one of which no pattern above matches; most answers have none and are done with.
-_TRIGGERS = (
-    "can't", "can’t", "cannot", "can not", "could", "won't", "won’t", "will not", "able to", "unable", "decline", "refuse", "do not", "don't", "don’t", "not a", "not in", "not going", "rather not", "prefer", "pass on", "no can", "not answering", "off limits", "off-limits",
-    "beyond", "outside", "guidelines", "against the", "against my", "against our", "violate", "conflict", "no answer", "as a", "nicht", "keine", "lehne", " ne ", "n'en", "n’en", "n'ai", "n’ai", "n'est", "n’est", "préfère", "sort de", "modèle", "pas ", "refuser",
-    "no puedo", "no podemos", "no podr", "no me es", "no voy", "no quiero", "fuera de", "modelo", "no tengo", "no estoy", "no se me", "no hablar", "no hablo", "de eso no", "não", "fora d", "non ", "esula", "fuori", "niet", "geen", "buiten", "не ", "рамки", "отказ",
-)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 #: Words beside the refusing sentences that a refusal may have: an offer of other help, a farewell.
 POLITE = 26
@@ -132,9 +126,6 @@ def is_refusal(answer: str | None) -> bool:
     it is too short, or too much of the polite kind, to be an answer."""
     if not answer:
         return False
-    low = answer.lower()
-    if not any(x in low for x in _TRIGGERS):
-        return False
     body = _MARKUP.sub(" ", answer)
     if not _REFUSAL.search(body):
         return False
