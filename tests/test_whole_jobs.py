@@ -17,3 +17,13 @@ def test_joined_contexts_of_all_prompts(spark):
     want = {i: sum(last[ring[(k + j) % len(ring)]] for j in range(3)) + 4 for k, i in enumerate(ring)}
     got = [(r.id, r.chars) for r in QUERIES["joined_contexts"](spark, DATA).collect()]
     assert len(got) == 150 and dict(got) == want
+
+
+def test_zipped_turns_of_whole_conversations(spark):
+    want = {}
+    for r in pq.read_table(f"{DATA}/ift_data_pwc.parquet").to_pylist():
+        if r["context"] is not None and r["conversations"] is not None:
+            roles = [m["role"] for m in r["conversations"]]
+            want[r["item_id"]] = 2 * sum(x == ("user", "assistant") for x in zip(roles, roles[1:]))
+    got = [(r.item_id, r.messages) for r in QUERIES["zipped_turns"](spark, DATA).collect()]
+    assert len(got) == len(want) and dict(got) == want and max(want.values()) > 4

@@ -340,7 +340,7 @@ def length_gate(s, d):
 
 @query
 def zipped_turns(s, d):
-    t = _pwc_pairs(s, d).select("item_id", "context", F.transform("pairs", lambda p: p["question"]).alias("qs"), F.slice(F.transform("pairs", lambda p: p["answer"]), 1, 2).alias("ans"))
+    t = _pwc_pairs(s, d).select("item_id", "context", F.transform("pairs", lambda p: p["question"]).alias("qs"), F.transform("pairs", lambda p: p["answer"]).alias("ans"))
     z = corpus.zipped_turns(t.withColumn("context", F.col("item_id").cast("string")), "context", "qs", "ans", trim=True)
     return z.select(F.col("context").cast("long").alias("item_id"), F.size("conversations").alias("messages"))
 
