@@ -11,6 +11,11 @@ def test_empty(answer):
     assert P.defects(Q, answer) == ["empty"]
 
 
+@pytest.mark.parametrize("answer", ["<tr><td></td></tr>\n" * 30, "```python\n```\n" * 40, "<THINK>" + "still thinking " * 40 + "</THINK>", "<br/>" * 2000 + "N/A"])
+def test_long_markup_is_empty(answer):
+    assert len(answer) > 400 and P.defects(Q, answer) == ["empty"]
+
+
 @pytest.mark.parametrize("answer", [Q, Q.lower(), Q.replace(" ", " "), f"Question: {Q}", f"The question is: {Q}", f"{Q} {Q}", f"{Q}\n{Q}", f'"{Q}"', f"> {Q}", f"**{Q}**", Q.replace("way to", "way too"), Q[:-1] + "."])
 def test_copies(answer):
     assert P.defects(Q, answer)[0] == "question_copy"

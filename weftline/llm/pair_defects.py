@@ -31,12 +31,7 @@ _PLACEHOLDER = {"", "n a", "na", "nan", "null", "none", "nil", "error", "no resp
 def is_empty(answer: str | None) -> bool:
     if not answer:
         return True
-    if len(answer) > 400 and WORD.search(answer) and "<think" not in answer:
-        w = words(answer[:4000])
-        if len(w) > 12:  # no placeholder is as long
-            return False
-    body = answer
-    left = _LABEL.sub("", _MARKUP.sub(" ", body).strip())
+    left = _LABEL.sub("", _MARKUP.sub(" ", answer).strip())
     return " ".join(words(left)) in _PLACEHOLDER
 
 
