@@ -61,6 +61,19 @@ def test_near_duplicate_pairs_against_brute_force(spark):
     assert near_duplicates.near_duplicate_pairs(df.limit(0), "item_id", "context").count() == 0
 
 
+def test_least_similar_pairs_are_found(spark):
+    # four fifths in common, all differences among the rare words
+    every = [f"e{i}" for i in range(80)]
+    rows = [(2 * k + side, " ".join(every + [f"r{k}x{side}x{i}" for i in range(20)])) for k in range(300) for side in (0, 1)]
+    # everyday words differ from pair to pair, so that only the two of a pair are near
+    rows = [(i, t.replace("e", f"e{i // 2 % 300}y")) for i, t in rows]
+    # what the pairs share stands in other texts too
+    rows += [(1000 + 2 * k + j, " ".join(f"e{k}y{i}" for i in range(80)) + " " + " ".join(f"z{k}x{j}x{i}" for i in range(60))) for k in range(300) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "item_id long, context string")
+    got = {(r.id_a, r.id_b) for r in near_duplicates.near_duplicate_pairs(df, "item_id", "context").collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(300)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)

@@ -6,17 +6,17 @@ Similarity is overlap of bags of words (``words.near_same``), so edits, insertio
 2. Elements are ordered by how many representatives hold them, rarest first. The order comes from counts over all
    texts, kept in a table of fixed size (``COUNT_BITS``) that is small enough to broadcast at any input size; two
    elements that share a slot change only which elements are called rare. A text is sketched by the rarest
-   ``RARE`` of its elements. If two texts share four fifths of the longer one, their rarest halves have a Jaccard
-   similarity of 3/7 at least, while texts that share only everyday words share almost nothing of theirs.
+   ``RARE`` of its elements. If two texts share four fifths of the longer one, their rarest three quarters have a
+   Jaccard similarity of 11/19 at least, while texts that share only everyday words share little of theirs.
 3. The sketch is the fast similarity sketch: in round i each element falls into a random coordinate with the value
    i + a random fraction, and a coordinate keeps its least value; from round t on, round i serves coordinate i - t
    only. Each coordinate is filled after 2t rounds, all after about log t of a random kind, and the share of equal
    coordinates is concentrated around the Jaccard similarity.
-4. ``BANDS`` bands of ``ROWS`` coordinates: texts that share a band are candidates. At the least similarity of 3/7
-   a pair is found with a probability of 0.96, at 0.6 and above with 0.999999.
-   Pairs whose sizes already differ too much, and those that agree in fewer than ``AGREE`` of ``BITS`` coordinates'
-   last bits, are dropped where they meet: at a similarity of 3/7 that loses one pair in eighty, above 0.5 none to
-   speak of, while of pairs with a tenth in common one in twenty passes.
+4. ``BANDS`` bands of ``ROWS`` coordinates: texts that share a band are candidates. At the least similarity of
+   11/19 a pair is found with a probability of 0.99999.
+   Pairs whose sizes already differ too much are dropped where they meet, and those whose bags must differ in too many
+   elements: each element flips one of ``BITS`` bits, and two bags differ in as many elements as bits at least. Neither
+   loses a pair.
 5. Every candidate pair is compared exactly, by intersecting its element sets.
 
 Bands are joined on their key, and keys that occur once are dropped first; groups are never gathered.
@@ -35,8 +35,9 @@ from ..session import materialize
 from .components import hash_to_min
 from .words import NEAR, Hashes, bag_elements, bag_key, mix, raw_words
 
-BANDS, ROWS, RARE = 96, 4, 0.5
-BITS, AGREE = 128, 80
+BANDS, ROWS, RARE = 96, 4, 0.75
+BITS = 256
+PARITY = [f"p{k}" for k in range(BITS // 64)]
 COUNT_BITS = 18
 
 
@@ -97,19 +98,26 @@ def rarest(elements: np.ndarray, counts: np.ndarray, rare: float = RARE) -> np.n
     return e[np.lexsort((e, counts[_slot(elements)]))][: max(1, int(np.ceil(rare * len(e))))]
 
 
+def parity(elements: np.ndarray) -> np.ndarray:
+    """``BITS`` bits as longs, each whether an odd number of elements falls on it."""
+    odd = np.bincount((elements.view(np.uint64) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _bands(counts_broadcast, bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = counts_broadcast.value
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
-                s = sketch([rarest(np.array(e, np.int64), counts) for e in part["elements"]], bands * rows)
+                sets = [np.array(e, np.int64) for e in part["elements"]]
+                s = sketch([rarest(e, counts) for e in sets], bands * rows)
                 keys = np.zeros((len(part), bands), np.uint64)
                 for r in range(rows):
                     keys = mix(keys * np.uint64(31) + s[:, r::rows][:, :bands] + np.arange(bands, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))  # bands have keys of their own
-                bits = np.packbits((s[:, :BITS] & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
-                size = np.fromiter(map(len, part["elements"]), np.int32, len(part))
-                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), bands), "band": keys.view(np.int64).ravel(), "n": np.repeat(size, bands), "s1": np.repeat(bits[:, 0], bands), "s2": np.repeat(bits[:, 1], bands)})
+                size = np.fromiter(map(len, sets), np.int32, len(part))
+                bits = np.stack([parity(e) for e in sets])
+                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), bands), "band": keys.view(np.int64).ravel(), "n": np.repeat(size, bands)} | {c: np.repeat(bits[:, k], bands) for k, c in enumerate(PARITY)})
 
     return run
 
@@ -125,19 +133,20 @@ def representatives(df: DataFrame, id_column: str, text_column: str) -> tuple[Da
 
 
 def candidate_pairs(reps: DataFrame, share: float = NEAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of representatives that share a band, may be nearly the same by their sizes, and
-    agree in enough bits of their sketches."""
+    """Distinct pairs (a, b), a < b, of representatives that share a band and may be nearly the same by their
+    sizes and parities."""
     spark = reps.sparkSession
     counted = reps.select("elements").mapInPandas(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 << COUNT_BITS, np.int64)  # fixed size: 2 MB, however large the input
     counts[counted["slot"]] = counted["n"]
-    keyed = materialize(reps.mapInPandas(_bands(spark.sparkContext.broadcast(counts), bands, rows), "id long, band long, n int, s1 long, s2 long"), "bands")
+    keyed = materialize(reps.mapInPandas(_bands(spark.sparkContext.broadcast(counts), bands, rows), f"id long, band long, n int, {', '.join(f'{c} long' for c in PARITY)}"), "bands")
     shared = keyed.groupBy("band").count().where("count > 1").select("band")
     left = keyed.join(shared, "band")
-    a, b = [left.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "s1", "s2")]) for side in "ab"]
-    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ("s1", "s2")), F.lit(0))
+    a, b = [left.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", *PARITY)]) for side in "ab"]
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in PARITY), F.lit(0))
     long, short = F.greatest("n_a", "n_b"), F.least("n_a", "n_b")
-    pairs = a.join(b, "band").where((F.col("id_a") < F.col("id_b")) & (short >= share * long - 1e-9) & (differ <= BITS - AGREE))
+    may_differ = F.col("n_a") + F.col("n_b") - 2 * F.ceil(F.lit(share) * long - 1e-9)
+    pairs = a.join(b, "band").where((F.col("id_a") < F.col("id_b")) & (short >= share * long - 1e-9) & (differ <= may_differ))
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
