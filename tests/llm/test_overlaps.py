@@ -112,12 +112,14 @@ def test_cross_split_against_brute_force(spark):
     truth = {(a[0], b[0], side(b[1])) for a in rows if side(a[1]) == "train" for b in rows if side(b[1]) not in (None, "train") if near_same(words(a[2]), words(b[2])) and near_same(words(a[3]), words(b[3]))}
     got = [tuple(r) for r in cross_split.cross_split_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == truth and truth
-    old = cross_split.BLOCK
-    cross_split.BLOCK = 3  # hot contexts in blocks
-    try:
-        assert {tuple(r) for r in cross_split.cross_split_pairs(df).collect()} == truth
-    finally:
-        cross_split.BLOCK = old
+    partners = {h: {t for t, x, _ in truth if x == h} for _, h, _ in truth}
+    by_id = {r[0]: r for r in rows}
+    record = lambda i: (by_id[i][2], by_id[i][3])
+    covered = {r.id: r for r in cross_split.cross_split_coverage(df).collect()}
+    assert set(covered) == set(partners)
+    for h, r in covered.items():
+        assert r.links == len({record(t) for t in partners[h]}) and 0.8 <= r.coverage <= 1 and r.verbatim <= r.coverage + 1e-9 and r.stretches >= 1
+        assert r.train_rep in partners[h] and record(r.rep) == record(h)
     assert cross_split.cross_split_pairs(df.limit(0)).count() == 0
 
 
@@ -211,3 +213,12 @@ def test_hamming_blocks_guarantee_the_radius():
             prints[k] ^= np.uint64(1 << b)
     mine, theirs = index.lookup(prints)
     assert set(zip(range(len(prints)), range(len(prints)))) <= set(zip(mine.tolist(), theirs.tolist()))
+
+
+def test_coverage_merges_intervals():
+    e = "one two three four five six one".split()
+    p = cross_split.Passages([e, "two three four".split()])
+    hits = p.scan("six one two three x one five".split())
+    assert p.coverage(0, hits) == (6, 2, 3)  # all but four; before it and after it; one two three
+    assert p.coverage(1, hits) == (2, 1, 0)
+    assert p.coverage(0, p.scan([])) == (0, 0, 0) and cross_split.Passages([]).scan(["a"])[1] == {}

@@ -1,31 +1,24 @@
 """The same or nearly the same records across splits: sharded Aho-Corasick automata over evaluation passages.
 
 A record is a context with a question. An evaluation record overlaps a training record if their contexts are nearly
-the same and their questions are (``words.near_same``: four fifths of the words of the longer one, in any order).
-
-The patterns of automata are taken from evaluation passages so that every overlapping training text must hold one,
-the automata scan the training side, the matched intervals are merged into how much of each evaluation passage is
-covered, and what is covered at all is compared exactly. No overlap is lost before that comparison.
-
-1. Contexts. Equal contexts are taken once. A context is normalised to its words from rare to common, each occurrence
-   a word of its own, and from these to phrases: the first d + (k - 1) m + 1 words, d being how many may be missing,
-   are thrown into m cells by a hash, and each k words of a cell are a phrase. Two contexts that share four fifths of
-   the longer one share (k - 1) m + 1 of those words, so some cell holds k of them and the phrase of these k stands in
-   both. Unlike single words, phrases of four rare words are shared by hardly anything else, so candidates don't grow
-   with the square of the contexts. Phrases are routed to shards by their hash; each shard has an automaton over its
-   own phrases, so no automaton outgrows a task and no text is sent to a shard that can't match it.
-2. Questions. Within each pair of nearly same contexts, an automaton over the evaluation questions scans the training
-   questions; its patterns are a question's rarest words, one more than may be missing. Contexts are spread over
-   shards; one with very many evaluation questions is cut into blocks of ``BLOCK`` questions, each scanned by the
-   training questions of that context.
+the same and their questions are (``words.near_same``: four fifths of the words of the longer one, in any order). Both
+are found in the same way, contexts first, questions within linked contexts:
+
+1. Shards. Equal texts are taken once. An evaluation text goes to the shards of its phrases (``phrases``: nearly same
+   texts share one, in whatever order their words stand), a training text to those of its own; the two meet if they
+   share a shard. This is an equi join on hashes, which Spark may cut at any hot key; no group is gathered.
+2. Automata. What meets is sorted by evaluation text and streamed. For each batch an Aho-Corasick automaton is built
+   over the passages of its evaluation texts, normalised to lower-case words with single blanks: their words and their
+   runs of ``RUN`` words. It scans each normalised training text of the batch once, whole.
+3. Coverage. Each match marks an interval of the evaluation text: a word the next occurrence that isn't covered yet, a
+   run all its words. Merged intervals give how many words of the evaluation text are covered, in how many stretches,
+   and how many of them by runs that stand in the training text as they are. Covered words, in any order, decide whether two
+   texts are nearly the same, exactly; the coverage of each evaluation record comes out with the result.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
 
 import ahocorasick
 import numpy as np
@@ -34,229 +27,205 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .words import NEAR, Hashes, near_same, prefix_length, words
-
-COUNT_BITS = 18
-PHRASE = 4
-SHARD_CHARS = 250_000
-SHARD_ROWS = 30_000
-BLOCK = 4_000
-
-
-def _slot(h: int) -> int:
-    return h >> (64 - COUNT_BITS)
-
-
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes, total = Hashes(), np.zeros(1 << COUNT_BITS, np.int64)
-    for pdf in batches:
-        for t in pdf["text"]:
-            s = {_slot(hashes[w]) for w in words(t)}
-            if s:
-                total[list(s)] += 1
-    used = np.flatnonzero(total)
-    yield pd.DataFrame({"slot": used.astype(np.int32), "n": total[used]})
-
-
-def anchors(w: list[str], rank, share: float = NEAR) -> list[str]:
-    """The distinct words among a passage's first words in the order of ``rank``, each occurrence counted."""
-    order = sorted(w, key=rank)
-    return list(dict.fromkeys(order[: prefix_length(len(w), share)]))
-
-
-def shape(n: int, share: float) -> tuple[int, int]:
-    """(cells, words of a phrase) for a pair of passages of which the longer has n words."""
-    need = math.ceil(share * n - 1e-9)
-    k = min(PHRASE, need)
-    m = 1 << max(0, math.ceil(math.log2(max(1, (n - need) / 4))))
-    return (m, k) if (k - 1) * m + 1 <= need else (1, k)
-
-
-def phrases(w: list[str], rarity, hashes: Hashes, share: float = NEAR) -> set[int]:
-    """The phrases of a passage, as hashes, for every length that a longer passage nearly the same may have."""
-    if not w:
-        return set()
-    seen: Counter = Counter()
-    order = []
-    for x in w:
-        h = hashes[x]
-        order.append((rarity(h), h, seen[h]))
-        seen[h] += 1
-    order.sort()
-    ids = [(h + k * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF for _, h, k in order]
-    n = len(ids)
-    out: set[int] = set()
-    for m, k in {shape(x, share) for x in range(n, math.floor(n / share + 1e-9) + 1)}:
-        cells: dict[int, list[int]] = defaultdict(list)
-        for e in ids[: min(n, n - math.ceil(share * n - 1e-9) + (k - 1) * m + 1)]:
-            cells[(e >> 32) % m].append(e)
-        for cell in cells.values():
-            out.update(hash((m, *c)) & 0xFFFFFFFFFFFFFFFF for c in combinations(sorted(cell), k))
-    return out
-
-
-def automaton(patterns: dict[str, list]) -> ahocorasick.Automaton | None:
-    """An automaton over whole words or phrases; the value of each is what ``patterns`` has for it."""
-    if not patterns:
-        return None
-    a = ahocorasick.Automaton()
-    for w, value in patterns.items():
-        a.add_word(f" {w} ", value)
-    a.make_automaton()
-    return a
-
-
-def coverage(a: ahocorasick.Automaton, w: list[str]) -> dict:
-    """passage -> how many of its patterns the text holds, over merged intervals (each counts where it first stands)."""
-    covered: dict = defaultdict(int)
-    for _, passages in a.iter(f" {' '.join(dict.fromkeys(w))} "):
-        for p in passages:
-            covered[p] += 1
-    return covered
-
-
-def _contexts(rows: DataFrame) -> DataFrame:
-    """(ck, text, train, held): the distinct contexts and which sides they stand on."""
-    return rows.groupBy("ck").agg(F.first("context").alias("text"), F.max(F.col("train")).alias("train"), F.max(~F.col("train")).alias("held"))
-
-
-def context_links(contexts: DataFrame, share: float = NEAR) -> DataFrame:
-    """(ck_e, ck_t) of held contexts and training contexts that are nearly the same; a context on both sides is linked
-    with itself."""
-    spark = contexts.sparkSession
-    counted = contexts.select("text").mapInPandas(_count_words, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << COUNT_BITS, np.int64)  # fixed size, however large the input
-    counts[counted["slot"]] = counted["n"]
-    shared = spark.sparkContext.broadcast(counts)
-    size = contexts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    shards = max(spark.sparkContext.defaultParallelism, math.ceil(size / SHARD_CHARS))
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, counts = Hashes(), shared.value
+from .phrases import phrases, rarity
+from .words import NEAR, Hashes, words
+
+#: Words of a phrase for contexts, and for questions within linked contexts; words of a run.
+CONTEXT_PHRASE, QUESTION_PHRASE, RUN = 4, 2, 3
+
+
+class Passages:
+    """An automaton over the passages of evaluation texts, given as lists of words."""
+
+    def __init__(self, texts: list[list[str]]):
+        ids: dict[str, int] = {}
+        runs: dict[str, list[tuple[int, int]]] = {}
+        self.of: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, w in enumerate(texts):
+            seen: dict[str, int] = {}
+            at, nth = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
+            for p, x in enumerate(w):
+                at[p] = ids.setdefault(x, len(ids))
+                nth[p] = seen.get(x, 0)
+                seen[x] = nth[p] + 1
+                if p + RUN <= len(w):
+                    runs.setdefault(" ".join(w[p : p + RUN]), []).append((k, p))
+            self.of.append((at, nth))
+        self.n = len(ids)
+        self.automaton = ahocorasick.Automaton()
+        for x, i in ids.items():
+            self.automaton.add_word(f" {x} ", i)
+        for run, places in runs.items():
+            self.automaton.add_word(f" {run} ", places)
+        if self.n:
+            self.automaton.make_automaton()
+
+    def scan(self, text: list[str]) -> tuple[np.ndarray, dict[int, list[int]]]:
+        """How often each word of the passages stands in a text, and which runs do: evaluation text -> places."""
+        count = np.zeros(self.n, np.int64)
+        runs: dict[int, list[int]] = {}
+        if self.n:
+            for _, hit in self.automaton.iter(f" {' '.join(text)} "):
+                if isinstance(hit, int):
+                    count[hit] += 1
+                else:
+                    for k, p in hit:
+                        runs.setdefault(k, []).append(p)
+        return count, runs
+
+    def coverage(self, k: int, scanned: tuple[np.ndarray, dict[int, list[int]]]) -> tuple[int, int, int]:
+        """(covered, stretches, verbatim): words of the k-th evaluation text that the scanned text covers, in how many
+        merged intervals, and how many by runs."""
+        at, nth = self.of[k]
+        count, runs = scanned
+        covered = count[at] > nth
+        verbatim = np.zeros(len(at), bool)
+        for p in runs.get(k, ()):
+            verbatim[p : p + RUN] = True
+        return int(covered.sum()), int((covered[1:] & ~covered[:-1]).sum() + covered[:1].sum()), int(verbatim.sum())
+
+
+_COVER = "n_e int, n_t int, covered int, stretches int, verbatim int"
+
+
+def _scan(key_e: str, key_t: str, keep: list[str], share: float):
+    """Candidates (*keep, key_e, key_t, a, b) with evaluation text a and training text b -> those nearly the same."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for ck, text, train, held in zip(pdf["ck"], pdf["text"], pdf["train"], pdf["held"]):
-                by: dict[int, list[str]] = defaultdict(list)
-                w = words(text)
-                for p in phrases(w, lambda h: counts[_slot(h)], hashes, share):
-                    by[p % shards].append(f"{p:x}")
-                for shard, some in by.items():
-                    rows.append((shard, ck, len(w), bool(train), bool(held), " ".join(some)))
-            yield pd.DataFrame(rows, columns=["shard", "ck", "n", "train", "held", "part"])
-
-    routed = materialize(contexts.mapInPandas(route, "shard int, ck long, n int, train boolean, held boolean, part string"), "anchors")
-
-    def scan(held: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        if held.empty or train.empty:
-            return pd.DataFrame({"ck_e": [], "ck_t": [], "covered": []}, dtype="int64")
-        patterns: dict[str, list] = defaultdict(list)
-        for e, part in zip(zip(held["ck"].tolist(), held["n"].tolist()), held["part"]):
-            for w in part.split(" "):
-                patterns[w].append(e)
-        a = automaton(patterns)
-        rows = []
-        if a is not None:
-            for ck, n, part in zip(train["ck_t"].tolist(), train["n_t"].tolist(), train["part_t"]):
-                # passages that differ too much in length can't be nearly the same
-                rows += [(e, ck, c) for (e, m), c in coverage(a, part.split(" ")).items() if min(m, n) >= share * max(m, n) - 1e-9]
-        return pd.DataFrame(rows, columns=["ck_e", "ck_t", "covered"], dtype="int64")
-
-    left = routed.where("held").select("shard", "ck", "n", "part").groupBy("shard")
-    right = routed.where("train").select(F.col("shard").alias("shard_t"), F.col("ck").alias("ck_t"), F.col("n").alias("n_t"), F.col("part").alias("part_t")).groupBy("shard_t")
-    pairs = left.cogroup(right).applyInPandas(scan, "ck_e long, ck_t long, covered long")
-    pairs = pairs.groupBy("ck_e", "ck_t").agg(F.sum("covered").alias("covered"))
-    texts = contexts.select("ck", "text")
-    pairs = pairs.join(texts.toDF("ck_e", "a"), "ck_e").join(texts.toDF("ck_t", "b"), "ck_t")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ok = [x == y or near_same(words(a), words(b), share) for x, y, a, b in zip(pdf["ck_e"], pdf["ck_t"], pdf["a"], pdf["b"])]
-            yield pdf.loc[np.array(ok, bool), ["ck_e", "ck_t"]]
-
-    return pairs.select("ck_e", "ck_t", "a", "b").mapInPandas(verify, "ck_e long, ck_t long")
-
-
-def _scan_questions(share: float):
-    def run(held: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        if held.empty or train.empty:
-            return pd.DataFrame({"ck_e": [], "qk_e": [], "ck_t": [], "qk_t": []}, dtype="int64")
-        e, t = [words(x) for x in held["text"]], [words(x) for x in train["text"]]
-        df = Counter(w for side in (e, t) for x in side for w in set(x))
-        group = [(a, b) for a, b in zip(held["ck_e"].tolist(), held["block"].tolist())]
-        patterns: dict[str, list] = defaultdict(list)
-        for k, w in enumerate(e):
-            if w:
-                for x in anchors(w, lambda x: (df[x], x), share):
-                    patterns[x].append(k)
-        # a word's passages by the context they belong to
-        a = automaton({x: _by(ks, group) for x, ks in patterns.items()})
-        rows = []
-        if a is not None:
-            for j, w in enumerate(t):
-                if not w:
+            e, t = pdf[key_e].tolist(), pdf[key_t].tolist()
+            first = {k: i for i, k in reversed(list(enumerate(e)))}
+            held = {k: words(pdf["a"].iat[i]) for k, i in first.items()}
+            order = {k: i for i, k in enumerate(held)}
+            passages = Passages(list(held.values()))
+            scanned: dict = {}
+            rows, at = [], []
+            for i, (x, y) in enumerate(zip(e, t)):
+                if y not in scanned:
+                    w = words(pdf["b"].iat[i])
+                    scanned[y] = (len(w), passages.scan(w))
+                n_t, hits = scanned[y]
+                n_e = len(held[x])
+                if not n_e or not n_t or min(n_e, n_t) < share * max(n_e, n_t) - 1e-9:
                     continue
-                mine = (train["ck_e"].iat[j], train["block"].iat[j])
-                covered: dict[int, int] = defaultdict(int)
-                for _, by in a.iter(f" {' '.join(dict.fromkeys(w))} "):
-                    for k in by.get(mine, ()):
-                        covered[k] += 1
-                for k in covered:
-                    if near_same(e[k], w, share):
-                        rows.append((mine[0], held["qk"].iat[k], train["ck_t"].iat[j], train["qk"].iat[j]))
-        return pd.DataFrame(rows, columns=["ck_e", "qk_e", "ck_t", "qk_t"], dtype="int64")
+                c = passages.coverage(order[x], hits)
+                if c[0] >= share * max(n_e, n_t) - 1e-9:
+                    rows.append((n_e, n_t, *c))
+                    at.append(i)
+            out = pdf.iloc[at][keep].reset_index(drop=True)
+            yield pd.concat([out, pd.DataFrame(rows, columns=["n_e", "n_t", "covered", "stretches", "verbatim"], dtype="int32")], axis=1)
 
     return run
 
 
-def _by(ks: list[int], group: list) -> dict:
-    out: dict = defaultdict(list)
-    for k in ks:
-        out[group[k]].append(k)
-    return dict(out)
+def _keyed(texts: DataFrame, keep: list[str], counts, phrase: int, share: float) -> DataFrame:
+    """(*keep, key): a row for each phrase of the column text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, held = Hashes(), counts.value
+        for pdf in batches:
+            found = [phrases(words(t), held, hashes, phrase, share) for t in pdf["text"]]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            out = pdf[keep].iloc[np.repeat(np.arange(len(pdf)), n)].reset_index(drop=True)
+            yield out.assign(key=np.fromiter((x for f in found for x in f), np.int64, int(n.sum())))
+
+    schema = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep)
+    return texts.select(*keep, "text").mapInPandas(run, f"{schema}, key long")
+
+
+def _rows(examples: DataFrame, id_column: str, split: str, context: str, question: str, train: str) -> DataFrame:
+    side: Column = F.lower(F.regexp_replace(F.col(split), r"(?U)^\s+|\s+$", ""))
+    rows = examples.select(F.col(id_column).cast("long").alias("id"), side.alias("side"), F.col(context).alias("context"), F.col(question).alias("question"))
+    rows = rows.where("id is not null and side is not null and side != '' and context is not null and question is not null")
+    return rows.select("id", "side", (F.col("side") == train.lower()).alias("train"), F.xxhash64("context").alias("ck"), F.xxhash64("question").alias("qk"), "context", "question")
+
+
+def context_links(contexts: DataFrame, counts, share: float = NEAR) -> DataFrame:
+    """(ck_e, ck_t, coverage columns) of evaluation contexts and training contexts that are nearly the same; a context
+    on both sides is linked with itself. ``contexts`` has (ck, text, train, held)."""
+    keyed = materialize(_keyed(contexts, ["ck", "train", "held"], counts, CONTEXT_PHRASE, share), "phrases")
+    held = keyed.where("held").select("key", F.col("ck").alias("ck_e"))
+    ours = keyed.where("train").select("key", F.col("ck").alias("ck_t"))
+    pairs = held.join(ours, "key").select("ck_e", "ck_t").distinct()
+    texts = contexts.select("ck", "text")
+    met = pairs.join(texts.toDF("ck_t", "b"), "ck_t").join(texts.toDF("ck_e", "a"), "ck_e").sortWithinPartitions("ck_e")
+    return met.mapInPandas(_scan("ck_e", "ck_t", ["ck_e", "ck_t"], share), f"ck_e long, ck_t long, {_COVER}")
+
+
+def cross_split_links(examples: DataFrame, id_column: str = "example_id", split: str = "split", context: str = "context", question: str = "question", train: str = "train", share: float = NEAR) -> DataFrame:
+    """Rows (ck_e, qk_e, ck_t, qk_t, coverage, verbatim, stretches): distinct evaluation records and the distinct
+    training records they overlap with, by the 64-bit hashes of their contexts and questions.
+
+    coverage is the share of the evaluation record's words, context and question together, that the training record
+    has, verbatim the share within runs that stand there as they are, stretches the merged intervals. Copies are not
+    expanded. Same cases as ``cross_split_pairs``. Runs jobs when called.
+    """
+    spark = examples.sparkSession
+    rows = _rows(examples, id_column, split, context, question, train)
+    contexts = rows.groupBy("ck").agg(F.first("context").alias("text"), F.max("train").alias("train"), F.max(~F.col("train")).alias("held"))
+    contexts = materialize(contexts, "contexts")
+    counts = spark.sparkContext.broadcast(rarity(contexts.select("text").unionByName(rows.select(F.col("question").alias("text")))))  # fixed size
+    links = materialize(context_links(contexts, counts, share), "links")
+
+    linked = links.select(F.col("ck_e").alias("ck")).union(links.select("ck_t")).distinct()
+    asked = rows.select("ck", "qk", "train", "question").join(linked, "ck", "left_semi").groupBy("ck", "qk", "train").agg(F.first("question").alias("text"))
+    asked = materialize(asked, "questions")
+    keyed = materialize(_keyed(asked, ["ck", "qk", "train"], counts, QUESTION_PHRASE, share), "phrases")
+    held = keyed.where("not train").select(F.col("ck").alias("ck_e"), F.col("qk").alias("qk_e"), "key")
+    ours = keyed.where("train").select(F.col("ck").alias("ck_t"), F.col("qk").alias("qk_t"), "key").join(links.select("ck_e", "ck_t"), "ck_t")
+    # the key holds the context too, so the questions of a hot context are spread by their phrases
+    pairs = held.join(ours, ["ck_e", "key"]).select("ck_e", "qk_e", "ck_t", "qk_t").distinct()
+    texts = asked.groupBy("qk").agg(F.first("text").alias("text"))
+    met = pairs.join(texts.toDF("qk_t", "b"), "qk_t").join(texts.toDF("qk_e", "a"), "qk_e").sortWithinPartitions("qk_e")
+    found = met.mapInPandas(_scan("qk_e", "qk_t", ["ck_e", "qk_e", "ck_t", "qk_t"], share), f"ck_e long, qk_e long, ck_t long, qk_t long, {_COVER}")
+    c = links.select("ck_e", "ck_t", *[F.col(x).alias(f"c_{x}") for x in ("n_e", "covered", "stretches", "verbatim")])
+    both = found.join(c, ["ck_e", "ck_t"])
+    n = F.col("n_e") + F.col("c_n_e")
+    return materialize(both.select(
+        "ck_e", "qk_e", "ck_t", "qk_t", ((F.col("covered") + F.col("c_covered")) / n).alias("coverage"), ((F.col("verbatim") + F.col("c_verbatim")) / n).alias("verbatim"), (F.col("stretches") + F.col("c_stretches")).alias("stretches")
+    ), "overlaps")
 
 
 def cross_split_pairs(examples: DataFrame, id_column: str = "example_id", split: str = "split", context: str = "context", question: str = "question", train: str = "train", share: float = NEAR) -> DataFrame:
-    """Rows (train_id, held_id, held_split) of records that overlap, one in the training split, one in another.
+    """Rows (train_id, held_id, held_split) of records that overlap, one in the training split, one in another; of
+    copies all pairs, which ``cross_split_coverage`` doesn't expand.
 
     Splits are compared without regard to case and blanks around them; a row without a split is on neither side. Null
     and blank contexts or questions, and those without any letter or digit, overlap with nothing. Rows that repeat an
     id count once for each split. Empty tables give no rows. Other columns are ignored.
     """
-    spark = examples.sparkSession
-    side: Column = F.lower(F.regexp_replace(F.col(split), r"(?U)^\s+|\s+$", ""))
-    rows = examples.select(F.col(id_column).cast("long").alias("id"), side.alias("side"), F.col(context).alias("context"), F.col(question).alias("question"))
-    rows = rows.where("id is not null and side is not null and side != '' and context is not null and question is not null")
-    rows = rows.select("id", "side", (F.col("side") == train.lower()).alias("train"), F.xxhash64("context").alias("ck"), F.xxhash64("question").alias("qk"), "context", "question")
-    contexts = materialize(_contexts(rows.select("ck", "context", "train")), "contexts")
-    links = materialize(context_links(contexts, share), "links")
-
-    texts = rows.select("ck", "qk", "train", "question")
-    held = texts.where("not train").select(F.col("ck").alias("ck_e"), "qk", "question").join(links.select("ck_e").distinct(), "ck_e", "left_semi")
-    held = held.groupBy("ck_e", "qk").agg(F.first("question").alias("text"))
-    ours = texts.where("train").select(F.col("ck").alias("ck_t"), "qk", "question").join(links.select("ck_t").distinct(), "ck_t", "left_semi")
-    ours = ours.groupBy("ck_t", "qk").agg(F.first("question").alias("text"))
-    held = materialize(held, "held")
-    blocks = held.groupBy("ck_e").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    shards = max(spark.sparkContext.defaultParallelism, math.ceil(held.count() / SHARD_ROWS))
-    shard = F.pmod(F.xxhash64("ck_e", "block"), F.lit(shards)).cast("int")
-    left = held.join(blocks, "ck_e").withColumn("block", F.pmod(F.col("qk"), F.col("blocks")).cast("int"))
-    right = ours.join(links, "ck_t").join(blocks, "ck_e").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select(shard.alias("shard"), "ck_e", "block", "qk", "text").groupBy("shard")
-    right = right.select(shard.alias("shard"), "ck_e", "block", "ck_t", "qk", "text").groupBy("shard")
-    pairs = left.cogroup(right).applyInPandas(_scan_questions(share), "ck_e long, qk_e long, ck_t long, qk_t long").distinct()
-    pairs = materialize(pairs, "pairs")
-
-    ids = rows.select("id", "side", "train", "ck", "qk").distinct()
+    links = cross_split_links(examples, id_column, split, context, question, train, share).select("ck_e", "qk_e", "ck_t", "qk_t")
+    ids = _rows(examples, id_column, split, context, question, train).select("id", "side", "train", "ck", "qk").distinct()
     train_ids = ids.where("train").select(F.col("ck").alias("ck_t"), F.col("qk").alias("qk_t"), F.col("id").alias("train_id"))
     held_ids = ids.where("not train").select(F.col("ck").alias("ck_e"), F.col("qk").alias("qk_e"), F.col("id").alias("held_id"), F.col("side").alias("held_split"))
-    return pairs.join(held_ids, ["ck_e", "qk_e"]).join(train_ids, ["ck_t", "qk_t"]).select("train_id", "held_id", "held_split")
+    return links.join(held_ids, ["ck_e", "qk_e"]).join(train_ids, ["ck_t", "qk_t"]).select("train_id", "held_id", "held_split")
+
 
+def cross_split_coverage(examples: DataFrame, id_column: str = "example_id", split: str = "split", context: str = "context", question: str = "question", train: str = "train", share: float = NEAR) -> DataFrame:
+    """One row (id, split, rep, train_rep, links, coverage, verbatim, stretches) for each evaluation record that
+    overlaps with the training split.
 
-def overlap_report(examples: DataFrame, pairs: DataFrame, source: Column, id_column: str = "example_id", split: str = "split") -> DataFrame:
-    """Rows (split, source, records, overlapping): how many records of each held split and source also stand in the
-    training split; sources without overlap are left out."""
+    rep is the least id of records with the same context and question in an evaluation split, links how many different
+    training records overlap, train_rep the least id of the one that covers most of it, of equals the one of least
+    id; coverage, verbatim and stretches are of that one. Same cases as ``cross_split_pairs``.
+    """
+    links = cross_split_links(examples, id_column, split, context, question, train, share)
+    ids = _rows(examples, id_column, split, context, question, train).select("id", "side", "train", "ck", "qk").distinct()
+    reps = ids.groupBy("ck", "qk", "train").agg(F.min("id").alias("rep"))
+    ours = reps.where("train").select(F.col("ck").alias("ck_t"), F.col("qk").alias("qk_t"), F.col("rep").alias("train_rep"))
+    theirs = reps.where("not train").select(F.col("ck").alias("ck_e"), F.col("qk").alias("qk_e"), "rep")
+    best = F.max_by(F.struct("train_rep", "coverage", "verbatim", "stretches"), F.struct("coverage", "verbatim", -F.col("train_rep"))).alias("best")
+    per = links.join(ours, ["ck_t", "qk_t"]).groupBy("ck_e", "qk_e").agg(F.count("*").alias("links"), best).join(theirs, ["ck_e", "qk_e"])
+    held = ids.where("not train").select("id", F.col("side").alias("split"), F.col("ck").alias("ck_e"), F.col("qk").alias("qk_e"))
+    return held.join(per, ["ck_e", "qk_e"]).select("id", "split", "rep", "best.train_rep", "links", "best.coverage", "best.verbatim", "best.stretches")
+
+
+def overlap_report(examples: DataFrame, covered: DataFrame, source: Column, id_column: str = "example_id", split: str = "split") -> DataFrame:
+    """Rows (split, source, records, overlapping, coverage): how many records of each evaluation split and source also
+    stand in the training split, by ``cross_split_coverage``, and how much of them is covered in the mean; sources
+    without overlap are left out."""
     side = F.lower(F.regexp_replace(F.col(split), r"(?U)^\s+|\s+$", ""))
-    hit = pairs.select(F.col("held_id").alias("id"), F.col("held_split").alias("split")).distinct().withColumn("hit", F.lit(1))
+    hit = covered.select("id", "split", "coverage")
     all_ = examples.select(F.col(id_column).cast("long").alias("id"), side.alias("split"), source.alias("source"))
-    out = all_.join(hit, ["id", "split"], "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("hit").alias("overlapping"))
+    out = all_.join(hit, ["id", "split"], "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("coverage").alias("overlapping"), F.round(F.avg("coverage"), 4).alias("coverage"))
     return out.where("overlapping > 0")

@@ -25,15 +25,16 @@ def p1_all_defects(spark: SparkSession, d: str) -> DataFrame:
     return pair_defects.pair_defects(_table(spark, d, "split_examples"), "example_id").select(F.col("id").alias("example_id"), "defect", "rank")
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return cross_split.cross_split_pairs(_table(spark, d, "split_examples"))
-
-
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _overlaps(spark, d)
+    pairs = cross_split.cross_split_pairs(_table(spark, d, "split_examples"))
     return pairs.select(F.least("train_id", "held_id").alias("example_id_a"), F.greatest("train_id", "held_id").alias("example_id_b")).distinct()
 
 
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    covered = cross_split.cross_split_coverage(_table(spark, d, "split_examples"))
+    return covered.withColumnRenamed("id", "example_id").withColumn("coverage", F.round("coverage", 4)).withColumn("verbatim", F.round("verbatim", 4))
+
+
 def _as_written(spark: SparkSession, d: str, df: DataFrame, column: str) -> DataFrame:
     """``df`` with canonical ids of prompts written as in system_prompts."""
     ids = splits.written_ids(_table(spark, d, "system_prompts"))
@@ -41,7 +42,8 @@ def _as_written(spark: SparkSession, d: str, df: DataFrame, column: str) -> Data
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    report = cross_split.overlap_report(_table(spark, d, "split_examples"), _overlaps(spark, d), splits.row_canonical())
+    examples = _table(spark, d, "split_examples")
+    report = cross_split.overlap_report(examples, cross_split.cross_split_coverage(examples), splits.row_canonical())
     return _as_written(spark, d, report, "source").withColumnRenamed("source", "system_prompt_id")
 
 
@@ -130,7 +132,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_all_defects, p2_found, p2_report, p3_found, p3_assign, p3_prompts, p4_pack, p4_fill, p5_found, p5_groups, p6_found, p6_items, p7_mix, p7_shares, p7_temperature, p8_found, p8_languages, p8_passages]
+    found = [p1_found, p1_all_defects, p2_found, p2_coverage, p2_report, p3_found, p3_assign, p3_prompts, p4_pack, p4_fill, p5_found, p5_groups, p6_found, p6_items, p7_mix, p7_shares, p7_temperature, p8_found, p8_languages, p8_passages]
     return {f.__name__: f for f in found}
 
 
