@@ -221,4 +221,4 @@ def test_coverage_merges_intervals():
     hits = p.scan("six one two three x one five".split())
     assert p.coverage(0, hits) == (6, 2, 3)  # all but four; before it and after it; one two three
     assert p.coverage(1, hits) == (2, 1, 0)
-    assert p.coverage(0, p.scan([])) == (0, 0, 0) and cross_split.Passages([]).scan(["a"])[1] == {}
+    assert p.coverage(0, p.scan([])) == (0, 0, 0) and not cross_split.Passages([]).scan(["a"])[1]

@@ -39,49 +39,43 @@ class Passages:
 
     def __init__(self, texts: list[list[str]]):
         ids: dict[str, int] = {}
-        runs: dict[str, list[tuple[int, int]]] = {}
-        self.of: list[tuple[np.ndarray, np.ndarray]] = []
-        for k, w in enumerate(texts):
+        runs: dict[str, int] = {}
+        self.of: list[tuple[np.ndarray, np.ndarray, list[int]]] = []
+        for w in texts:
             seen: dict[str, int] = {}
             at, nth = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
             for p, x in enumerate(w):
                 at[p] = ids.setdefault(x, len(ids))
-                nth[p] = seen.get(x, 0)
-                seen[x] = nth[p] + 1
-                if p + RUN <= len(w):
-                    runs.setdefault(" ".join(w[p : p + RUN]), []).append((k, p))
-            self.of.append((at, nth))
+                nth[p] = n = seen.get(x, 0)
+                seen[x] = n + 1
+            mine = [runs.setdefault(" ".join(w[p : p + RUN]), len(runs)) for p in range(len(w) - RUN + 1)]
+            self.of.append((at, nth, mine))
         self.n = len(ids)
         self.automaton = ahocorasick.Automaton()
         for x, i in ids.items():
             self.automaton.add_word(f" {x} ", i)
-        for run, places in runs.items():
-            self.automaton.add_word(f" {run} ", places)
+        for run, i in runs.items():
+            self.automaton.add_word(f" {run} ", self.n + i)
         if self.n:
             self.automaton.make_automaton()
 
-    def scan(self, text: list[str]) -> tuple[np.ndarray, dict[int, list[int]]]:
-        """How often each word of the passages stands in a text, and which runs do: evaluation text -> places."""
-        count = np.zeros(self.n, np.int64)
-        runs: dict[int, list[int]] = {}
-        if self.n:
-            for _, hit in self.automaton.iter(f" {' '.join(text)} "):
-                if isinstance(hit, int):
-                    count[hit] += 1
-                else:
-                    for k, p in hit:
-                        runs.setdefault(k, []).append(p)
-        return count, runs
-
-    def coverage(self, k: int, scanned: tuple[np.ndarray, dict[int, list[int]]]) -> tuple[int, int, int]:
+    def scan(self, text: list[str]) -> tuple[np.ndarray, set[int]]:
+        """How often each word of the passages stands in a text, and which of their runs do."""
+        hits = np.fromiter((i for _, i in self.automaton.iter(f" {' '.join(text)} ")), np.int64) if self.n else np.zeros(0, np.int64)
+        return np.bincount(hits[hits < self.n], minlength=self.n), set((hits[hits >= self.n] - self.n).tolist())
+
+    def covered(self, k: int, count: np.ndarray) -> np.ndarray:
+        """Which words of the k-th evaluation text a scanned text covers."""
+        at, nth, _ = self.of[k]
+        return count[at] > nth
+
+    def coverage(self, k: int, scanned: tuple[np.ndarray, set[int]]) -> tuple[int, int, int]:
         """(covered, stretches, verbatim): words of the k-th evaluation text that the scanned text covers, in how many
         merged intervals, and how many by runs."""
-        at, nth = self.of[k]
-        count, runs = scanned
-        covered = count[at] > nth
-        verbatim = np.zeros(len(at), bool)
-        for p in runs.get(k, ()):
-            verbatim[p : p + RUN] = True
+        covered, verbatim = self.covered(k, scanned[0]), np.zeros(len(self.of[k][0]), bool)
+        for p, run in enumerate(self.of[k][2]):
+            if run in scanned[1]:
+                verbatim[p : p + RUN] = True
         return int(covered.sum()), int((covered[1:] & ~covered[:-1]).sum() + covered[:1].sum()), int(verbatim.sum())
 
 
@@ -108,9 +102,8 @@ def _scan(key_e: str, key_t: str, keep: list[str], share: float):
                 n_e = len(held[x])
                 if not n_e or not n_t or min(n_e, n_t) < share * max(n_e, n_t) - 1e-9:
                     continue
-                c = passages.coverage(order[x], hits)
-                if c[0] >= share * max(n_e, n_t) - 1e-9:
-                    rows.append((n_e, n_t, *c))
+                if passages.covered(order[x], hits[0]).sum() >= share * max(n_e, n_t) - 1e-9:
+                    rows.append((n_e, n_t, *passages.coverage(order[x], hits)))
                     at.append(i)
             out = pdf.iloc[at][keep].reset_index(drop=True)
             yield pd.concat([out, pd.DataFrame(rows, columns=["n_e", "n_t", "covered", "stretches", "verbatim"], dtype="int32")], axis=1)
