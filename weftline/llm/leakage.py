@@ -3,13 +3,16 @@
 A document holds an item if it has ``RUN`` or more consecutive words of it, or a stretch with at least ``STRETCH`` words
 of the item in their order, of which at most one in ``EDITS`` is changed, left out or added.
 
-1. Windows. A stretch of 25 words with three edits still has six words in a row as they were, as has a run of twelve;
-   so the windows of items and of documents are six words, the size of the least part of an item that must be found.
-   Each gets a 64-bit SimHash, its words weighted by how few items hold them.
-2. Multi-index Hamming blocks. The fingerprints are cut into ``RADIUS`` + 1 blocks. Two fingerprints within ``RADIUS``
-   agree in one block at least, so looking up each block and comparing what it finds gives all of them.
-3. Verification. The words around each hit are compared within ``BAND`` words of its diagonal. Hits that leave room for
-   a leak are decided by the exact rule above, and each leak comes with its exact weighted-shingle similarity.
+1. Windows are as large as a part of an item can be that every leak must leave with one edit at most: ``WINDOW`` = 10
+   words. (If each ten words of a stretch of n >= 25 had two edits, it would have 2 [n / 10] > n / 8.) An edit puts one
+   word of a window out and another in. Each window gets a 64-bit SimHash over its words, weighted by how few items
+   hold them, in ``BLOCKS`` blocks: a word votes on the bits of one block, which its hash names.
+2. Multi-index Hamming blocks. An edit touches two blocks at most, the one of the word that goes and the one of the
+   word that comes; so two windows one edit apart agree in all others, and looking up each choice of ``BLOCKS`` - 2
+   blocks finds all fingerprints within that radius. No window within an edit of one of an item is missed.
+3. Verification. A hit must have the words of its window but one in place; it then must leave room for a leak within
+   ``BAND`` words of its diagonal. The pairs that remain are decided by the exact rule above, and each comes with its exact
+   weighted similarity over shingles of ``SHINGLE`` words.
 
 Items are a stated query set. They are taken in blocks of at most ``BLOCK_WORDS`` words, which bounds what a task
 holds; all documents pass each block once, without a shuffle of any text.
@@ -21,7 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -29,12 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WORD, both_forms, raw_words
+from .words import WORD, both_forms, mix, raw_words
 
-WINDOW, RADIUS = 6, 2
+WINDOW, BLOCKS, SHINGLE = 10, 4, 5
 RUN, STRETCH, EDITS, BAND = 12, 25, 8, 6
 BLOCK_WORDS = 2_000_000
 CHUNK_WORDS = 150_000
+TABLE_BITS = 20
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _BREAK = re.compile(r"[-‐‑][ \t]*\r?\n")
 _HYPHEN = re.compile(r"(?<!\w)(\w++)[-‐‑][ \t]*\r?\n\s*(\w+)")
@@ -58,22 +62,30 @@ class Index:
         n = max(1, len(texts))
         # small integers: they are summed and compared only
         self.weight = np.array([1 + round(4 * math.log(n / held[x]) / max(1e-9, math.log(n))) if n > 1 else 1 for x in self.vocabulary] + [5], np.int16)
-        bits = np.array([xxhash.xxh64_intdigest(x) for x in self.vocabulary] + [0], np.uint64)
-        signs = ((bits[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int16) * 2 - 1
-        self.signed = signs * self.weight[:, None]
+        hashed = np.array([xxhash.xxh64_intdigest(x) for x in self.vocabulary] + [0], np.uint64)
+        size = 64 // BLOCKS
+        bit = np.arange(64, dtype=np.uint64)
+        votes = (hashed[:, None] % np.uint64(BLOCKS)) == bit // np.uint64(size)  # of one block each
+        signs = ((mix(hashed)[:, None] >> bit) & np.uint64(1)).astype(np.int16) * 2 - 1
+        self.signed = np.where(votes, signs * self.weight[:, None], 0).astype(np.int16)
         self.signed[self.unknown] = 0
-        prints, at = self.prints(self.words, self.start)
-        self.prints_, self.at = prints, at
-        self.item = np.searchsorted(self.start, at, "right") - 1
-        self.shingle = sum((self.weight[self.words[at + k]].astype(np.int64) for k in range(WINDOW)), np.zeros(len(at), np.int64))
-        self.total = np.bincount(self.item, self.shingle, minlength=len(texts))
-        self.blocks = []
-        for lo, size in _cuts():
-            key = ((prints >> np.uint64(lo)) & np.uint64((1 << size) - 1)).astype(np.int64)
+        prints, self.at = self.prints(self.words, self.start)
+        self.item = np.searchsorted(self.start, self.at, "right") - 1
+        code, at = shingles(self.words, self.start)
+        self.shingles: list[tuple[np.ndarray, np.ndarray]] = []
+        owner = np.searchsorted(self.start, at, "right") - 1
+        for k in range(len(texts)):
+            mine = owner == k
+            codes, first = np.unique(code[mine], return_index=True)
+            self.shingles.append((codes, sum((self.weight[self.words[at[mine][first] + j]].astype(np.int64) for j in range(SHINGLE)), np.zeros(len(codes), np.int64))))
+        self.tables = []
+        for chosen in combinations(range(BLOCKS), BLOCKS - 2):
+            mask = np.uint64(sum(((1 << size) - 1) << (size * c) for c in chosen))
+            key = prints & mask
             order = np.argsort(key, kind="stable")
-            first = np.zeros((1 << size) + 1, np.int32)
-            np.cumsum(np.bincount(key, minlength=1 << size), out=first[1:])
-            self.blocks.append((lo, size, first, order.astype(np.int32)))
+            seen = np.zeros(1 << TABLE_BITS, bool)
+            seen[_table(key)] = True
+            self.tables.append((mask, seen, key[order], order))
 
     def prints(self, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprints of all windows within texts, and where each window begins."""
@@ -82,7 +94,7 @@ class Index:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         text = np.searchsorted(start, np.arange(len(ids)), "right")
         inside = text[:n] == text[WINDOW - 1 :]
-        # a window with more than one word that no item has can't come within the radius of any
+        # a window with more than one word that no item has isn't within an edit of any
         known = np.concatenate([[0], np.cumsum(ids != self.unknown)])
         at = np.flatnonzero(inside & (known[WINDOW:] - known[:-WINDOW] >= WINDOW - 1))
         out = np.zeros(len(at), np.uint64)
@@ -95,26 +107,39 @@ class Index:
         return out, at
 
     def lookup(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (document window, item window) whose fingerprints differ in at most RADIUS bits."""
+        """All pairs (document window, item window) whose fingerprints differ in two blocks at most."""
         found = []
-        for lo, size, first, order in self.blocks:
-            key = ((prints >> np.uint64(lo)) & np.uint64((1 << size) - 1)).astype(np.int64)
-            n = first[key + 1] - first[key]
-            some = np.flatnonzero(n)
-            if not len(some):
-                continue
-            n, begin = n[some], first[key[some]]
+        for mask, seen, keys, order in self.tables:
+            key = prints & mask
+            some = np.flatnonzero(seen[_table(key)])
+            lo, hi = np.searchsorted(keys, key[some], "left"), np.searchsorted(keys, key[some], "right")
+            n = hi - lo
             mine = np.repeat(some, n)
-            theirs = order[np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)]
-            near = np.bitwise_count(prints[mine] ^ self.prints_[theirs]) <= RADIUS
-            found.append(mine[near].astype(np.int64) << 32 | theirs[near])
-        both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            theirs = order[np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+            found.append(mine.astype(np.int64) << 32 | theirs)
+        both = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        both = both[np.flatnonzero(np.diff(both, prepend=-1))]
         return both >> 32, both & 0xFFFFFFFF
 
+    def similarity(self, doc: np.ndarray, item: int) -> float:
+        """The share of the item's weighted shingles that a text has."""
+        codes, weight = self.shingles[item]
+        return float(weight[np.isin(codes, doc)].sum() / max(1, weight.sum()))
 
-def _cuts() -> list[tuple[int, int]]:
-    edges = [round(64 * i / (RADIUS + 1)) for i in range(RADIUS + 2)]
-    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
+
+def shingles(ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit code of each run of ``SHINGLE`` words within texts, and where it begins."""
+    n = max(0, len(ids) - SHINGLE + 1)
+    text = np.searchsorted(start, np.arange(len(ids)), "right")
+    at = np.flatnonzero(text[:n] == text[SHINGLE - 1 :][:n])
+    code = np.zeros(len(at), np.uint64)
+    for k in range(SHINGLE):
+        code = mix(code * np.uint64(31) + ids[at + k].astype(np.uint64) + np.uint64(1))
+    return code, at
+
+
+def _table(key: np.ndarray) -> np.ndarray:
+    return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
 def _words(text: str, vocabulary: dict[str, int]) -> list:
@@ -156,12 +181,14 @@ def holds(doc: np.ndarray, item: np.ndarray, p: int, q: int) -> bool:
 
 def scan(index: Index, texts: list[str]) -> list[tuple[int, int, float]]:
     """(position of the text, item id, similarity) of all items held by the texts; similarity is the share of the
-    item's weighted shingles, of WINDOW words each, that the text has word for word."""
+    item's weighted shingles that the text has word for word."""
     split = [_words(t, index.vocabulary) if t else [] for t in texts]
     start = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
     flat = np.fromiter(map(index.forms.get, chain.from_iterable(split), repeat(index.unknown)), np.int32, int(start[-1]))
     prints, at = index.prints(flat, start)
     mine, theirs = index.lookup(prints)
+    near = _one_edit(index, flat, at[mine], index.at[theirs])
+    mine, theirs = mine[near], theirs[near]
     if not len(mine):
         return []
     p, q = at[mine], index.at[theirs]
@@ -193,13 +220,27 @@ def scan(index: Index, texts: list[str]) -> list[tuple[int, int, float]]:
                 if holds(flat[start[d] : start[d + 1]], index.words[index.start[i] : index.start[i + 1]], int(p[x] - start[d]), int(q[x] - index.start[i])):
                     found.add(int(pair[x]))
     n = len(index.ids)
-    # each shingle of an item counts once for a text
-    once = np.unique(np.stack([pair[equal], theirs[equal]]), axis=1)
-    keep = np.isin(once[0], np.fromiter(found, np.int64, len(found)))
-    weight: dict[int, int] = {}
-    for x, w in zip(once[0][keep].tolist(), index.shingle[once[1][keep]].tolist()):
-        weight[x] = weight.get(x, 0) + w
-    return [(x // n, index.ids[x % n], weight.get(x, 0) / max(1.0, float(index.total[x % n]))) for x in sorted(found)]
+    out, held = [], {}
+    for x in sorted(found):
+        d, i = divmod(x, n)
+        if d not in held:
+            held[d] = shingles(flat[start[d] : start[d + 1]], np.array([0, start[d + 1] - start[d]]))[0]
+        out.append((d, index.ids[i], index.similarity(held[d], i)))
+    return out
+
+
+def _one_edit(index: Index, flat: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether all words of the item's window but one stand in the text's window, at most one place off."""
+    seen = np.zeros(len(p), np.int8)
+    for k in range(WINDOW):
+        want = index.words[q + k]
+        hit = flat[p + k] == want
+        if k:
+            hit |= flat[p + k - 1] == want
+        if k + 1 < WINDOW:
+            hit |= flat[p + k + 1] == want
+        seen += hit
+    return seen >= WINDOW - 1
 
 
 def _room(index: Index, flat, start, p, q, doc, item) -> np.ndarray:
@@ -224,7 +265,7 @@ def _room(index: Index, flat, start, p, q, doc, item) -> np.ndarray:
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows (doc_id, item_id, similarity), one for each document and item that it holds; similarity is the share of the
-    item's weighted shingles of WINDOW words that the document has word for word.
+    item's weighted shingles of ``SHINGLE`` words that the document has word for word.
 
     Null and empty texts hold nothing and are held by none; items of fewer than RUN words are never held. Repeated
     documents each have their rows; an id that stands on several rows holds what any of them holds. Empty tables give
