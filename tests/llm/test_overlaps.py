@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def test_sketches_estimate_similarity():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 120).astype(np.uint64)
     sets = [base, np.concatenate([base[:90], rng.integers(0, 1 << 62, 30).astype(np.uint64)]), base[:1]]
-    s = near_duplicates.sketch(sets, 384)
+    s = near_duplicates.sketch(sets, 640)
     assert abs((s[0] == s[1]).mean() - 90 / 150) < 0.1 and (s != np.uint64(0xFFFFFFFFFFFFFFFF)).all()
 
 
@@ -53,7 +54,9 @@ def test_near_duplicate_pairs_against_brute_force(spark):
     truth = {(a[0], b[0]) for a, b in combinations(sorted(set(rows), key=lambda r: r[0]), 2) if near_same(words(a[1]), words(b[1]))}
     got = [(r.id_a, r.id_b) for r in near_duplicates.near_duplicate_pairs(df, "item_id", "context").collect()]
     assert len(got) == len(set(got)) and set(got) <= truth
-    assert len(set(got)) >= 0.97 * len(truth)  # the least similar are found with a probability
+    assert len(set(got)) >= 0.99 * len(truth)  # the least similar are found with a probability
+    exact = [(r.id_a, r.id_b) for r in near_duplicates.near_duplicate_pairs(df, "item_id", "context", exact=True).collect()]
+    assert len(exact) == len(set(exact)) and set(exact) == truth
     groups = {r.id: r for r in near_duplicates.near_duplicate_groups(df, "item_id", "context").collect()}
     assert groups[0].rep == groups[304].rep == groups[305].rep == 0 and groups[0].copies == 3
     assert all(groups[a].group_id == groups[b].group_id for a, b in got)
@@ -61,6 +64,21 @@ def test_near_duplicate_pairs_against_brute_force(spark):
     assert near_duplicates.near_duplicate_pairs(df.limit(0), "item_id", "context").count() == 0
 
 
+@pytest.mark.parametrize("batch", [1, 2, 3, 7, 1000])
+def test_runs_of_equal_keys_across_batches(batch):
+    rng = random.Random(batch)
+    rows = sorted((k, i) for k in range(12) for i in rng.sample(range(40), [1, 2, 3, 5, 9, 17][k % 6]))
+    pdf = pd.DataFrame({"id": [i for _, i in rows], "key": [k for k, _ in rows]})
+    out = pd.concat(near_duplicates._meet(6)(pdf.iloc[lo : lo + batch] for lo in range(0, len(pdf), batch)))
+    by = {k: {i for x, i in rows if x == k} for k in range(12)}
+    hot = {(r.key, r.a) for r in out[out.b < 0].itertuples()}
+    assert {k for k, _ in hot} == {k for k, v in by.items() if len(v) > 6} and all(i in by[k] for k, i in hot)
+    pairs = {(r.a, r.b) for r in out[out.b >= 0].itertuples()}
+    hot_pairs = {p for k in by for p in combinations(sorted(i for x, i in hot if x == k), 2)}
+    assert pairs | hot_pairs == {p for v in by.values() for p in combinations(sorted(v), 2)}
+    assert all(by[k] == {i for x, i in hot if x == k} for k, _ in hot)
+
+
 def test_least_similar_pairs_are_found(spark):
     # four fifths in common, all differences among the rare words
     every = [f"e{i}" for i in range(80)]
@@ -71,7 +89,9 @@ def test_least_similar_pairs_are_found(spark):
     rows += [(1000 + 2 * k + j, " ".join(f"e{k}y{i}" for i in range(80)) + " " + " ".join(f"z{k}x{j}x{i}" for i in range(60))) for k in range(300) for j in (0, 1)]
     df = spark.createDataFrame(rows, "item_id long, context string")
     got = {(r.id_a, r.id_b) for r in near_duplicates.near_duplicate_pairs(df, "item_id", "context").collect()}
-    assert got == {(2 * k, 2 * k + 1) for k in range(300)}
+    want = {(2 * k, 2 * k + 1) for k in range(300)}
+    assert got == want
+    assert {(r.id_a, r.id_b) for r in near_duplicates.near_duplicate_pairs(df, "item_id", "context", exact=True).collect()} == want
 
 
 @pytest.mark.parametrize("seed", range(3))

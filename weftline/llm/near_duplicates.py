@@ -2,28 +2,29 @@
 
 Similarity is overlap of bags of words (``words.near_same``), so edits, insertions and another order all count.
 
-1. Each text becomes its set of bag elements; texts with the same bag collapse to one representative.
-2. Elements are ordered by how many representatives hold them, rarest first. The order comes from counts over all
-   texts, kept in a table of fixed size (``COUNT_BITS``) that is small enough to broadcast at any input size; two
-   elements that share a slot change only which elements are called rare. A text is sketched by the rarest
-   ``RARE`` of its elements. If two texts share four fifths of the longer one, their rarest three quarters have a
-   Jaccard similarity of 11/19 at least, while texts that share only everyday words share little of theirs.
+1. Each text becomes its set of bag elements; texts with the same bag collapse to one representative. Only the key of
+   the bag, its size and ``BITS`` parities leave this step, never the elements.
+2. Elements are ordered by how many texts hold them, rarest first. The order comes from counts over all texts, kept in
+   a table of fixed size (``COUNT_BITS``) that is small enough to broadcast at any input size; two elements that share
+   a slot change only which elements are called rare. A text is sketched by the rarest ``RARE`` of its elements. If
+   two texts share four fifths of the longer one, their rarest three quarters have a Jaccard similarity of 11/19 at
+   least, and of 2/3 if what differs is spread evenly, while texts that share only everyday words share little of
+   theirs.
 3. The sketch is the fast similarity sketch: in round i each element falls into a random coordinate with the value
    i + a random fraction, and a coordinate keeps its least value; from round t on, round i serves coordinate i - t
    only. Each coordinate is filled after 2t rounds, all after about log t of a random kind, and the share of equal
    coordinates is concentrated around the Jaccard similarity.
-4. ``BANDS`` bands of ``ROWS`` coordinates: texts that share a band are candidates. At the least similarity of
-   11/19 a pair is found with a probability of 0.99999.
-   Pairs whose sizes already differ too much are dropped where they meet, and those whose bags must differ in too many
-   elements: each element flips one of ``BITS`` bits, and two bags differ in as many elements as bits at least. Neither
-   loses a pair.
-5. Every candidate pair is compared exactly, by intersecting its element sets.
-
-Bands are joined on their key, and keys that occur once are dropped first; groups are never gathered.
+4. ``BANDS`` bands of ``ROWS`` coordinates: texts that share a band are candidates. A pair is found with a probability
+   of 0.99999 at 2/3 and 0.9998 at 11/19, the least possible; ``exact=True`` takes phrases (``phrases``) in place of
+   bands, of which nearly same texts always share one, at a higher cost. Rows of (band, id) are shuffled once and sorted;
+   runs of equal bands are streamed, and a run longer than ``RUN`` is handed on to a join that can be cut.
+5. Sizes and parities drop candidates that can't be near: each element flips one of ``BITS`` bits, and two bags differ
+   in as many elements as bits at least. Every other candidate pair is compared exactly. Neither loses a pair.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,11 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .components import hash_to_min
-from .words import NEAR, Hashes, bag_elements, bag_key, mix, raw_words
+from .phrases import phrases, rarity
+from .words import NEAR, Hashes, bag_elements, bag_key, mix, raw_words, words
 
-BANDS, ROWS, RARE = 96, 4, 0.75
-BITS = 256
+BANDS, ROWS, RARE = 128, 5, 0.75
+BITS, RUN, PHRASE = 256, 64, 4
 PARITY = [f"p{k}" for k in range(BITS // 64)]
 COUNT_BITS = 18
 
@@ -47,7 +49,6 @@ def sketch(elements: list[np.ndarray], t: int) -> np.ndarray:
     flat = np.concatenate(elements).astype(np.uint64)
     row = np.repeat(np.arange(n), [len(e) for e in elements])
     out = np.full(n * t, np.uint64(0xFFFFFFFFFFFFFFFF))
-    free = np.full(n, t)
     for i in range(2 * t):
         h = mix(flat + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         slot = ((h >> np.uint64(32)) * np.uint64(t) >> np.uint64(32)).astype(np.int64) if i < t else np.full(len(h), i - t)
@@ -55,35 +56,37 @@ def sketch(elements: list[np.ndarray], t: int) -> np.ndarray:
         empty = out[at] >> np.uint64(32) >= np.uint64(i)  # earlier rounds have lower values
         at, value = at[empty], (np.uint64(i) << np.uint64(32)) | (h[empty] & np.uint64(0xFFFFFFFF))
         np.minimum.at(out, at, value)
-        free = (out.reshape(n, t) == np.uint64(0xFFFFFFFFFFFFFFFF)).sum(1)
-        live = free[row] > 0
-        if not live.all():
+        free = (out.reshape(n, t) == np.uint64(0xFFFFFFFFFFFFFFFF)).any(1)
+        if not free.all():
+            live = free[row]
             flat, row = flat[live], row[live]
             if not len(flat):
                 break
     return out.reshape(n, t)
 
 
-def _bags(id_column: str, text_column: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
-        for pdf in batches:
-            rows = []
-            for i, text in zip(pdf[id_column], pdf[text_column]):
-                w = raw_words(text)
-                if w:
-                    e = bag_elements(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)))
-                    rows.append((i, *bag_key(e), e.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "k1", "k2", "elements"])
+def _elements(text: str | None, hashes: Hashes) -> np.ndarray | None:
+    w = raw_words(text)
+    return bag_elements(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))) if w else None
 
-    return run
+
+def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashes = Hashes()
+    for pdf in batches:
+        rows = []
+        for i, text in zip(pdf["id"], pdf["text"]):
+            e = _elements(text, hashes)
+            if e is not None:
+                rows.append((i, *bag_key(e), len(e), *parity(e).tolist()))
+        yield pd.DataFrame(rows, columns=["id", "k1", "k2", "n", *PARITY])
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(1 << COUNT_BITS, np.int64)
+    hashes, total = Hashes(), np.zeros(1 << COUNT_BITS, np.int64)
     for pdf in batches:
-        for e in pdf["elements"]:
-            np.add.at(total, _slot(np.asarray(e)), 1)
+        found = [e for e in (_elements(t, hashes) for t in pdf["text"]) if e is not None]
+        if found:
+            total += np.bincount(_slot(np.concatenate(found)), minlength=1 << COUNT_BITS)
     used = np.flatnonzero(total)
     yield pd.DataFrame({"slot": used.astype(np.int32), "n": total[used]})
 
@@ -106,68 +109,151 @@ def parity(elements: np.ndarray) -> np.ndarray:
 
 def _bands(counts_broadcast, bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = counts_broadcast.value
+        counts, hashes = counts_broadcast.value, Hashes()
         for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                sets = [np.array(e, np.int64) for e in part["elements"]]
-                s = sketch([rarest(e, counts) for e in sets], bands * rows)
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                s = sketch([rarest(_elements(t, hashes), counts) for t in part["text"]], bands * rows)
                 keys = np.zeros((len(part), bands), np.uint64)
                 for r in range(rows):
                     keys = mix(keys * np.uint64(31) + s[:, r::rows][:, :bands] + np.arange(bands, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))  # bands have keys of their own
-                size = np.fromiter(map(len, sets), np.int32, len(part))
-                bits = np.stack([parity(e) for e in sets])
-                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), bands), "band": keys.view(np.int64).ravel(), "n": np.repeat(size, bands)} | {c: np.repeat(bits[:, k], bands) for k, c in enumerate(PARITY)})
+                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), bands), "key": keys.view(np.int64).ravel()})
+
+    return run
+
+
+def _phrases(counts_broadcast, share: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, hashes = counts_broadcast.value, Hashes()
+        for pdf in batches:
+            found = [phrases(words(t), counts, hashes, PHRASE, share) for t in pdf["text"]]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), n), "key": np.fromiter((x for f in found for x in f), np.int64, int(n.sum()))})
+
+    return run
+
+
+def _meet(longest: int):
+    """Rows (id, key) sorted by key -> (a, b, key): pairs of ids with the same key; of keys with more than ``longest``
+    ids the rows themselves, as a with its key and no b."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held_key, held, hot = None, np.zeros(0, np.int64), False  # the run that may go on in the next batch
+        for pdf in batches:
+            key, ids = pdf["key"].to_numpy(), pdf["id"].to_numpy()
+            if not len(key):
+                continue
+            a, b, k = [], [], []
+            if held_key is not None and key[0] == held_key:
+                if not hot:
+                    key, ids = np.concatenate([np.full(len(held), held_key), key]), np.concatenate([held, ids])
+            else:
+                hot = False
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(begin, len(key)))
+            long = size > longest
+            long[0] |= hot  # the rest of a run whose first part has gone out
+            if not hot and held_key is not None and key[0] == held_key:
+                done = len(held)  # pairs among these are out already
+            else:
+                done = 0
+            rows = np.repeat(long, size)
+            a.append(ids[rows])
+            b.append(np.full(int(rows.sum()), -1, np.int64))
+            k.append(key[rows])
+            short = ~rows
+            sk, si = key[short], ids[short]
+            old = np.zeros(len(key), bool)
+            old[:done] = True
+            so = old[short]
+            for lag in range(1, longest):
+                equal = sk[lag:] == sk[:-lag]
+                if not equal.any():
+                    break
+                same = np.flatnonzero(equal & ~so[lag:])
+                a.append(np.minimum(si[same], si[same + lag]))
+                b.append(np.maximum(si[same], si[same + lag]))
+                k.append(np.zeros(len(same), np.int64))
+            held_key, hot = key[-1], bool(long[-1])
+            held = np.zeros(0, np.int64) if hot else ids[begin[-1] :]
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "key": np.concatenate(k)})
 
     return run
 
 
-def representatives(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
-    """(id, rep) for each row with words, and (id, elements) for each representative, the least id of its bag."""
-    bags = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    bags = materialize(bags.mapInPandas(_bags("id", "text"), "id long, k1 long, k2 long, elements array<long>"), "bags")
+def representatives(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, rep) for each row with words, (id, n, parities) for each representative, the least id of its bag, and
+    (id, text) of these."""
+    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null and text is not null")
+    schema = f"id long, k1 long, k2 long, n int, {', '.join(f'{c} long' for c in PARITY)}"
+    bags = materialize(rows.mapInPandas(_bags, schema), "bags")
+    n = bags.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
+    if n["n"] > n["ids"]:  # of a repeated id the text of least hash counts
+        rows = materialize(rows.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "rows")
+        bags = materialize(rows.mapInPandas(_bags, schema), "bags")
     least = bags.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    members = materialize(bags.select("id", "k1", "k2").join(least, ["k1", "k2"]).select("id", "rep").distinct(), "members")
-    reps = bags.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", "elements").dropDuplicates(["id"])
-    return members, materialize(reps, "reps")
-
-
-def candidate_pairs(reps: DataFrame, share: float = NEAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of representatives that share a band and may be nearly the same by their
-    sizes and parities."""
-    spark = reps.sparkSession
-    counted = reps.select("elements").mapInPandas(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << COUNT_BITS, np.int64)  # fixed size: 2 MB, however large the input
-    counts[counted["slot"]] = counted["n"]
-    keyed = materialize(reps.mapInPandas(_bands(spark.sparkContext.broadcast(counts), bands, rows), f"id long, band long, n int, {', '.join(f'{c} long' for c in PARITY)}"), "bands")
-    shared = keyed.groupBy("band").count().where("count > 1").select("band")
-    left = keyed.join(shared, "band")
-    a, b = [left.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", *PARITY)]) for side in "ab"]
+    members = materialize(bags.select("id", "k1", "k2").join(least, ["k1", "k2"]).select("id", "rep"), "members")
+    own = members.where("id = rep").select("id")
+    return members, bags.drop("k1", "k2").join(own, "id", "left_semi"), rows.join(own, "id", "left_semi")
+
+
+def candidate_pairs(signs: DataFrame, texts: DataFrame, share: float = NEAR, bands: int = BANDS, rows: int = ROWS, exact: bool = False) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of representatives that share a band, or a phrase if ``exact``, and may be nearly
+    the same by their sizes and parities."""
+    sc = texts.sparkSession.sparkContext
+    if exact:
+        keyed = texts.mapInPandas(_phrases(sc.broadcast(rarity(texts)), share), "id long, key long")
+    else:
+        counted = texts.select("text").mapInPandas(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+        counts = np.zeros(1 << COUNT_BITS, np.int64)  # fixed size: 2 MB, however large the input
+        counts[counted["slot"]] = counted["n"]
+        keyed = texts.mapInPandas(_bands(sc.broadcast(counts), bands, rows), "id long, key long")
+    met = materialize(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_meet(RUN), "a long, b long, key long"), "met")
+    hot = met.where("b < 0").select(F.col("a").alias("id"), "key").distinct()
+    more = hot.select("key", F.col("id").alias("a")).join(hot.select("key", F.col("id").alias("b")), "key").where("a < b")
+    pairs = met.where("b >= 0 and a < b").select("a", "b").union(more.select("a", "b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(signs.select(*[F.col(c).alias(side if c == "id" else f"{c}_{side}") for c in ("id", "n", *PARITY)]), side)
     differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in PARITY), F.lit(0))
     long, short = F.greatest("n_a", "n_b"), F.least("n_a", "n_b")
     may_differ = F.col("n_a") + F.col("n_b") - 2 * F.ceil(F.lit(share) * long - 1e-9)
-    pairs = a.join(b, "band").where((F.col("id_a") < F.col("id_b")) & (short >= share * long - 1e-9) & (differ <= may_differ))
-    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return pairs.where((short >= share * long - 1e-9) & (differ <= may_differ)).select("a", "b")
+
 
+def _verify(share: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bags: dict[int, Counter] = {}
+            rows = []
+            for a, b, x, y in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["x"], pdf["y"]):
+                for i, t in ((a, x), (b, y)):
+                    if i not in bags:
+                        bags[i] = Counter(words(t))
+                longer = max(bags[a].total(), bags[b].total())
+                common = (bags[a] & bags[b]).total()
+                if common >= share * longer - 1e-9:
+                    rows.append((a, b, common / longer))
+            yield pd.DataFrame(rows, columns=["a", "b", "overlap"])
 
-def similar_pairs(reps: DataFrame, share: float = NEAR) -> DataFrame:
+    return run
+
+
+def similar_pairs(signs: DataFrame, texts: DataFrame, share: float = NEAR, exact: bool = False) -> DataFrame:
     """Pairs (a, b, overlap) of representatives whose bags are nearly the same; overlap is of the larger bag."""
-    pairs = candidate_pairs(reps, share)
-    for side in "ab":
-        pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("elements").alias(f"e{side}")), side)
-    longer = F.greatest(F.size("ea"), F.size("eb"))
-    pairs = pairs.withColumn("common", F.size(F.array_intersect("ea", "eb")))
-    return pairs.where(F.col("common") >= F.ceil(F.lit(share) * longer - 1e-9)).select("a", "b", (F.col("common") / longer).alias("overlap"))
+    pairs = materialize(candidate_pairs(signs, texts, share, exact=exact), "candidates")
+    met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    return met.select("a", "b", "x", "y").mapInPandas(_verify(share), "a long, b long, overlap double")
 
 
-def near_duplicate_pairs(df: DataFrame, id_column: str, text_column: str, share: float = NEAR) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_column: str, text_column: str, share: float = NEAR, exact: bool = False) -> DataFrame:
     """Rows (id_a, id_b), id_a < id_b, of all rows whose texts are nearly the same or equal as bags of words.
 
-    Null and blank texts, and those without any letter or digit, make no pair. Rows that repeat an id count once. An
-    empty table gives no rows. Other columns are ignored.
+    Null and blank texts, and those without any letter or digit, make no pair. Of rows that repeat an id
+    one counts, that of the text with the least hash. An empty table gives no rows. Other columns are ignored. Copies are expanded into pairs;
+    ``near_duplicate_groups`` doesn't. Runs jobs when called.
     """
-    members, reps = representatives(df, id_column, text_column)
-    links = materialize(similar_pairs(reps, share).select("a", "b"), "links")
+    members, signs, texts = representatives(df, id_column, text_column)
+    links = materialize(similar_pairs(signs, texts, share, exact).select("a", "b"), "links")
     # a representative is linked with itself, which pairs its copies
     own = members.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     both = links.union(own)
@@ -175,15 +261,15 @@ def near_duplicate_pairs(df: DataFrame, id_column: str, text_column: str, share:
     return out.where("a != b or x < y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def near_duplicate_groups(df: DataFrame, id_column: str, text_column: str, share: float = NEAR) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, id_column: str, text_column: str, share: float = NEAR, exact: bool = False) -> DataFrame:
     """One row (id, rep, group_id, copies, links) for each row with words.
 
     rep is the least id with an equal bag, copies how many rows share that bag, links to how many other bags the bag
     is nearly the same, and group_id the least id that is connected by equal bags and links. Same cases as
     ``near_duplicate_pairs``; a row without words belongs to no group and has no row here.
     """
-    members, reps = representatives(df, id_column, text_column)
-    links = materialize(similar_pairs(reps, share).select("a", "b"), "links")
+    members, signs, texts = representatives(df, id_column, text_column)
+    links = materialize(similar_pairs(signs, texts, share, exact).select("a", "b"), "links")
     degree = links.select("a").union(links.select("b")).toDF("rep").groupBy("rep").agg(F.count("*").alias("links"))
     group = hash_to_min(links).toDF("rep", "group_id")
     copies = members.groupBy("rep").agg(F.count("*").alias("copies"))
