@@ -64,6 +64,18 @@ def test_near_duplicate_pairs_against_brute_force(spark):
     assert near_duplicates.near_duplicate_pairs(df.limit(0), "item_id", "context").count() == 0
 
 
+def test_parities_never_exceed_the_difference(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in (1, 40, 63, 64, 65, 250, 700):
+        a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        b = np.concatenate([a[: n - n // 6], rng.integers(0, 1 << 62, n // 5).astype(np.uint64)])
+        rows.append((near_duplicates.parity(a).tolist(), near_duplicates.parity(b).tolist(), len(set(a.tolist()) ^ set(b.tolist()))))
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>, d int")
+    got = df.select(near_duplicates._differ(F.col("x"), F.col("y")).alias("n"), "d", (F.size("x") != F.size("y")).alias("folded")).collect()
+    assert all(0.5 * r.d <= r.n <= r.d for r in got) and any(r.folded for r in got)
+
+
 @pytest.mark.parametrize("batch", [1, 2, 3, 7, 1000])
 def test_runs_of_equal_keys_across_batches(batch):
     rng = random.Random(batch)

@@ -3,7 +3,7 @@
 Similarity is overlap of bags of words (``words.near_same``), so edits, insertions and another order all count.
 
 1. Each text becomes its set of bag elements; texts with the same bag collapse to one representative. Only the key of
-   the bag, its size and ``BITS`` parities leave this step, never the elements.
+   the bag, its size and some parities leave this step, never the elements.
 2. Elements are ordered by how many texts hold them, rarest first. The order comes from counts over all texts, kept in
    a table of fixed size (``COUNT_BITS``) that is small enough to broadcast at any input size; two elements that share
    a slot change only which elements are called rare. A text is sketched by the rarest ``RARE`` of its elements. If
@@ -18,18 +18,18 @@ Similarity is overlap of bags of words (``words.near_same``), so edits, insertio
    of 0.99999 at 2/3 and 0.9998 at 11/19, the least possible; ``exact=True`` takes phrases (``phrases``) in place of
    bands, of which nearly same texts always share one, at a higher cost. Rows of (band, id) are shuffled once and sorted;
    runs of equal bands are streamed, and a run longer than ``RUN`` is handed on to a join that can be cut.
-5. Sizes and parities drop candidates that can't be near: each element flips one of ``BITS`` bits, and two bags differ
-   in as many elements as bits at least. Every other candidate pair is compared exactly. Neither loses a pair.
+5. Sizes and then parities drop candidates that can't be near: each element flips one of ``BITS`` or more bits, four
+   for each element at least, and two bags differ in as many elements as bits at least. Bits of a longer row fold onto
+   those of a shorter one. Every other candidate pair is compared exactly. Neither loses a pair.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -39,7 +39,6 @@ from .words import NEAR, Hashes, bag_elements, bag_key, mix, raw_words, words
 
 BANDS, ROWS, RARE = 128, 5, 0.75
 BITS, RUN, PHRASE = 256, 64, 4
-PARITY = [f"p{k}" for k in range(BITS // 64)]
 COUNT_BITS = 18
 
 
@@ -77,8 +76,8 @@ def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, text in zip(pdf["id"], pdf["text"]):
             e = _elements(text, hashes)
             if e is not None:
-                rows.append((i, *bag_key(e), len(e), *parity(e).tolist()))
-        yield pd.DataFrame(rows, columns=["id", "k1", "k2", "n", *PARITY])
+                rows.append((i, *bag_key(e), len(e), parity(e)))
+        yield pd.DataFrame(rows, columns=["id", "k1", "k2", "n", "bits"])
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,11 +101,20 @@ def rarest(elements: np.ndarray, counts: np.ndarray, rare: float = RARE) -> np.n
 
 
 def parity(elements: np.ndarray) -> np.ndarray:
-    """``BITS`` bits as longs, each whether an odd number of elements falls on it."""
-    odd = np.bincount((elements.view(np.uint64) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """As longs, a power of two of bits, ``BITS`` and four for each element at least: whether an odd number of elements
+    falls on each."""
+    bits = max(BITS, 1 << (4 * len(elements) - 1).bit_length())
+    odd = np.bincount((elements.view(np.uint64) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _differ(x: Column, y: Column) -> Column:
+    """In how many bits two parities differ, the longer folded to half if their lengths do."""
+    half = lambda v: F.zip_with(F.slice(v, F.lit(1), (F.size(v) / 2).cast("int")), F.slice(v, (F.size(v) / 2).cast("int") + 1, (F.size(v) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    same = lambda v, w: F.when(F.size(v) > F.size(w), half(v)).otherwise(v)
+    return F.aggregate(F.zip_with(same(x, y), same(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
+
+
 def _bands(counts_broadcast, bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, hashes = counts_broadcast.value, Hashes()
@@ -182,10 +190,10 @@ def _meet(longest: int):
 
 
 def representatives(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, rep) for each row with words, (id, n, parities) for each representative, the least id of its bag, and
+    """(id, rep) for each row with words, (id, n, bits) for each representative, the least id of its bag, and
     (id, text) of these."""
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null and text is not null")
-    schema = f"id long, k1 long, k2 long, n int, {', '.join(f'{c} long' for c in PARITY)}"
+    schema = "id long, k1 long, k2 long, n int, bits array<long>"
     bags = materialize(rows.mapInPandas(_bags, schema), "bags")
     n = bags.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
     if n["n"] > n["ids"]:  # of a repeated id the text of least hash counts
@@ -212,25 +220,27 @@ def candidate_pairs(signs: DataFrame, texts: DataFrame, share: float = NEAR, ban
     hot = met.where("b < 0").select(F.col("a").alias("id"), "key").distinct()
     more = hot.select("key", F.col("id").alias("a")).join(hot.select("key", F.col("id").alias("b")), "key").where("a < b")
     pairs = met.where("b >= 0 and a < b").select("a", "b").union(more.select("a", "b")).distinct()
-    for side in "ab":
-        pairs = pairs.join(signs.select(*[F.col(c).alias(side if c == "id" else f"{c}_{side}") for c in ("id", "n", *PARITY)]), side)
-    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in PARITY), F.lit(0))
-    long, short = F.greatest("n_a", "n_b"), F.least("n_a", "n_b")
-    may_differ = F.col("n_a") + F.col("n_b") - 2 * F.ceil(F.lit(share) * long - 1e-9)
-    return pairs.where((short >= share * long - 1e-9) & (differ <= may_differ)).select("a", "b")
+    for column in ("n", "bits"):
+        for side in "ab":
+            pairs = pairs.join(signs.select(F.col("id").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+        long = F.greatest("n_a", "n_b")
+        if column == "n":
+            pairs = pairs.where(F.least("n_a", "n_b") >= share * long - 1e-9)
+    return pairs.where(_differ(F.col("bits_a"), F.col("bits_b")) <= F.col("n_a") + F.col("n_b") - 2 * F.ceil(F.lit(share) * long - 1e-9)).select("a", "b")
 
 
 def _verify(share: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = Hashes()
         for pdf in batches:
-            bags: dict[int, Counter] = {}
+            bags: dict[int, set[int]] = {}
             rows = []
             for a, b, x, y in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["x"], pdf["y"]):
                 for i, t in ((a, x), (b, y)):
                     if i not in bags:
-                        bags[i] = Counter(words(t))
-                longer = max(bags[a].total(), bags[b].total())
-                common = (bags[a] & bags[b]).total()
+                        bags[i] = set(_elements(t, hashes).tolist())
+                longer = max(len(bags[a]), len(bags[b]))
+                common = len(bags[a] & bags[b])
                 if common >= share * longer - 1e-9:
                     rows.append((a, b, common / longer))
             yield pd.DataFrame(rows, columns=["a", "b", "overlap"])
