@@ -70,24 +70,21 @@ def _elements(text: str | None, hashes: Hashes) -> np.ndarray | None:
 
 
 def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = Hashes()
+    """A row for each text with words, and after them, with n = -1, how many of a task's elements fall on each slot
+    (k1, k2): one pass serves both."""
+    hashes, total = Hashes(), np.zeros(1 << COUNT_BITS, np.int64)
     for pdf in batches:
-        rows = []
+        rows, found = [], []
         for i, text in zip(pdf["id"], pdf["text"]):
             e = _elements(text, hashes)
             if e is not None:
                 rows.append((i, *bag_key(e), len(e), parity(e)))
-        yield pd.DataFrame(rows, columns=["id", "k1", "k2", "n", "bits"])
-
-
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes, total = Hashes(), np.zeros(1 << COUNT_BITS, np.int64)
-    for pdf in batches:
-        found = [e for e in (_elements(t, hashes) for t in pdf["text"]) if e is not None]
+                found.append(e)
         if found:
             total += np.bincount(_slot(np.concatenate(found)), minlength=1 << COUNT_BITS)
+        yield pd.DataFrame(rows, columns=["id", "k1", "k2", "n", "bits"])
     used = np.flatnonzero(total)
-    yield pd.DataFrame({"slot": used.astype(np.int32), "n": total[used]})
+    yield pd.DataFrame({"id": 0, "k1": used, "k2": total[used], "n": -1, "bits": None})
 
 
 def _slot(elements: np.ndarray) -> np.ndarray:
@@ -189,32 +186,33 @@ def _meet(longest: int):
     return run
 
 
-def representatives(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, rep) for each row with words, (id, n, bits) for each representative, the least id of its bag, and
-    (id, text) of these."""
+def representatives(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
+    """(id, rep) for each row with words, (id, n, bits) for each representative, the least id of its bag, (id, text) of
+    these, and how many elements fall on each slot: a table of fixed size, 2 MB, however large the input."""
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null and text is not null")
     schema = "id long, k1 long, k2 long, n int, bits array<long>"
     bags = materialize(rows.mapInPandas(_bags, schema), "bags")
-    n = bags.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
+    n = bags.where("n > 0").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
     if n["n"] > n["ids"]:  # of a repeated id the text of least hash counts
         rows = materialize(rows.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "rows")
         bags = materialize(rows.mapInPandas(_bags, schema), "bags")
+    counted = bags.where("n < 0").groupBy("k1").agg(F.sum("k2").alias("n")).toPandas()
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    counts[counted["k1"]] = counted["n"]
+    bags = bags.where("n > 0")
     least = bags.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     members = materialize(bags.select("id", "k1", "k2").join(least, ["k1", "k2"]).select("id", "rep"), "members")
     own = members.where("id = rep").select("id")
-    return members, bags.drop("k1", "k2").join(own, "id", "left_semi"), rows.join(own, "id", "left_semi")
+    return members, bags.drop("k1", "k2").join(own, "id", "left_semi"), rows.join(own, "id", "left_semi"), counts
 
 
-def candidate_pairs(signs: DataFrame, texts: DataFrame, share: float = NEAR, bands: int = BANDS, rows: int = ROWS, exact: bool = False) -> DataFrame:
+def candidate_pairs(signs: DataFrame, texts: DataFrame, counts: np.ndarray, share: float = NEAR, bands: int = BANDS, rows: int = ROWS, exact: bool = False) -> DataFrame:
     """Distinct pairs (a, b), a < b, of representatives that share a band, or a phrase if ``exact``, and may be nearly
     the same by their sizes and parities."""
     sc = texts.sparkSession.sparkContext
     if exact:
         keyed = texts.mapInPandas(_phrases(sc.broadcast(rarity(texts)), share), "id long, key long")
     else:
-        counted = texts.select("text").mapInPandas(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.zeros(1 << COUNT_BITS, np.int64)  # fixed size: 2 MB, however large the input
-        counts[counted["slot"]] = counted["n"]
         keyed = texts.mapInPandas(_bands(sc.broadcast(counts), bands, rows), "id long, key long")
     met = materialize(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_meet(RUN), "a long, b long, key long"), "met")
     hot = met.where("b < 0").select(F.col("a").alias("id"), "key").distinct()
@@ -248,9 +246,9 @@ def _verify(share: float):
     return run
 
 
-def similar_pairs(signs: DataFrame, texts: DataFrame, share: float = NEAR, exact: bool = False) -> DataFrame:
+def similar_pairs(signs: DataFrame, texts: DataFrame, counts: np.ndarray, share: float = NEAR, exact: bool = False) -> DataFrame:
     """Pairs (a, b, overlap) of representatives whose bags are nearly the same; overlap is of the larger bag."""
-    pairs = materialize(candidate_pairs(signs, texts, share, exact=exact), "candidates")
+    pairs = materialize(candidate_pairs(signs, texts, counts, share, exact=exact), "candidates")
     met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return met.select("a", "b", "x", "y").mapInPandas(_verify(share), "a long, b long, overlap double")
 
@@ -262,8 +260,8 @@ def near_duplicate_pairs(df: DataFrame, id_column: str, text_column: str, share:
     one counts, that of the text with the least hash. An empty table gives no rows. Other columns are ignored. Copies are expanded into pairs;
     ``near_duplicate_groups`` doesn't. Runs jobs when called.
     """
-    members, signs, texts = representatives(df, id_column, text_column)
-    links = materialize(similar_pairs(signs, texts, share, exact).select("a", "b"), "links")
+    members, signs, texts, counts = representatives(df, id_column, text_column)
+    links = materialize(similar_pairs(signs, texts, counts, share, exact).select("a", "b"), "links")
     # a representative is linked with itself, which pairs its copies
     own = members.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     both = links.union(own)
@@ -278,8 +276,8 @@ def near_duplicate_groups(df: DataFrame, id_column: str, text_column: str, share
     is nearly the same, and group_id the least id that is connected by equal bags and links. Same cases as
     ``near_duplicate_pairs``; a row without words belongs to no group and has no row here.
     """
-    members, signs, texts = representatives(df, id_column, text_column)
-    links = materialize(similar_pairs(signs, texts, share, exact).select("a", "b"), "links")
+    members, signs, texts, counts = representatives(df, id_column, text_column)
+    links = materialize(similar_pairs(signs, texts, counts, share, exact).select("a", "b"), "links")
     degree = links.select("a").union(links.select("b")).toDF("rep").groupBy("rep").agg(F.count("*").alias("links"))
     group = hash_to_min(links).toDF("rep", "group_id")
     copies = members.groupBy("rep").agg(F.count("*").alias("copies"))
