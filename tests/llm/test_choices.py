@@ -33,6 +33,9 @@ def test_pack(spark):
     r = packing.fill_report(packing.pack(df, "item_id", F.col("n"), 100), 100).first()
     assert r.tokens == sum(sizes.values()) and r.least_containers == least
     assert packing.pack(df.limit(0), "item_id", F.col("n"), 100).count() == 0
+    twice = spark.createDataFrame([(1, 100), (1, 200), (2, 300), (2, 300), (1, 1500)], "item_id long, n int")
+    got = sorted((x.id, x.length, x.piece, x.tokens) for x in packing.pack(twice, "item_id", F.col("n"), 1000).collect())
+    assert got == [(1, 100, 0, 100), (1, 200, 0, 200), (1, 1500, 0, 1000), (1, 1500, 1, 500), (2, 300, 0, 300)]
     assert [(x.tokens, x.fill) for x in packing.pack(spark.createDataFrame([(1, None)], "i int, n int"), "i", F.col("n"), 10).collect()] == [(0, 0)]
 
 

@@ -130,23 +130,24 @@ def evolve(sizes: list[int], capacity: int, start: list[Bins], rng: random.Rando
     return [p for _, _, p in scored]
 
 
-_PIECE = "id long, piece int, tokens int"
+_PIECE = "id long, length long, piece int, tokens int"
+_KEY = ["id", "length", "piece"]
 
 
 def _islands(capacity: int, seed: int):
-    """(shard, island, id, piece, tokens, origin, rank, bin) of individuals -> the two best individuals after an epoch."""
+    """(shard, island, id, length, piece, tokens, origin, rank, bin) of individuals -> the two best individuals after an epoch."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shard, island = int(key[0]), int(key[1])
-        pdf = pdf.sort_values(["id", "piece", "origin", "rank"], kind="stable")
-        items = pdf[["id", "piece", "tokens"]].drop_duplicates(["id", "piece"])
-        index = {x: k for k, x in enumerate(zip(items["id"], items["piece"]))}
+        pdf = pdf.sort_values([*_KEY, "origin", "rank"], kind="stable")
+        items = pdf[[*_KEY, "tokens"]].drop_duplicates(_KEY)
+        index = {x: k for k, x in enumerate(zip(*(items[c] for c in _KEY)))}
         sizes = items["tokens"].tolist()
         start = []
         for _, x in pdf[pdf["bin"] >= 0].groupby(["origin", "rank"], sort=True):
             bins: dict[int, list[int]] = {}
-            for i, p, b in zip(x["id"], x["piece"], x["bin"]):
-                bins.setdefault(b, []).append(index[i, p])
+            for *key, b in zip(*(x[c] for c in _KEY), x["bin"]):
+                bins.setdefault(b, []).append(index[tuple(key)])
             start.append(list(bins.values()))
         best = evolve(sizes, capacity, start, random.Random(f"{seed}/{shard}/{island}/{len(start)}"))
         parts = []
@@ -156,15 +157,15 @@ def _islands(capacity: int, seed: int):
                 for i in held:
                     of[i] = b
             parts.append(items.assign(shard=shard, island=island, origin=island, rank=rank, bin=of, fitness=fitness(bins, sizes, capacity)))
-        return pd.concat(parts)[["shard", "island", "id", "piece", "tokens", "origin", "rank", "bin", "fitness"]]
+        return pd.concat(parts)[["shard", "island", *_KEY, "tokens", "origin", "rank", "bin", "fitness"]]
 
     return run
 
 
 def _round(pieces: DataFrame, capacity: int, seed: int, shards: int, name: str, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """(id, piece, tokens, container, fill) of pieces, packed in ``shards`` shards."""
-    shard = F.pmod(F.xxhash64("id", "piece", F.lit(seed)), F.lit(shards)).cast("int")
-    state = pieces.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "id", "piece", "tokens", F.lit(0).alias("origin"), F.lit(0).alias("rank"), F.lit(-1).alias("bin"))
+    """(id, length, piece, tokens, container, fill) of pieces, packed in ``shards`` shards."""
+    shard = F.pmod(F.xxhash64(*_KEY, F.lit(seed)), F.lit(shards)).cast("int")
+    state = pieces.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), *_KEY, "tokens", F.lit(0).alias("origin"), F.lit(0).alias("rank"), F.lit(-1).alias("bin"))
     schema = f"shard int, island int, {_PIECE}, origin int, rank int, bin int, fitness double"
     for epoch in range(epochs):
         # few bytes and much work: as many partitions as keep all cores busy, which a number given here fixes
@@ -177,28 +178,28 @@ def _round(pieces: DataFrame, capacity: int, seed: int, shards: int, name: str,
             state = state.withColumn("island", F.explode(on)).drop("fitness")
     best = state.where("rank = 0").groupBy("shard").agg(F.max_by("island", F.struct("fitness", -F.col("island"))).alias("island"))
     chosen = state.where("rank = 0").join(best, ["shard", "island"])
-    named = chosen.select("id", "piece", "tokens", F.concat_ws("-", F.lit(name), "shard", "bin").alias("container"))
+    named = chosen.select(*_KEY, "tokens", F.concat_ws("-", F.lit(name), "shard", "bin").alias("container"))
     fills = named.groupBy("container").agg(F.sum("tokens").cast("int").alias("fill"))
-    return materialize(named.join(fills, "container").select("id", "piece", "tokens", "container", "fill"), "packed")
+    return materialize(named.join(fills, "container").select(*_KEY, "tokens", "container", "fill"), "packed")
 
 
 def pack(items: DataFrame, id_column: str, tokens: Column, capacity: int = CAPACITY, seed: int = 0, shard: int = SHARD) -> DataFrame:
-    """Rows (id, piece, start, tokens, container, fill) for every item: in which container each of its pieces is, and
-    how many tokens that container holds.
+    """Rows (id, length, piece, start, tokens, container, fill) for every item: in which container each of its pieces
+    is, and how many tokens that container holds.
 
     Items up to the capacity have one piece, 0. Items of no or null length are pieces of no tokens and share containers
-    like others. Ids must not repeat: a repeated id is a further item only if its length differs, else it counts once.
+    like others. A repeated id is a further item if its length differs, else it counts once.
     Null ids are left out. An empty table gives no rows. Other columns are ignored.
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
-    sized = items.select(F.col(id_column).cast("long").alias("id"), F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)).cast("long").alias("n")).where("id is not null").distinct()
-    cut = F.when(F.col("n") <= capacity, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.ceil(F.col("n") / capacity).cast("int") - 1))
-    pieces = sized.select("id", "n", F.explode(cut).alias("piece")).select(
-        "id", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * F.lit(capacity)).cast("int").alias("tokens")
+    sized = items.select(F.col(id_column).cast("long").alias("id"), F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)).cast("long").alias("length")).where("id is not null").distinct()
+    cut = F.when(F.col("length") <= capacity, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.ceil(F.col("length") / capacity).cast("int") - 1))
+    pieces = sized.select("id", "length", F.explode(cut).alias("piece")).select(
+        *_KEY, F.least(F.lit(capacity), F.col("length") - F.col("piece") * F.lit(capacity)).cast("int").alias("tokens")
     )
     pieces = materialize(pieces, "pieces")
-    whole = pieces.where(F.col("tokens") == capacity).select("id", "piece", "tokens", F.concat_ws("-", F.lit("whole"), "id", "piece").alias("container"), F.col("tokens").alias("fill"))
+    whole = pieces.where(F.col("tokens") == capacity).select(*_KEY, "tokens", F.concat_ws("-", F.lit("whole"), *_KEY).alias("container"), F.col("tokens").alias("fill"))
     loose = pieces.where(F.col("tokens") < capacity)
     done = [whole]
     n = loose.count()
@@ -211,12 +212,12 @@ def pack(items: DataFrame, id_column: str, tokens: Column, capacity: int = CAPAC
             done.append(packed)
             break
         done.append(packed.where(F.col("fill") >= FULL * capacity))
-        loose = packed.where(F.col("fill") < FULL * capacity).select("id", "piece", "tokens")
+        loose = packed.where(F.col("fill") < FULL * capacity).select(*_KEY, "tokens")
         n = loose.count()
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), "tokens", "container", "fill")
+    return out.select(*_KEY, (F.col("piece").cast("long") * capacity).alias("start"), "tokens", "container", "fill")
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
