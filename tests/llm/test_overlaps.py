@@ -186,6 +186,31 @@ def test_assignment_keeps_prompts_whole_and_shares(spark):
     assert splits.assign_splits(ex.limit(0), targets).count() == 0
 
 
+def test_records_tied_by_one_row_stay_together(spark):
+    # sp_1 - sp_2 by a row that names one and asks the other's question, sp_2 - sp_3 by a context; sp_4 stands alone
+    rows = [("sp_00001", "sp_00001_q1", "x"), ("SP-1", "sp_2_q2", "x"), ("sp_2", "sp_2_q1", "same"), (None, "sp_00003_q7", "same"), ("sp_3", None, "y"), ("sp_4", "sp_4_q1", None), (None, None, "y"), (None, None, None)]
+    ex = spark.createDataFrame([(i, *r, "k") for i, r in enumerate(rows)], "example_id long, system_prompt_id string, question_id string, context string, category string")
+    targets = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split string, target_share double")
+    for seed in range(2):
+        placed = splits.assign_splits(ex, targets, seed=seed, also=("context",))
+        got = {r.system_prompt_id: r for r in placed.collect() if r.system_prompt_id}
+        assert set(got) == {"sp1", "sp2", "sp3", "sp4"} and len({got[k].component for k in ("sp1", "sp2", "sp3")}) == 1 and got["sp4"].component == "p:sp4"
+        each = {r.example_id: r.split for r in splits.assigned_rows(ex, placed, "example_id", also=("context",)).collect()}
+        assert len(each) == len(rows) and len({each[i] for i in (0, 1, 2, 3, 4, 6)}) == 1 and each[7] is not None
+    # without the context as a key only the first tie is left
+    loose = {r.system_prompt_id: r.component for r in splits.assign_splits(ex, targets).collect()}
+    assert loose["sp1"] == loose["sp2"] != loose["sp3"]
+    assert not splits.assign_splits(ex, targets.limit(0)).where("split is not null").count()
+
+
+def test_every_category_has_weights_of_its_own(spark):
+    comps = spark.range(12_000).selectExpr("cast(id as string) as component", "cast(id div 1 as string) as category", "id % 3 + 1 as n")
+    many = comps.unionAll(spark.range(600).selectExpr("concat('a', id)", "'one'", "id % 5 + 1"))
+    got = splits.rendezvous(many, {"train": 0.7, "test": 0.3}, passes=6).groupBy("category", "split").agg(F.sum("n").alias("n")).where("category = 'one'").collect()
+    n = {r.split: r.n for r in got}
+    assert abs(n["train"] / sum(n.values()) - 0.7) < 0.02
+
+
 def brute_leak(doc, item):
     """The definition, by tables of edit distances from every start in the item."""
     runs = {tuple(item[k : k + 12]) for k in range(len(item) - 11)}

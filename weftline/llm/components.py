@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 
 MAX_ROUNDS = 64
 
@@ -38,11 +38,10 @@ def hash_to_min(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int =
                 )
             ).alias("x")
         ).select("x.*").distinct()
-        after = materialize(arrived, "clusters")
-        if _stable(after):
-            clusters = after
+        before, clusters = clusters, materialize(arrived, "clusters")
+        release(before)
+        if _stable(clusters):
             break
-        clusters = after
     else:
         raise RuntimeError(f"components aren't stable after {max_rounds} rounds")
     return clusters.groupBy("node").agg(F.min("member").alias("component"))

@@ -51,17 +51,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_prompts(_table(spark, d, "split_examples"), _table(spark, d, "system_prompts"))
 
 
+#: What ties rows together beside the prompts they name.
+TIED = ("context",)
+
+
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
-    return splits.assign_splits(_table(spark, d, "split_examples"), _table(spark, d, "split_targets"))
+    return splits.assign_splits(_table(spark, d, "split_examples"), _table(spark, d, "split_targets"), also=TIED)
 
 
 def p3_assign(spark: SparkSession, d: str) -> DataFrame:
-    rows = splits.assigned_rows(_table(spark, d, "split_examples"), materialize(_assigned(spark, d), "assigned"), "example_id")
+    rows = splits.assigned_rows(_table(spark, d, "split_examples"), materialize(_assigned(spark, d), "assigned"), "example_id", also=TIED)
     return _as_written(spark, d, rows, "system_prompt_id")
 
 
 def p3_prompts(spark: SparkSession, d: str) -> DataFrame:
-    return _as_written(spark, d, _assigned(spark, d), "system_prompt_id")
+    prompts = _assigned(spark, d).where("system_prompt_id is not null").select("system_prompt_id", "split", "category", "n")
+    return _as_written(spark, d, prompts, "system_prompt_id")
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:

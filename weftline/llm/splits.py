@@ -1,7 +1,8 @@
 """Splits that keep related records together: hash-to-min components, weighted rendezvous hashing.
 
-Records are related if they share a key. The keys of a record are nodes; each way a key is written is linked with its
-canonical form, and a record's keys with each other, so a component holds all records of one author, source or entity.
+Records are related if they share a key: the prompt they name, the prompt their question belongs to, and whatever other
+columns are given (in the query, the context). A record's keys, in canonical form, are linked with each other, so a
+component holds all records of one author, source or entity, also where two of them are tied by one record only.
 
 Each component then gets the split of highest weight / -ln(h), h a hash of component and split in (0, 1): rendezvous
 hashing, by which adding a split moves only what it wins. Components differ in size and one may hold a third of all
@@ -12,12 +13,10 @@ best pass counts.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 from .components import hash_to_min
 
 PASSES = 14
@@ -34,45 +33,54 @@ def canonical_label(column: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.regexp_replace(F.lower(column), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", ""), F.lit(""))
 
 
-def related(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (key, component) of every key value, as text with its column's number before it.
+def related(records: DataFrame, keys: Column) -> DataFrame:
+    """Rows (key, component) of every key: records are related if they share one, directly or through others.
 
-    ``keys`` name columns of keys; the nodes of a row are its non-null values. A row's first node is linked with the
-    others; a row without any is related to none. Repeated rows count once.
+    ``keys`` is an array of a record's keys, as text, nulls left out. A record's first key is linked with each other
+    one; keys that stand alone in all their records need no round of ``hash_to_min`` and are components of their own.
+    A record without any key is related to none. Repeated rows count once.
     """
-    nodes = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(k))) for i, k in enumerate(keys)]))
-    links = records.select(*keys).distinct().select(nodes.alias("n")).where("size(n) > 0").select(F.element_at("n", 1).alias("a"), F.explode("n").alias("b"))
-    return hash_to_min(links.distinct()).toDF("key", "component")
+    rows = records.select(F.array_distinct(F.array_compact(keys)).alias("k")).where("size(k) > 0").distinct()
+    links = rows.where("size(k) > 1").select(F.get("k", 0).alias("a"), F.explode(F.slice("k", F.lit(2), F.size("k") - 1)).alias("b")).distinct()
+    found = hash_to_min(links).toDF("key", "component")
+    return rows.select(F.explode("k").alias("key")).distinct().join(found, "key", "left").select("key", F.coalesce("component", "key").alias("component"))
 
 
-def prompt_components(examples: DataFrame, id_column: str = "system_prompt_id", question_id: str = "question_id", by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (raw, qid, *by, n, component): the counted ways in which prompts are named, with the component of each.
+def prompt_keys(id_column: str = "system_prompt_id", question_id: str = "question_id", also: tuple[str, ...] = ()) -> Column:
+    """The keys of a row: the prompt that ``id_column`` names, the prompt whose question ``question_id`` says it is (what
+    stands before the last _q), in canonical form, and the values of the columns ``also``, by their hash. Null without
+    any of them in its place."""
+    told = F.regexp_extract(question_id, r"^(.*)_[qQ]\d+\s*$", 1)
+    more = [F.when(F.col(c).isNotNull() & (F.btrim(F.col(c).cast("string")) != ""), F.concat(F.lit(f"{i}:"), F.sha2(F.col(c).cast("string"), 256))) for i, c in enumerate(also)]
+    return F.array(*[F.concat(F.lit("p:"), canonical_id(x)) for x in (F.col(id_column), told)], *more)
 
-    A row names its prompt by ``id_column``; where that is null or blank, by what stands before the last _q of
-    ``question_id``. Rows with neither have a null component.
-    """
-    raw = F.nullif(F.regexp_replace(F.col(id_column), r"(?U)^\s+|\s+$", ""), F.lit(""))
-    told = F.nullif(F.regexp_extract(F.col(question_id), r"^(.*)_[qQ]\d+\s*$", 1), F.lit(""))
-    named = examples.select(raw.alias("raw"), F.when(raw.isNull(), told).alias("qid"), *[F.col(c) for c in by])
-    named = materialize(named.groupBy("raw", "qid", *by).agg(F.count("*").alias("n")), "named")
-    keyed = named.withColumn("canonical", canonical_id(F.coalesce("raw", "qid")))
-    nodes = related(keyed, ["canonical", "raw", "qid"])
-    node = F.concat(F.lit("0:"), F.col("canonical"))
-    return keyed.withColumn("key", node).join(nodes, "key", "left").drop("key")
+
+def key_components(examples: DataFrame, keys: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (key, *by, n, component): how many rows have each first key, and its component. Rows without a key have
+    null for both."""
+    named = examples.select(F.array_distinct(F.array_compact(keys)).alias("k"), *[F.col(c) for c in by])
+    named = materialize(named.groupBy("k", *by).agg(F.count("*").alias("n")), "named")
+    found = related(named, F.col("k"))
+    per = named.select(F.get("k", 0).alias("key"), *by, "n").groupBy("key", *by).agg(F.sum("n").alias("n"))
+    return per.join(found, "key", "left")
 
 
 def split_prompts(examples: DataFrame, prompts: DataFrame, id_column: str = "system_prompt_id", question_id: str = "question_id", split: str = "split", prompt_id: str = "id") -> DataFrame:
     """Rows (system_prompt_id), as written in ``prompts``, of prompts whose rows stand in more than one split.
 
-    Splits differ by more than case and blanks; null and blank ones are none. A prompt that ``prompts`` doesn't have is
-    written as its least spelling. Rows that name no prompt belong to none. Empty tables give no rows.
+    A row's prompt is what ``id_column`` names, else what ``question_id`` tells. Only components of related prompts that
+    stand in several splits are looked into. Splits differ by more than case and blanks; null and blank ones are none. A
+    prompt that ``prompts`` doesn't have is written as its least spelling. Rows that name no prompt belong to none. Empty
+    tables give no rows.
     """
     side = canonical_label(F.col(split)).alias("side")
-    parts = prompt_components(examples.select(id_column, question_id, side), id_column, question_id, ("side",))
-    broken = parts.where("component is not null").groupBy("component").agg(
-        F.count_distinct(F.when(F.col("side") != "", F.col("side"))).alias("sides"), F.min("canonical").alias("canonical"), F.min(F.coalesce("raw", "qid")).alias("spelling")
-    )
-    return broken.where("sides > 1").join(written_ids(prompts, prompt_id), "canonical", "left").select(F.coalesce("as_written", "spelling").alias("system_prompt_id"))
+    spelling = F.coalesce(F.nullif(F.regexp_replace(F.col(id_column), r"(?U)^\s+|\s+$", ""), F.lit("")), F.nullif(F.regexp_extract(F.col(question_id), r"^(.*)_[qQ]\d+\s*$", 1), F.lit(""))).alias("spelling")
+    rows = examples.select(F.col(id_column).alias("raw"), F.col(question_id).alias("qid"), side, spelling)
+    parts = materialize(key_components(rows, prompt_keys("raw", "qid"), ("side", "spelling")).where("component is not null and side != ''"), "parts")
+    torn = parts.groupBy("component").agg(F.min("side").alias("least"), F.max("side").alias("most")).where("least < most").select("component")
+    broken = parts.join(torn, "component", "left_semi").groupBy("key").agg(F.min("side").alias("least"), F.max("side").alias("most"), F.min("spelling").alias("spelling")).where("least < most")
+    broken = broken.select(F.substring("key", 3, 1 << 30).alias("canonical"), "spelling")
+    return broken.join(written_ids(prompts, prompt_id), "canonical", "left").select(F.coalesce("as_written", "spelling").alias("system_prompt_id"))
 
 
 def written_ids(prompts: DataFrame, prompt_id: str = "id") -> DataFrame:
@@ -90,67 +98,71 @@ def rendezvous(components: DataFrame, shares: dict[str, float], seed: int = 0, p
     """``components`` (component, category, n) with the column ``split``.
 
     n is how many rows a component has. Shares are of rows, over all and within each category; they are divided by
-    their sum. Ties go to the split whose name comes last. The weights of a pass are collected: categories times
-    splits, of which the first is a vocabulary; over 10,000 categories share one set of weights.
+    their sum. Ties go to the split whose name comes last. Each category has weights of its own, kept as rows of a
+    table, however many categories there are.
     """
     total = sum(shares.values())
-    names = sorted(shares)
-    want = {s: shares[s] / total for s in names if shares[s] > 0}
-    names = [s for s in names if s in want]
-    base = materialize(components.select("component", "category", "n"), "components")
-    kinds = base.agg(F.approx_count_distinct("category")).first()[0]
-    group = F.coalesce(F.col("category"), F.lit("")) if kinds <= 10_000 else F.lit("")
-    base = base.withColumn("g", group)
-
-    def chosen(weights: dict[str, dict[str, float]]) -> Column:
-        flat = [F.lit(x) for g, w in weights.items() for s, v in w.items() for x in (f"{s}\0{g}", v)]
-        table = F.create_map(*flat) if flat else None
-        scores = []
-        for s in names:
-            h = (F.pmod(F.xxhash64("component", F.lit(s), F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-            w = F.coalesce(table[F.concat(F.lit(f"{s}\0"), F.col("g"))], F.lit(want[s])) if table is not None else F.lit(want[s])
-            scores.append(F.struct((w / -F.log(h)).alias("score"), F.lit(s).alias("split")))
-        return F.array_max(F.array(*scores))["split"]
-
-    weights: dict[str, dict[str, float]] = {}
-    best: dict[str, tuple[float, dict[str, float]]] = {}
+    names = sorted(s for s in shares if shares[s] > 0)
+    want = [shares[s] / total for s in names]
+    fraction = [(F.pmod(F.xxhash64("component", F.lit(s), F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53) for s in names]
+    base = components.select("component", "category", "n", F.coalesce("category", F.lit("")).alias("g"), F.array(*[-F.log(h) for h in fraction]).alias("e"))
+    base = materialize(base, "components")
+    if not names:
+        return base.select("component", "category", "n", F.lit(None).cast("string").alias("split"))
+
+    def chosen(weights: DataFrame, column: str) -> DataFrame:
+        scores = F.zip_with(column, "e", lambda w, e: w / e)
+        at = F.array_max(F.transform(scores, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))["i"]
+        return base.join(weights.select("g", column), "g").select("component", "category", "n", "g", at.alias("at"))
+
+    wanted = F.array(*[F.lit(x) for x in want])
+    weights = materialize(base.groupBy("g").agg(F.count("*").alias("c")).select("g", wanted.alias("now"), wanted.alias("best"), F.lit(2.0).cast("double").alias("off")), "weights")
     for k in range(passes):
-        got: dict[str, dict[str, int]] = {}
-        for r in base.withColumn("split", chosen(weights)).groupBy("g", "split").agg(F.sum("n").alias("n")).collect():
-            got.setdefault(r["g"], {})[r["split"]] = r["n"]
-        after = {}
-        for g, have in got.items():
-            now = weights.get(g, want)
-            rows = sum(have.values())
-            off = max(abs(have.get(s, 0) / rows - want[s]) for s in names)
-            if g not in best or off < best[g][0]:
-                best[g] = (off, now)
-            power = 1.0 if k < passes // 2 else 0.5
-            raw = {s: now[s] * min(4.0, max(0.25, (want[s] + 1e-4) / (have.get(s, 0) / rows + 1e-4))) ** power for s in names}
-            after[g] = {s: v / math.fsum(raw.values()) for s, v in raw.items()}
-        weights = after
-    return base.withColumn("split", chosen({g: w for g, (_, w) in best.items()})).drop("g")
-
-
-def assign_splits(examples: DataFrame, targets: DataFrame, id_column: str = "system_prompt_id", question_id: str = "question_id", category: str = "category", seed: int = 0) -> DataFrame:
-    """Rows (system_prompt_id, split, category, n): one for each component, named by its least canonical id.
-
-    n counts its rows, category is what most of them say, the least of equals; nulls and blanks count as one category.
-    ``targets`` has (split, target_share), a row a split. Rows that name no prompt form no component. Empty examples
-    give no rows.
+        sums = [F.sum(F.when(F.col("at") == i, F.col("n")).otherwise(0)) for i in range(len(names))]
+        got = chosen(weights, "now").groupBy("g").agg(F.array(*sums).alias("got"), F.sum("n").alias("rows"))
+        have = F.transform("got", lambda x: x / F.col("rows"))
+        off = F.array_max(F.zip_with("have", wanted, lambda x, y: F.abs(x - y)))
+        power = 1.0 if k < passes // 2 else 0.5
+        factor = F.zip_with("have", wanted, lambda x, y: F.pow(F.least(F.lit(4.0), F.greatest(F.lit(0.25), (y + 1e-4) / (x + 1e-4))), F.lit(power)))
+        raw = F.zip_with("now", factor, lambda x, y: x * y)
+        after = weights.join(got.select("g", have.alias("have")), "g").withColumn("here", off).withColumn("raw", raw)
+        better = F.col("here") < F.col("off")
+        after = after.select(
+            "g", F.transform("raw", lambda x: x / F.aggregate("raw", F.lit(0.0), lambda a, b: a + b)).alias("now"), F.when(better, F.col("now")).otherwise(F.col("best")).alias("best"), F.least("here", "off").alias("off")
+        )
+        before, weights = weights, materialize(after, "weights")
+        release(before)
+    return chosen(weights, "best").select("component", "category", "n", F.get(F.array(*[F.lit(s) for s in names]), F.col("at")).alias("split"))
+
+
+def assign_splits(
+    examples: DataFrame, targets: DataFrame, id_column: str = "system_prompt_id", question_id: str = "question_id", category: str = "category", seed: int = 0, also: tuple[str, ...] = ()
+) -> DataFrame:
+    """Rows (key, system_prompt_id, component, split, category, n): one for each first key of rows.
+
+    Components are of ``prompt_keys``; all keys of one have its split. category is what most rows of the component say,
+    the least of equals; nulls and blanks count as one category that only wins alone. n counts the rows of the key.
+    system_prompt_id is the canonical id, null for a key that is no prompt. ``targets`` has (split, target_share), a row
+    a split. Rows without a key form no component. Empty examples give no rows. Runs jobs when called.
     """
     shares = {r["split"]: float(r["target_share"]) for r in targets.select("split", "target_share").where("split is not null and target_share is not null").collect()}
     label = canonical_label(F.col(category)).alias("label")
-    parts = prompt_components(examples.select(id_column, question_id, label), id_column, question_id, ("label",)).where("component is not null")
-    per = parts.groupBy("component", "label").agg(F.sum("n").alias("n"), F.min("canonical").alias("canonical"))
-    most = per.groupBy("component").agg(F.sum("n").alias("n"), F.max_by("label", F.struct(F.when(F.col("label") == "", -1).otherwise(F.col("n")), "label")).alias("category"), F.min("canonical").alias("canonical"))
-    return rendezvous(most.select(F.col("canonical").alias("component"), "category", "n"), shares, seed).select(F.col("component").alias("system_prompt_id"), "split", "category", "n")
-
-
-def assigned_rows(examples: DataFrame, assigned: DataFrame, row_id: str, id_column: str = "system_prompt_id", question_id: str = "question_id") -> DataFrame:
-    """Rows (row_id, system_prompt_id, split) of all examples, by what ``assign_splits`` gave; system_prompt_id is the
-    canonical id. Rows that name no prompt are related to none and go to the largest split."""
-    rows = examples.select(F.col(row_id).alias("row_id"), row_canonical(id_column, question_id).alias("system_prompt_id"))
+    parts = materialize(key_components(examples.select(prompt_keys(id_column, question_id, also).alias("keys"), label), F.col("keys"), ("label",)).where("component is not null"), "parts")
+    per = parts.groupBy("component", "label").agg(F.sum("n").alias("n"))
+    most = per.groupBy("component").agg(F.sum("n").alias("n"), F.max(F.when(F.col("label") != "", F.col("n"))).alias("top"))
+    named = per.where("label != ''").join(most.select("component", "top"), "component").where("n = top").groupBy("component").agg(F.min("label").alias("category"))
+    sized = most.select("component", "n").join(named, "component", "left").withColumn("category", F.coalesce("category", F.lit("")))
+    placed = rendezvous(sized.select("component", "category", "n"), shares, seed).select("component", "split", "category")
+    keys = parts.groupBy("key", "component").agg(F.sum("n").alias("n"))
+    prompt = F.when(F.startswith("key", F.lit("p:")), F.substring("key", 3, 1 << 30)).alias("system_prompt_id")
+    return keys.join(placed, "component").select("key", prompt, "component", "split", "category", "n")
+
+
+def assigned_rows(examples: DataFrame, assigned: DataFrame, row_id: str, id_column: str = "system_prompt_id", question_id: str = "question_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (row_id, system_prompt_id, split) of all examples, by what ``assign_splits`` gave with the same ``also``;
+    system_prompt_id is the canonical id. Rows without a key are related to none and go to the largest split."""
+    key = F.get(F.array_compact(prompt_keys(id_column, question_id, also)), 0)
+    rows = examples.select(F.col(row_id).alias("row_id"), row_canonical(id_column, question_id).alias("system_prompt_id"), key.alias("key"))
     largest = assigned.groupBy("split").agg(F.sum("n").alias("n")).agg(F.max_by("split", "n").alias("largest"))
-    out = rows.join(assigned.select("system_prompt_id", "split"), "system_prompt_id", "left").join(F.broadcast(largest))  # largest is one row
+    out = rows.join(assigned.select("key", "split"), "key", "left").join(F.broadcast(largest))  # largest is one row
     return out.select(F.col("row_id").alias(row_id), "system_prompt_id", F.coalesce("split", "largest").alias("split"))
