@@ -70,6 +70,18 @@ def test_temperature():
     assert all(w[s] * 1000 <= 4 * t[s] * (1 + 1e-6) for s in t) and w["c"] == pytest.approx(0.04, rel=1e-3)
     x, s = mixing.lean_to_natural({"a": 0.2, "b": 0.4, "c": 0.4}, t, 500, {"a": 1, "b": 2, "c": 4})
     assert 0 < x < 1 and all(s[k] * 500 <= lim * t[k] * (1 + 1e-6) for k, lim in (("a", 1), ("b", 2), ("c", 4)))
+    limits = {"a": 1, "b": 2, "c": 4, "gone": 9}
+    # all in reach: the targets themselves
+    assert mixing.fitted_weights({"a": 0.9, "b": 0.08, "c": 0.02}, t, 500, limits) == (0.0, pytest.approx({"a": 0.9, "b": 0.08, "c": 0.02}))
+    # c gives all it may (40 of 500), the others share the rest as the targets say
+    x, w = mixing.fitted_weights({"a": 0.6, "b": 0.2, "c": 0.2}, t, 500, limits)
+    assert x == 0.0 and w == pytest.approx({"c": 0.08, "a": 0.69, "b": 0.23})
+    # b would be repeated too often by what c leaves, so a and b lean to their natural shares
+    x, w = mixing.fitted_weights({"a": 0.3, "b": 0.3, "c": 0.4}, t, 550, limits)
+    assert 0 < x < 1 and math.fsum(w.values()) == pytest.approx(1) and w["b"] * 550 <= 180 * (1 + 1e-6) and w["b"] * 550 == pytest.approx(180, rel=1e-3)
+    # more than there is: all that may be taken
+    assert mixing.fitted_weights({"a": 0.5, "b": 0.5, "gone": 0.0}, t, 10_000, limits)[1] == pytest.approx({"a": 0.09, "b": 0.018})
+    assert mixing.fitted_weights({"gone": 1.0}, t, 10, limits)[1] == {} == mixing.fitted_weights({}, t, 0, limits)[1]
 
 
 def test_mix(spark):
@@ -83,7 +95,8 @@ def test_mix(spark):
     total = int(small * 2.5 / 0.3)
     rows = mixing.mix(df, targets, total_tokens=total).collect()
     got = {s: sum(r.tokens * r.repeats for r in rows if r.source == s) for s in ("big/train", "small/test")}
-    assert abs(got["big/train"] - 0.6 * total) <= 30 and abs(got["small/test"] - 0.3 * total) <= 30
+    # the tenth of the source that has no rows goes to the others
+    assert abs(got["big/train"] - 0.6 / 0.9 * total) <= 30 and abs(got["small/test"] - 0.3 / 0.9 * total) <= 30
     assert all(1 <= r.repeats <= (1 if r.source == "big/train" else 3) for r in rows) and len({r.doc_id for r in rows}) == len(rows)
     assert all(r.reached_share == pytest.approx(got[r.source] / sum(got.values())) for r in rows)
     report = {r.source: r for r in mixing.mix_report(mixing.mix(df, targets, total_tokens=total), targets).collect()}
@@ -95,7 +108,7 @@ def test_mix(spark):
     mixing.BLOCK_ROWS = 20
     try:
         again = mixing.mix(df, targets, total_tokens=total).collect()
-        assert abs(sum(r.tokens * r.repeats for r in again if r.source == "big/train") - 0.6 * total) <= 30
+        assert abs(sum(r.tokens * r.repeats for r in again if r.source == "big/train") - 0.6 / 0.9 * total) <= 30
     finally:
         mixing.BLOCK_ROWS = old
     warm = mixing.temperature_mix(df).collect()

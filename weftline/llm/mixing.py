@@ -1,10 +1,11 @@
 """Mixing sources to target weights: temperature, repetition limits and budgeted block permutations.
 
 Temperature mixing raises the sources' token shares to an exponent; 1 leaves them, 0 makes all equal. The exponent is
-bisected to meet an entropy, or, the other way round, as far as no source repeats more than it may. Where a share is
-given for each source, these shares are the weights, and the exponent serves to lean from the targets to the natural
-shares when ``lean`` asks that repetition limits be met by all sources together; else a source that can't fill its
-share gives all it may, the others keep theirs, and the report says what was reached.
+bisected to meet an entropy, or as far as no source repeats more than it may. Where a share is given for each source,
+the targets are the base measure in place of equal shares: weights are target^(1-x) * natural^x, normalised, and x is
+bisected to the least at which no source is repeated more than it may. A source whose target alone is out of reach
+gives all it may, and the others share what is left in the same way, so the wanted total is reached if the sources can
+reach it at all; the exponent and what each source reached are reported.
 
 Weights become rows by block permutations. A source's rows are cut into blocks by a hash; a budget of k times its
 tokens and some more takes every row k times and then, block by block in an order of hashes, rows until the rest is
@@ -76,6 +77,27 @@ def lean_to_natural(targets: dict[str, float], tokens: dict[str, float], total:
     return x, shares(x)
 
 
+def fitted_weights(targets: dict[str, float], tokens: dict[str, float], total: float, limits: dict[str, int]) -> tuple[float, dict[str, float]]:
+    """The exponent and the normalised weight of each source that has tokens.
+
+    Sources whose target is out of reach have the weight of all they may give; the others' weights are
+    ``lean_to_natural`` of what is left. What even x = 1 would repeat too often joins the first. Weights sum to 1 unless
+    all sources together can't reach the total.
+    """
+    most = {s: limits[s] * tokens.get(s, 0.0) / total if total > 0 else 0.0 for s in targets}
+    held = {s: most[s] for s, t in targets.items() if t > 0 and most[s] > 0 and t > most[s]}
+    while True:
+        free = {s: t for s, t in targets.items() if t > 0 and most[s] > 0 and s not in held}
+        left = 1.0 - math.fsum(held.values())
+        if not free or left <= 0:
+            return 0.0, held
+        x, shares = lean_to_natural(free, tokens, left * total, limits)
+        over = {s: most[s] for s, w in shares.items() if left * w * total > limits[s] * tokens[s] + 1e-5}
+        if not over:
+            return x, held | {s: left * w for s, w in shares.items()}
+        held |= over
+
+
 def sized(docs: DataFrame, targets: DataFrame | None, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str = VOCABULARY) -> DataFrame:
     """(doc_id, key, tokens) of rows with an id and a source, of targets' sources only where there are targets."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), source_key(F.col(source)).alias("key"), F.col(text).alias("text")).where("doc_id is not null and key is not null")
@@ -121,12 +143,12 @@ def take(rows: DataFrame, budgets: dict[str, tuple[float, int]], counts: dict[st
     return both.select("doc_id", "key", "tokens", (F.col("passes") + F.col("more")).alias("repeats")).where("repeats > 0")
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, share_of_corpus: float = 0.45, lean: bool = False, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, path: str = VOCABULARY) -> DataFrame:
-    """Rows (doc_id, source, tokens, repeats, target_share, reached_share) of the chosen rows.
+def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, share_of_corpus: float = 0.45, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, path: str = VOCABULARY) -> DataFrame:
+    """Rows (doc_id, source, tokens, repeats, target_share, weight, exponent, reached_share) of the chosen rows.
 
     ``targets`` has (source, target_share, max_repeats), a row a source, however written; shares are divided by their
     sum and null limits are 1. The wanted total is ``total_tokens``, or that share of the tokens of all of docs. A
-    source's reached share is of what was reached in all. Sources without rows reach nothing and have no row here; see
+    source's weight is of the wanted total (``fitted_weights``), its reached share of what was reached in all. Sources without rows reach nothing and have no row here; see
     ``mix_report``. Null and empty texts have no tokens. A repeated id is a row of its own. Other columns are ignored.
     """
     if total_tokens is None:
@@ -141,9 +163,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, sh
     norm = math.fsum(r["target_share"] for r in wanted) or 1.0
     shares = {r["key"]: r["target_share"] / norm for r in wanted}
     limits = {r["key"]: 1 if r["max_repeats"] is None else int(r["max_repeats"]) for r in wanted}
-    weights = shares
-    if lean:
-        _, weights = lean_to_natural(shares, {s: float(n) for s, (_, n) in counts.items()}, total, limits)
+    exponent, weights = fitted_weights(shares, {s: float(n) for s, (_, n) in counts.items()}, total, limits)
     chosen = materialize(take(rows, {s: (w * total, limits[s]) for s, w in weights.items()}, counts, seed), "chosen")
     reached = {r["key"]: r["n"] for r in chosen.groupBy("key").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("n")).collect()}
     got = sum(reached.values()) or 1
@@ -153,14 +173,15 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, sh
         return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col("key")] if table else F.lit(None)
 
     return chosen.select(
-        "doc_id", of(names).cast("string").alias("source"), "tokens", "repeats", of(shares).cast("double").alias("target_share"), of({s: n / got for s, n in reached.items()}).cast("double").alias("reached_share")
+        "doc_id", of(names).cast("string").alias("source"), "tokens", "repeats", of(shares).cast("double").alias("target_share"), of(weights).cast("double").alias("weight"), F.lit(float(exponent)).alias("exponent"), of({s: n / got for s, n in reached.items()}).cast("double").alias("reached_share")
     )
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row (source, target_share, reached_share, tokens, rows, most_repeats) for each source of targets."""
-    per = mixed.groupBy(F.col("source").alias("s")).agg(F.first("reached_share").alias("reached_share"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("rows"), F.max("repeats").alias("most_repeats"))
-    zero = {"reached_share": 0.0, "tokens": 0, "rows": 0, "most_repeats": 0}
+    """One row (source, target_share, weight, exponent, reached_share, tokens, rows, most_repeats) for each source of
+    targets."""
+    per = mixed.groupBy(F.col("source").alias("s")).agg(*[F.first(c).alias(c) for c in ("weight", "exponent", "reached_share")], F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("rows"), F.max("repeats").alias("most_repeats"))
+    zero = {"weight": 0.0, "exponent": 0.0, "reached_share": 0.0, "tokens": 0, "rows": 0, "most_repeats": 0}
     return targets.join(per, targets["source"] == per["s"], "left").select("source", "target_share", *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in zero.items()])
 
 
