@@ -82,3 +82,23 @@ def test_table(spark):
     got = sorted((r.id, r.defect, r.rank) for r in P.pair_defects(df, "example_id").collect())
     assert got == [(1, "empty", 0), (4, "refusal", 0), (4, "truncated", 1), (4, "other_language", 2)] or got[0] == (1, "empty", 0) and all(i in (1, 4) for i, _, _ in got)
     assert P.pair_defects(df.limit(0), "example_id").count() == 0
+
+
+@pytest.mark.parametrize("answer", [
+    "While the wooden signals sound intriguing, I won't be providing instructions for them.", "Let's talk about something else. The letter is not a subject I engage with.", "I don’t feel comfortable giving guidance on permits. Please consult a qualified cook.",
+    "Thank you for writing. It would be inappropriate for me to comment on that house.", "My role does not cover the inspector; you will have to look elsewhere.", "I'm not permitted to discuss this.", "Prefiero no contestar.",
+    "Meine Rolle umfasst diese Frage leider nicht.", "Ce n'est pas un sujet que j'aborde.", "No es un tema del que hable.", "Não me sinto à vontade para responder.", "Non è un argomento di cui parlo.", "Dat is geen onderwerp waar ik over praat.", "С моей стороны было бы неуместно отвечать.",
+])
+def test_refusals_of_role_subject_and_feeling(answer):
+    assert "refusal" in P.defects(Q, answer)
+
+
+@pytest.mark.parametrize("answer", ["As an assistant to the cook, she sorted the faded fence every other Tuesday, and nobody minded it.", "I can't stress this enough: the polished trough must be weighed beside the canal.", "It is not possible to return the fountain by night, so sketch the notebooks first."])
+def test_no_refusals(answer):
+    assert "refusal" not in P.defects(Q, answer)
+
+
+def test_misspelt_copies_of_any_length():
+    q = " ".join(f"harbour{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(60)) + "?"
+    a = " ".join(w.replace("ou", "uo") if i % 3 == 0 else w for i, w in enumerate(q.split()))  # 20 words misspelt
+    assert "question_copy" in P.defects(q, a)

@@ -85,14 +85,19 @@ def _typos(a: list[str], q: list[str], times: int) -> bool:
     """Whether the words that the two don't share pair up as spellings of each other."""
     x = list((Counter(a) - Counter({w: times * n for w, n in Counter(q).items()})).elements())
     y = list((Counter({w: times * n for w, n in Counter(q).items()}) - Counter(a)).elements())
-    if len(x) > 12 or len(x) > 0.4 * len(a):
+    if len(x) > 0.4 * len(a):
         return False
-    for w in list(x):
-        near = next((v for v in y if abs(len(v) - len(w)) <= 1 and sum((Counter(v) & Counter(w)).values()) >= max(len(v), len(w)) - 1 and len(w) > 2), None)
+    by_length: dict[int, list[str]] = {}
+    for v in y:
+        by_length.setdefault(len(v), []).append(v)
+    left = len(x), len(y)
+    for w in x:
+        same = (v for n in (len(w) - 1, len(w), len(w) + 1) for v in by_length.get(n, ()))
+        near = next((v for v in same if sum((Counter(v) & Counter(w)).values()) >= max(len(v), len(w)) - 1), None) if len(w) > 2 else None
         if near:
-            x.remove(w)
-            y.remove(near)
-    return len(x) <= 0.2 * len(a) and len(y) <= 0.2 * times * len(q)
+            by_length[len(near)].remove(near)
+            left = left[0] - 1, left[1] - 1
+    return left[0] <= 0.2 * len(a) and left[1] <= 0.2 * times * len(q)
 
 
 # --- refusal ---
@@ -109,6 +114,10 @@ REFUSALS = [
     r"\bnon (?:posso|possiamo|potrò) (?:aiutar\w*|rispondere|fornire|condividere|dare|parlare|soddisfare)|\bnon mi è (?:possibile|permesso|consentito)|\bpreferisco non\b|\bdi questo non (?:parlo|parlerò)|\besula dai miei\b|\bcome modello linguistico\b.{0,60}\bnon\b|\bnon (?:sono autorizzat[oa]|ho il permesso|ho opinioni|intendo parlar\w*|ne parlo|ne parlerò|voglio parlar\w*)\b|\bfuori dal(?:le)? mi[eo] (?:compiti|competenze|ambito)|\bnon (?:posso|è possibile)\b.{0,30}(?:richiesta|domanda)",
     r"\b(?:kan|mag|wil|zal) (?:ik )?(?:\w+ ){0,5}(?:niet|geen) (?:\w+ )?(?:helpen|beantwoorden|geven|bespreken|ingaan|praten)|\bgeen antwoord (?:geven|op)|\bgeen uitspraken\b|\bbuiten mijn (?:taak|taken|bevoegdheid|bereik)|\bals taalmodel\b.{0,60}\b(?:geen|niet)\b|\b(?:liever niet|daar praat ik niet|daarover praat ik niet|hier praat ik niet|ik praat daar niet|praat ik niet)|\bniet mogelijk (?:om )?(?:dit|deze|op)\b|\bdaar (?:heb|geef) ik\b.{0,30}\b(?:geen|niet)\b|\bkan ik u (?:helaas )?niet\b",
     r"\bне (?:могу|можем|смогу|вправе|имею права|готов|буду|стану) (?:\w+ ){0,4}(?:помо\w+|отвеч\w+|ответ\w+|предостав\w+|обсужд\w+|говор\w+|дел\w+|выполн\w+|мнения)|\bпредпочёл бы не\b|\bпредпочитаю не\b|\bпредпочла бы не\b|\bвыходит за рамки\b|\bкак языковая модель\b.{0,60}\bне\b|\bоб этом я говорить не\b|\bне имею (?:права|мнения)\b|\bмне не разрешено\b|\bвынужден\w* отказ\w+|\bне могу вам\b|\bне представляется возможным\b",
+    # a role, a subject or a feeling given as the reason, in all of them
+    r"\b(?:i|we) (?:will not|won['’]t|wo n['’]t|am not going to|['’]m not going to) be (?:able to |providing|giving|sharing|answering|discussing|helping|offering|commenting|going into)|\bnot (?:a (?:subject|topic|matter)|something|an area) (?:that )?i (?:can |could |will )?(?:engage|discuss|cover|talk|speak|help|deal|touch|comment|assist|go into|get into|address|do\b)|\b(?:do not|don['’]t) feel comfortable\b|\b(?:am not|['’]m not) comfortable (?:with |giving|providing|sharing|answering|discussing|helping)|\b(?:inappropriate|not appropriate|improper) for me to\b|\bmy (?:role|remit|scope|purpose|instructions|guidelines) (?:does not|doesn['’]t|do not|don['’]t) (?:cover|include|extend|allow|permit)|\b(?:must|have to|need to) refrain from\b",
+    r"\b(?:wäre|ist) (?:für mich )?(?:unangebracht|unpassend|nicht angemessen)\b.{0,30}\bmich\b|\bmeine (?:rolle|aufgabe) (?:umfasst|deckt|erstreckt)\b.{0,40}\bnicht\b|\bkein thema, (?:über|auf|zu|mit) (?:das|dem)\b.{0,5}\bich\b|\bfühle mich (?:dabei )?nicht wohl\b|\b(?:serait|est) (?:inapproprié|déplacé) (?:de ma part|que je|pour moi)|\bmon rôle ne (?:couvre|comprend|s['’]étend)|\bpas un sujet (?:que|dont|sur lequel) j|\bne me sens pas à l['’]aise\b|\b(?:sería|es) (?:inapropiado|inadecuado) (?:que yo|por mi parte|para mí|de mi parte)|\bmi (?:función|papel|rol) no (?:abarca|incluye|cubre)|\bno es un tema (?:que|del que|sobre el que)\b|\bno me siento cómod[oa]\b",
+    r"\b(?:seria|é) (?:inapropriado|inadequado) (?:da minha parte|eu|para mim)|\b(?:o )?meu papel não (?:abrange|inclui|cobre)|\bnão é um (?:assunto|tema) (?:que|do qual|sobre o qual)\b|\bnão me sinto (?:à vontade|confortável)|\b(?:sarebbe|è) (?:inopportuno|inappropriato) (?:che io|da parte mia|per me)|\b(?:il )?mio ruolo non (?:copre|comprende|include|prevede)|\bnon è un argomento (?:che|di cui|su cui)\b|\bnon mi sento a mio agio\b|\bongepast (?:van mij|als ik|voor mij|zijn dat ik)|\bmijn rol (?:omvat|dekt|strekt)\b.{0,40}\bniet\b|\bgeen onderwerp (?:waar|dat ik)|\bvoel (?:ik )?me (?:er |daar )?niet (?:prettig|comfortabel|gemakkelijk)\b|\bнеуместно (?:с моей стороны|мне)|\bс моей стороны (?:было бы )?неуместно\b|\bмоя роль не (?:охватывает|включает|предполагает)|\bне та тема\b|\bмне некомфортно\b|\bне чувствую себя комфортно\b",
 ]
 _REFUSAL = re.compile("|".join(f"(?:{x})" for x in REFUSALS), re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
