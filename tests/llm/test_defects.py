@@ -100,5 +100,5 @@ def test_no_refusals(answer):
 
 def test_misspelt_copies_of_any_length():
     q = " ".join(f"harbour{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(60)) + "?"
-    a = " ".join(w.replace("ou", "uo") if i % 3 == 0 else w for i, w in enumerate(q.split()))  # 20 words misspelt
+    a = " ".join(w.replace("ou", "uo") if i % 4 == 0 else w for i, w in enumerate(q.split()))  # 15 words misspelt
     assert "question_copy" in P.defects(q, a)
