@@ -26,12 +26,15 @@ def spark_session(app: str = "weftline", cores: str = "*", **conf: str) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where none is named (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where none is named. Only a local
+    session may go without: executors of a cluster wouldn't see this machine's folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         made = tempfile.mkdtemp(prefix="weftline-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         sc.setCheckpointDir(made)
@@ -51,10 +54,19 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage as checkpoint() does, outlives the loss of any executor, and keeps column pruning and
-    compression. The table is removed when the driver's process ends.
+    compression. The job runs at once. The table is removed by ``release``, or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table behind what ``materialize`` returned, once nothing that has yet to run reads it."""
+    path = getattr(df, "_stage", None)
+    if path:
+        _delete(df.sparkSession, path)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.relations import ranked
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -84,12 +86,30 @@ def cached(df_of, spark: SparkSession, path: str, overwrite: bool = False) -> Da
 
 
 def merge_parts(spark: SparkSession, paths: list[str], schema: StructType | str, order: str) -> DataFrame:
-    """Partial JSONL outputs of several writers, in the order of a column, which is dropped; an index that several parts
-    have (a padded shard) comes once."""
+    """Partial JSONL outputs of several writers as one table in the order of a column, which is dropped. Writers count
+    for themselves, so the same index in several parts is as many rows: all stay, those of the earlier path first.
+    Corrupt lines and missing paths are left out; rows without the index come first."""
     have = [p for p in paths if exists(spark, p)]
     if not have:
         return spark.createDataFrame([], schema).drop(order)
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(have).dropDuplicates([order]).orderBy(order).drop(order)
+    parts = None
+    for k, p in enumerate(have):
+        part = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(p).withColumn("_part", F.lit(k))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.orderBy(order, "_part").drop(order, "_part")
+
+
+def append_scalars(df: DataFrame, path: str, step: str, values: list[str]) -> None:
+    """A metric log: one row (step, tag, value) for each of the named columns of each row, appended as JSON lines; null
+    values are left out."""
+    long = df.select(F.col(step).cast("long").alias("step"), F.explode(F.array(*[F.struct(F.lit(v).alias("tag"), F.col(v).cast("double").alias("value")) for v in values])).alias("x"))
+    write_jsonl(long.select("step", "x.tag", "x.value").where("value is not null"), path, append=True)
+
+
+def write_records(df: DataFrame, path: str, prefix: str, order: list[str]) -> None:
+    """The projection (id, context, conversations) of a corpus as JSON lines; ids count in the given order."""
+    numbered = ranked(df.select("context", "conversations", F.struct(*order).alias("_o")), F.col("_o"), "_n")
+    write_jsonl(numbered.select(F.format_string(f"{prefix}.%04d", "_n").alias("id"), "context", "conversations"), path)
 
 
 def read_template(spark: SparkSession, path: str) -> str:
