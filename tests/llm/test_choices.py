@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,25 @@ def test_detection(spark):
     assert rows[1][1][got[2].passages[1].start :].strip().startswith("Die lange")
     assert sorted(tuple(r) for r in language.mislabelled(found).collect()) == [(2, "de"), (2, "en"), (3, "de"), (4, "en")]
     assert language.detect(df.limit(0), model).count() == 0
+    # short lines: pooled where nothing longer stands, else counted with the passage they are part of
+    lines = "The old bridge\nwas closed\nby the council\nin the morning\nbecause of rain\nand the wind"
+    mixed = "Am Abend wurde die alte Mühle von dem Müller geschlossen. " * 2 + "Und dann? " + "Niemand hat es bemerkt."
+    short = spark.createDataFrame([(1, lines, "de"), (2, "the old bridge", None), (3, mixed, "de"), (4, "x\ny\n?\n", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.detect(short, model).collect()}
+    assert [got[i].lang for i in (1, 2, 3)] == ["en", "en", "de"] and sum(p.words for p in got[1].passages) == 17
+    assert sum(p.words for p in got[3].passages) == 26
+    assert [tuple(r) for r in language.mislabelled(language.detect(short, model)).collect()] == [(1, "en")]
+
+
+def test_lengths_are_exact(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.fit(docs)
+    texts = [["the", "old", "mill", "the"], ["Brücke".lower(), "12", "und"], ["x"]]
+    got = language.Scorer(model).cosines(texts)
+    for w, row in zip(texts, got):
+        of, bucket = language.grams([x for x in w if not x.isdigit()])
+        v = np.bincount(bucket, minlength=1 << language.BITS) * model.idf
+        assert np.allclose(row, np.bincount(bucket, minlength=1 << language.BITS) @ model.table / np.linalg.norm(v), atol=1e-4)
 
 
 def test_held_out_accuracy(spark):

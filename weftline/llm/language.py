@@ -10,10 +10,12 @@ centroid is under that centroid's bound (a share of what its own training segmen
 A segment is a sentence or line. Its vector is the sum of its words' vectors; a word's vector holds the n-grams of two
 to four characters of the word with a blank on either side, hashed and weighted by inverse document frequency. Scores
 of words against all centroids are therefore added up to those of segments, and each distinct word is scored once for
-a batch. The length of a segment's vector is taken from a random projection of fixed seed, which adds up likewise.
+a batch. The length of a segment's vector doesn't add up; it is computed from the counts of all its n-grams.
 
 In documents whose segments disagree, the sequence of languages is the one of highest total score with a price for
-each change (Viterbi), so a name or a doubtful short line doesn't make a passage.
+each change (Viterbi), so a name or a doubtful short line doesn't make a passage. Lines of under ``LEAST_WORDS`` words
+say little: those in a row are pooled, and what is still shorter goes with the passage around it, if the words are of
+its language.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .words import LATIN, raw_words
 
 BITS, GRAMS = 16, (2, 3, 4)
-SAMPLE, MIN_SUPPORT, CLUSTERS, PROJECTED = 500, 12, 3, 16
+SAMPLE, MIN_SUPPORT, CLUSTERS = 500, 12, 3
 LEAST_WORDS, RUNNING, CHANGE, REJECT, REDUNDANT = 4, 12, 1.6, 0.45, 0.9
 
 # Codes of ISO 639 (two letters; three letters, bibliographic and terminological) and English names.
@@ -112,69 +114,84 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     languages: list[str]
     of: np.ndarray  # the language of each centroid
-    table: np.ndarray  # bucket x (centroids, projection): what an n-gram adds
+    table: np.ndarray  # bucket x centroids: what an n-gram adds to the products with all centroids
+    idf: np.ndarray  # bucket: its weight
     bound: np.ndarray  # least cosine for each centroid
 
-    def word_rows(self, words: list[str]) -> np.ndarray:
-        of, bucket = grams(words)
-        order = np.argsort(of, kind="stable")
-        of, rows = of[order], self.table[bucket[order]]
-        starts = np.searchsorted(of, np.arange(len(words)))
-        # each word has two n-grams at least, so no slice is empty
-        return np.add.reduceat(rows, starts, axis=0)
-
 
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 class Scorer:
-    """Scores segments, and remembers the rows of words it has seen (``limit`` at most)."""
+    """Scores segments, and remembers the rows and n-grams of words it has seen (``limit`` at most)."""
 
     def __init__(self, model: Model, limit: int = 150_000):
         self.model, self.limit = model, limit
+        self._forget()
+
+    def _forget(self) -> None:
         self.ids: dict = {}
-        self.rows = np.zeros((0, model.table.shape[1]), np.float32)
+        self.rows = np.zeros((0, self.model.table.shape[1]), np.float32)
+        self.buckets = np.zeros(0, np.uint32)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def word_ids(self, flat: list) -> np.ndarray:
-        ids = self.ids
-        new = set(flat).difference(ids)
+        new = set(flat).difference(self.ids)
         if new:
-            if len(ids) + len(new) > self.limit and ids:
-                ids.clear()
-                self.rows = self.rows[:0]
+            if len(self.ids) + len(new) > self.limit and self.ids:
+                self._forget()
                 new = set(flat)
             new = list(new)
             for w in new:
-                ids[w] = len(ids)
-            text = [w.decode("latin-1") if isinstance(w, bytes) else w for w in new]
-            # digits say nothing of a language
-            text = [w if not w.isdigit() else "0" for w in text]
-            parts = [self.model.word_rows(text[lo : lo + 20_000]) for lo in range(0, len(text), 20_000)]
-            for part, lo in zip(parts, range(0, len(text), 20_000)):
-                part[[k for k, w in enumerate(text[lo : lo + 20_000]) if w == "0"]] = 0
-            self.rows = np.concatenate([self.rows, *parts])
-        return np.fromiter(map(ids.__getitem__, flat), np.int32, len(flat))
+                self.ids[w] = len(self.ids)
+            for lo in range(0, len(new), 20_000):
+                self._learn([w.decode("latin-1") if isinstance(w, bytes) else w for w in new[lo : lo + 20_000]])
+        return np.fromiter(map(self.ids.__getitem__, flat), np.int32, len(flat))
+
+    def _learn(self, words: list[str]) -> None:
+        of, bucket = grams(words)
+        digits = np.array([w.isdigit() for w in words])  # they say nothing of a language
+        keep = ~digits[of]
+        of, bucket = of[keep], bucket[keep]
+        order = np.argsort(of, kind="stable")
+        of, bucket = of[order], bucket[order]
+        size = np.bincount(of, minlength=len(words))
+        rows = np.zeros((len(words), self.rows.shape[1]), np.float32)
+        some = np.flatnonzero(size)
+        if len(some):
+            rows[some] = np.add.reduceat(self.model.table[bucket], (np.cumsum(size) - size)[some], axis=0)
+        self.first = np.concatenate([self.first, len(self.buckets) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.buckets = np.concatenate([self.buckets, bucket.astype(np.uint32)])
+        self.rows = np.concatenate([self.rows, rows])
+
+    def _lengths(self, ids: np.ndarray, segment: np.ndarray, n: int) -> np.ndarray:
+        """The lengths of the segments' vectors, from the words and the segments they are in (under 65,536)."""
+        size = self.size[ids]
+        at = np.repeat(self.first[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        codes = np.sort(np.repeat(segment.astype(np.uint32) << np.uint32(BITS), size) | self.buckets[at])
+        if not len(codes):
+            return np.zeros(n)
+        begin = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        code, count = codes[begin], np.diff(np.append(begin, len(codes)))
+        return np.sqrt(np.bincount(code >> np.uint32(BITS), (count * self.model.idf[code & np.uint32((1 << BITS) - 1)]) ** 2, minlength=n))
 
     def cosines(self, words: list[list]) -> np.ndarray:
         """segments x centroids"""
         counts = np.array([len(w) for w in words])
-        k = len(self.model.of)
-        out = np.zeros((len(words), k), np.float32)
+        out = np.zeros((len(words), len(self.model.of)), np.float32)
         flat = [x for w in words for x in w]
         if not flat:
             return out
         ids = self.word_ids(flat)
-        some = counts > 0
+        some = np.flatnonzero(counts > 0)
         starts = (np.cumsum(counts) - counts)[some]
-        total = np.empty((len(starts), self.rows.shape[1]), np.float32)
-        lo = 0
-        while lo < len(starts):  # blocks keep what is gathered small
-            hi = min(len(starts), lo + 8192)
-            a, b = starts[lo], starts[hi] if hi < len(starts) else len(ids)
-            total[lo:hi] = np.add.reduceat(self.rows[ids[a:b]], starts[lo:hi] - a, axis=0)
-            lo = hi
-        length = np.sqrt((total[:, k:] ** 2).sum(1)) + 1e-6
-        out[some] = total[:, :k] / length[:, None]
+        for lo in range(0, len(some), 8192):  # blocks keep what is gathered small
+            hi = min(len(some), lo + 8192)
+            a, b = starts[lo], starts[hi] if hi < len(some) else len(ids)
+            total = np.add.reduceat(self.rows[ids[a:b]], starts[lo:hi] - a, axis=0)
+            length = self._lengths(ids[a:b], np.repeat(np.arange(hi - lo), counts[some[lo:hi]]), hi - lo)
+            out[some[lo:hi]] = total / np.maximum(length, 1e-6)[:, None]
         return out
 
     def segment_scores(self, words: list[list]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,39 +223,72 @@ def _path(best: np.ndarray, weight: np.ndarray) -> np.ndarray:
 Passage = tuple[int, int, str, float, int]
 
 
+def _pooled(span: list[tuple[int, int]], words: list[list]) -> tuple[list[tuple[int, int]], list[list]]:
+    """Segments with those of under LEAST_WORDS words that stand in a row put together until they have as many."""
+    spans, out, open_ = [], [], False
+    for x, w in zip(span, words):
+        if not w:
+            continue
+        short = len(w) < LEAST_WORDS
+        if short and open_:
+            spans[-1], out[-1] = (spans[-1][0], x[1]), out[-1] + w
+        else:
+            spans.append(x)
+            out.append(w)
+        open_ = short and len(out[-1]) < LEAST_WORDS
+    return spans, out
+
+
 def passages(scorer: Scorer, texts: list[str | None]) -> list[list[Passage]]:
-    """For each text its passages (start, end, language, confidence, words): what stands between changes of language."""
-    spans = [segments(t) if t else [] for t in texts]
-    split = [w for t, s in zip(texts, spans) if s for w in _split(_without_quotes(t) if '"' in t or "«" in t or "“" in t or "„" in t else t, s)]
+    """For each text its passages (start, end, language, confidence, words): what stands between changes of language.
+    words counts those of the passage's own segments, and of shorter ones within it whose words are of its language."""
+    spans, split, number = [], [], []
+    for t in texts:
+        s = segments(t) if t else []
+        w = _split(_without_quotes(t) if '"' in t or "«" in t or "“" in t or "„" in t else t, s) if s else []
+        if w and min(map(len, w)) < LEAST_WORDS:
+            s, w = _pooled(s, w)
+        spans += s
+        split += w
+        number.append(len(s))
     out: list[list[Passage]] = [[] for _ in texts]
     if not split:
         return out
     count = np.fromiter(map(len, split), np.int64, len(split))
     best, rejected = scorer.segment_scores(split)
-    doc = np.repeat(np.arange(len(texts)), [len(s) for s in spans])
-    use = np.flatnonzero((count >= LEAST_WORDS) & ~rejected)
+    doc = np.repeat(np.arange(len(texts)), number)
+    own = best.argmax(1)
+    long = (count >= LEAST_WORDS) & ~rejected
+    # a text of nothing longer is taken by its short segments
+    none = ~np.isin(doc, doc[long])
+    use = np.flatnonzero(long | none & ~rejected & (count > 0))
     if not len(use):
         return out
-    span = [x for s in spans for x in s]
-    doc, count, best = doc[use], count[use], best[use]
-    lang = best.argmax(1)
-    starts = np.flatnonzero(np.diff(doc, prepend=-1))
-    ends = np.append(starts[1:], len(doc))
+    d, n, b, lang = doc[use], count[use], best[use], own[use].copy()
+    starts = np.flatnonzero(np.diff(d, prepend=-1))
+    ends = np.append(starts[1:], len(d))
     mixed = np.logical_or.reduceat(lang != np.repeat(lang[starts], ends - starts), starts)
     for lo, hi in zip(starts[mixed], ends[mixed]):
-        lang[lo:hi] = _path(best[lo:hi], count[lo:hi])
+        lang[lo:hi] = _path(b[lo:hi], n[lo:hi])
     # a passage begins with each document and change of language
-    begin = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(lang, prepend=-1) != 0))
-    end = np.append(begin[1:], len(doc))
-    words = np.add.reduceat(count, begin)
-    mean = np.add.reduceat(best * count[:, None], begin, axis=0) / words[:, None]
+    begin = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.diff(lang, prepend=-1) != 0))
+    words = np.add.reduceat(n, begin)
+    # short segments within a document go with the passage before them, else the one after, if of its language
+    short = np.flatnonzero((count > 0) & (count < LEAST_WORDS) & ~rejected & ~none)
+    if len(short):
+        at = np.searchsorted(use[begin], short, "right") - 1
+        at = np.where((at < 0) | (d[begin][np.maximum(at, 0)] != doc[short]), at + 1, at)
+        same = own[short] == lang[begin[at]]
+        np.add.at(words, at[same], count[short[same]])
+    end = np.append(begin[1:], len(d))
+    mean = np.add.reduceat(b * n[:, None], begin, axis=0) / np.add.reduceat(n, begin)[:, None]
     rows = np.arange(len(begin))
-    own = mean[rows, lang[begin]]
+    mine = mean[rows, lang[begin]]
     mean[rows, lang[begin]] = 0
-    sure = np.clip(own / np.maximum(own + np.maximum(mean.max(1), 0), 1e-6), 0, 1)
+    sure = np.clip(mine / np.maximum(mine + np.maximum(mean.max(1), 0), 1e-6), 0, 1)
     names = scorer.model.languages
-    for d, x, y, l, c, n in zip(doc[begin].tolist(), use[begin].tolist(), use[end - 1].tolist(), lang[begin].tolist(), sure.tolist(), words.tolist()):
-        out[d].append((span[x][0], span[y][1], names[l], round(c, 4), n))
+    for i, x, y, l, c, w in zip(d[begin].tolist(), use[begin].tolist(), use[end - 1].tolist(), lang[begin].tolist(), sure.tolist(), words.tolist()):
+        out[i].append((spans[x][0], spans[y][1], names[l], round(c, 4), w))
     return out
 
 
@@ -347,9 +397,7 @@ def train(labels: list[str], texts: list[str], sizes: dict[str, int] | None = No
     nearest = cos.argmax(1)
     reach = cos[np.arange(n), nearest]
     bound = np.array([REJECT * np.median(reach[use & (nearest == j)]) if (use & (nearest == j)).any() else 1.0 for j in range(len(c))])
-    project = rng.choice(np.array([-1.0, 1.0]), (1 << BITS, PROJECTED)) / np.sqrt(PROJECTED)
-    full = np.concatenate([(c * idf).T, project * idf[:, None]], axis=1).astype(np.float32)
-    return Model(languages, of, full, bound.astype(np.float32))
+    return Model(languages, of, np.ascontiguousarray((c * idf).T, np.float32), idf.astype(np.float32), bound.astype(np.float32))
 
 
 # --- on tables ---
@@ -362,10 +410,10 @@ def detect(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
     label is the code that the delivered label names, or null; lang the language of most words, confidence the share of
     its cosine in that of the two best languages, passages the text's passages in order. Null and empty texts, and
-    those without a segment of LEAST_WORDS words that comes near a centroid, have a null lang and no passages. Repeated
+    those of which nothing comes near a centroid, have a null lang and no passages. Repeated
     rows each have a row. Other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets x (centroids + projection)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets x centroids
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), language_code(F.col(lang)).alias("label"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
