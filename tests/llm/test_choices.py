@@ -152,7 +152,8 @@ def test_detection(spark):
     short = spark.createDataFrame([(1, lines, "de"), (2, "the old bridge", None), (3, mixed, "de"), (4, "x\ny\n?\n", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in language.detect(short, model).collect()}
     assert [got[i].lang for i in (1, 2, 3)] == ["en", "en", "de"] and sum(p.words for p in got[1].passages) == 17
-    assert sum(p.words for p in got[3].passages) == 23
+    assert 20 <= sum(p.words for p in got[3].passages) <= 23  # the three words count if they are taken for German
+    assert language._pooled([(0, 1), (2, 5), (6, 7), (8, 9), (10, 30), (31, 32)], [["a"], ["b", "c"], [], ["d"], list("vwxyz"), ["e"]]) == ([(0, 9), (10, 30), (31, 32)], [["a", "b", "c", "d"], list("vwxyz"), ["e"]])
     assert [tuple(r) for r in language.mislabelled(language.detect(short, model)).collect()] == [(1, "en")]
 
 
