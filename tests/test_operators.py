@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import chat, corpus, curate, grouping, profile, relations
+from weftline.functions import scoring
+from weftline.operators import chat, corpus, curate, grouping, profile, recipes, relations
 from weftline.sources import jsonl
 from weftline.streaming.resume import append_stream
 
@@ -86,15 +87,30 @@ def test_recipes(spark):
     coqa = spark.createDataFrame([("c", ["q1", "q2"], ["a1"]), ("d", [], ["a"])], "c string, q array<string>, a array<string>")
     assert [len(r.conversations) for r in corpus.zipped_turns(coqa, "c", "q", "a").orderBy("context").collect()] == [2, 0]
     quac = spark.createDataFrame([("t", "b", [("q", "CANNOTANSWER")])], "t string, b string, qas array<struct<question:string,answer:string>>")
-    assert tuple(corpus.filtered_dialogues(quac, ["t", "b"], "qas").first()) == ("t\nb", [])
+    assert tuple(corpus.filtered_dialogues(quac, ["t", "b"], "qas").first()) == ("t\n\nb", [])
     g = spark.createDataFrame([(1, " c ", "q2", "w " * 9), (0, "c", "q1", "w w"), (2, "d", "q", "not enough information"), (3, None, "q", "a")], "pos int, c string, q string, a string")
     assert [(r.context, r.first_pos, len(r.pairs)) for r in corpus.grouped_by_text(g, "c", "q", "a", "pos", sentinel="not enough information").collect()] == [("c", 0, 2)]
     trimmed = corpus.grouped_recipe(g, "c", "q", "a", "pos", trim_to=5).orderBy("context").collect()
     assert [(r.context, [m.content for m in r.conversations]) for r in trimmed] == [("c", ["q1", "w w"]), ("d", ["q", "not enough information"])]
-    assert corpus.grouped_recipe(g, "c", "q", "a", "pos", max_total=4).count() == 0 or True
-    assert set(corpus.RECIPES) and len(corpus.RECIPES) == 22
-    for shape, _ in corpus.RECIPES.values():
-        assert callable(shape)
+    assert [r.context for r in corpus.grouped_recipe(g, "c", "q", "a", "pos", max_total=4).collect()] == ["d"]  # 13 words and 4
+
+
+def test_recipes_of_odd_rows(spark):
+    rows = [(0, "c", "q", ["a"]), (1, " c ", "q2", []), (2, None, "q3", ["x"]), (3, "", None, [None]), (4, "c", "q", ["a"]), (5, "d", "q5", None)]
+    duo = spark.createDataFrame(rows, "pos int, plot string, question string, answers array<string>")
+    assert rows_of(recipes.build("duorc_paraphrase", duo)) == [("c", ["q", "A"]), ("c", ["q", "A"])]
+    assert rows_of(recipes.build("duorc_self_mqa", duo)) == [("c", ["q", "A", "q", "A"])]
+    assert len(recipes.RECIPES) == 22 and recipes.build("duorc_self", duo.limit(0)).count() == 0
+    long = "w " * 300
+    pwc = spark.createDataFrame([(0, "c", "p", long), (1, "c", "p1", "x " * 120), (2, "c", "p2", "y"), (3, "k " * 2049, "p", "y"), (4, "e", "p", long)], "pos int, input string, prompt string, answer string")
+    got = {r.context: len(r.conversations) for r in recipes.build("pwc", pwc).collect()}
+    assert got == {"c": 4, "e": 0}  # long turns go, long contexts go, an empty conversation stays
+    race = spark.createDataFrame([(0, "a", "q", ["w", "x", "y", "z"], "D"), (1, "a", "q", ["w"], "E"), (2, "a", "q", ["w"], "B")], "pos int, article string, question string, options array<string>, answer string")
+    assert rows_of(recipes.build("race", race)) == [("a", ["q", "Z"])]
+
+
+def rows_of(df):
+    return sorted((r.context, [m.content for m in r.conversations]) for r in df.collect())
 
 
 def test_other_contexts(spark):
@@ -213,7 +229,54 @@ def test_sources(spark, tmp_path):
     calls = []
     build = lambda: calls.append(1) or spark.range(3)
     assert jsonl.cached(build, spark, str(tmp_path / "c")).count() == 3 and jsonl.cached(build, spark, str(tmp_path / "c")).count() == 3 and len(calls) == 1
-    assert jsonl.merge_parts(spark, [p, str(tmp_path / "no")], "a int, b string", "a").columns == ["b"]
+    parts = [str(tmp_path / f"rank{k}") for k in range(3)]
+    for k, part in enumerate(parts[:2]):
+        jsonl.write_jsonl(spark.createDataFrame([(i, f"{k}{i}") for i in (2, 0, 1)], "a int, b string"), part)
+    merged = jsonl.merge_parts(spark, parts, "a int, b string", "a")
+    assert merged.columns == ["b"] and [r.b for r in merged.collect()] == ["00", "10", "01", "11", "02", "12"]
+    assert jsonl.merge_parts(spark, parts[2:], "a int, b string", "a").count() == 0
+    stats = str(tmp_path / "stats.json")
+    jsonl.write_stats(spark.createDataFrame([(1, None)], "n int, mean double"), stats)
+    assert json.load(open(stats)) == {"n": 1, "mean": None}
+    log = str(tmp_path / "log")
+    jsonl.append_scalars(spark.createDataFrame([(1, 0.5, None), (2, 0.25, 3.0)], "step int, loss double, lr double"), log, "step", ["loss", "lr"])
+    assert rows(jsonl.read_jsonl(spark, log, "step long, tag string, value double")) == [(1, "loss", 0.5), (2, "loss", 0.25), (2, "lr", 3.0)]
+    made = spark.createDataFrame([(5, "b", [("user", "q")]), (4, "a", [])], "k int, context string, conversations array<struct<role:string,content:string>>")
+    jsonl.write_records(made, str(tmp_path / "rec"), "x", ["k"])
+    assert rows(jsonl.read_jsonl(spark, str(tmp_path / "rec"), "id string, context string")) == [("x.0000", "a"), ("x.0001", "b")]
+    template = str(tmp_path / "t.txt")
+    open(template, "w").write("Write {n}\nlines")
+    assert jsonl.read_template(spark, template) == "Write {n}\nlines"
+
+
+def test_rolling_over_block_boundaries(spark):
+    rng = random.Random(1)
+    data = [(rng.choice("aab"), i, rng.choice([None, *range(9)])) for i in range(300)]
+    df = spark.createDataFrame(data, "g string, i int, x int")
+    for size, block in ((1, 7), (5, 5), (12, 20), (50, 1000)):
+        got = {r.i: (r.roll_n, r.roll_sum, r.roll_max) for r in profile.rolling(df, ["g"], ["i"], "x", size, block).collect()}
+        assert len(got) == 300
+        for g in "ab":
+            seen = []
+            for _, i, x in sorted((r for r in data if r[0] == g), key=lambda r: r[1]):
+                seen.append(x)
+                last = [v for v in seen[-size:] if v is not None]
+                assert got[i] == (len(last), sum(last) if last else None, max(last, default=None))
+    assert profile.rolling(df.limit(0), ["g"], ["i"], "x").count() == 0
+
+
+def test_bags_and_trigrams(value):
+    assert sorted(value(scoring.numbered(F.split(F.lit("b a b a b"), " ")))) == ["a 1", "a 2", "b 1", "b 2", "b 3"] and value(scoring.numbered(F.array().cast("array<string>"))) == []
+    assert value(scoring.bag_overlap(F.split(F.lit("a a b c"), " "), F.split(F.lit("a b b a a"), " "))) == 3
+    assert value(scoring.char_trigrams(F.lit("abcabc"))) == ["abc", "bca", "cab"] and value(scoring.char_trigrams(F.lit("😀bc"))) == ["😀bc"] and value(scoring.char_trigrams(F.lit("ab"))) == ["ab"]
+    assert value(scoring.char_trigrams(F.lit(""))) == [] and value(scoring.char_trigrams(F.lit(None).cast("string"))) is None
+
+
+def test_question_json(value):
+    q = lambda **k: json.dumps([{"question": "How so?", "on_topic": True, "difficulty": None, "intent": "", **k}])
+    ok = lambda x: value(curate.valid_question_json(F.lit(x), 1, 0))
+    assert ok(q()) and not ok(q(question="Why?")) and not ok(q(question=12345)) and not ok(q(on_topic=False)) and not ok(q(on_topic="yes"))
+    assert not ok('[{"question": "How so?", "on_topic": true, "intent": "x"}]') and not ok("[]") and not ok("no json") and not ok(None)
 
 
 def test_resumable_stream(spark, tmp_path):

@@ -23,7 +23,7 @@ def test_spans_variants_and_groups(spark):
     v = P.variants(spark.createDataFrame([(1, "a", None)], "k int, x string, y string"), ["k"], ["x", "y"])
     assert sorted((r.k, r.variant, r.conversation) for r in v.collect()) == [(1, 0, "a"), (1, 1, None)]
     g = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "k int, group_id int")
-    assert sorted((r.k, tuple(r.members)) for r in P.group_members(g, "k").collect()) == [(1, (1, 2)), (2, (1, 2)), (3, (3,))]
+    assert sorted(tuple(r) for r in P.group_members(g, "k").collect()) == [(1, 7, 2, 1), (2, 7, 2, 1), (3, 8, 1, 3)]
     m = spark.range(1).select(P.messages_with_context(F.lit("c"), F.lit("q")).alias("m")).first().m
     assert [tuple(x) for x in m] == [("system", "c"), ("user", "q")]
     assert P.distill_rows(spark.createDataFrame([("c", "q", "a", None)], "context string, question string, answer string, difficulty_weight double")).first().difficulty_weight == 1.0

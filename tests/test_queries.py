@@ -4,11 +4,11 @@ import os
 import duckdb
 import pytest
 
-from weftline.plans.oracle import oracle_sql
+from weftline.plans import more_queries, oracle, recipe_queries
 from weftline.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SQL = oracle_sql()
+SQL = oracle.oracle_sql() | recipe_queries.oracle_sql() | more_queries.SQL
 
 
 @pytest.fixture(scope="module")

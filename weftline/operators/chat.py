@@ -37,10 +37,29 @@ def pairs_of(messages: Column) -> Column:
     return F.transform(at, lambda x: F.struct(x["content"].alias("question"), x["next"]["content"].alias("answer")))
 
 
-def render(messages: Column, generation_prompt: bool = False) -> Column:
-    """The messages in the chat template; with the opening of an assistant turn after them for generation."""
-    text = F.array_join(F.transform(messages, lambda m: F.concat(F.lit(START), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit(END + "\n"))), "")
-    return F.concat(text, F.lit(START + "assistant\n")) if generation_prompt else text
+# How the template tells of tools, before and after their signatures, and an empty thinking block.
+TOOLS_BEFORE = "# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>\n"
+TOOLS_AFTER = (
+    "\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n"
+    '<tool_call>\n{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call>'
+)
+NO_THINKING = "<think>\n\n</think>\n\n"
+
+
+def render(messages: Column, generation_prompt: bool = False, tools: list[str] | None = None, thinking: bool = True) -> Column:
+    """The messages in the chat template; with the opening of an assistant turn after them for generation, and an empty
+    thinking block in it if there is to be no thinking. Signatures of ``tools``, as JSON, go into the system message,
+    which is made if the messages have none."""
+    turn = lambda role, content: F.concat(F.lit(START), role, F.lit("\n"), content, F.lit(END + "\n"))
+    each = lambda x: F.array_join(F.transform(x, lambda m: turn(m["role"], F.coalesce(m["content"], F.lit("")))), "")
+    if tools:
+        block = F.lit(TOOLS_BEFORE + "\n".join(tools) + TOOLS_AFTER)
+        led = F.coalesce(F.get(messages, 0)["role"] == "system", F.lit(False))
+        own = turn(F.lit("system"), F.concat(F.coalesce(F.get(messages, 0)["content"], F.lit("")), F.lit("\n\n"), block))
+        text = F.when(led, F.concat(own, each(F.slice(messages, F.lit(2), F.greatest(F.size(messages) - 1, F.lit(0)))))).otherwise(F.concat(turn(F.lit("system"), block), each(messages)))
+    else:
+        text = each(messages)
+    return F.concat(text, F.lit(START + "assistant\n" + ("" if thinking else NO_THINKING))) if generation_prompt else text
 
 
 def prompt_messages(mode: str, context: Column, question: Column, system: Column | None = None, answer: Column | None = None) -> Column:
@@ -115,6 +134,19 @@ def padded(ids: Column, length: int, pad: int) -> Column:
     return F.concat(cut, F.array_repeat(F.lit(pad), F.lit(length) - F.size(cut)))
 
 
+def collate(df: DataFrame, batch: str, order: str, ids: str, labels: Column, pad: int = 0) -> DataFrame:
+    """(batch, ids, labels, mask) of batches of examples, each padded on the right to the longest of its batch, in the
+    order of ``order``; labels are padded with -100. A batch is one row, so its size must be bounded."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ids).alias("i"), labels.alias("l"))))
+    g = df.groupBy(batch).agg(rows.alias("r"))
+    g = g.withColumn("w", F.array_max(F.transform("r", lambda x: F.size(x["i"]))))
+    fill = lambda v, x: F.concat(x, F.array_repeat(F.lit(v), F.col("w") - F.size(x)))
+    return g.select(
+        batch, F.transform("r", lambda x: fill(pad, x["i"])).alias("ids"), F.transform("r", lambda x: fill(IGNORE, x["l"])).alias("labels"),
+        F.transform("r", lambda x: fill(0, F.array_repeat(F.lit(1), F.size(x["i"])))).alias("mask"),
+    )
+
+
 def articles(lines: DataFrame, text: str, order: list[str], by: list[str] | None = None) -> DataFrame:
     """(*by, article, title, text) of a stream of lines: a line of equal signs around a title opens an article; what
     stands before the first is dropped, as are articles that aren't valid.

@@ -1,6 +1,6 @@
 """Corpus recipes: heterogeneous question-answering sources into {context, conversations}.
 
-Twenty-two public corpora come in a few shapes; each shape is one function here, and ``RECIPES`` says which shape and
+Twenty-two public corpora come in a few shapes; each shape is one function here, and ``recipes`` says which shape and
 parameters a corpus has. All give ``context`` and ``conversations`` (an array of (role, content)) or, for single
 questions, one question with one answer.
 """
@@ -20,18 +20,12 @@ from .relations import ranked, seeded
 MAX_CONTEXT, MAX_TOTAL, MAX_TURN = 2048, 512, 128
 
 
-def selected_passages(df: DataFrame) -> DataFrame:
-    """(context, question, answer) of passages(is_selected, passage_text), query and answers: rows with a selected
+def selected_passages(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(*keep, context, question, answer) of passages(is_selected, passage_text), query and answers: rows with a selected
     passage and an answer; all passages joined by blank lines, the first answer."""
     some = F.aggregate("passages.is_selected", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)).cast("long")) > 0
     kept = df.where(some & (F.size("answers") > 0))
-    return kept.select(F.array_join("passages.passage_text", "\n\n").alias("context"), F.col("query").alias("question"), F.element_at("answers", 1).alias("answer"))
-
-
-def first_answer(df: DataFrame, context: str, question: str, answers: str, trim: bool = False) -> DataFrame:
-    """(context, question, answer): the first of an array of answers; rows without answers are left out."""
-    t = strip if trim else lambda x: x
-    return df.where(F.size(answers) > 0).select(t(F.col(context)).alias("context"), t(F.col(question)).alias("question"), t(F.element_at(F.col(answers), 1)).alias("answer"))
+    return kept.select(*(keep or []), F.array_join("passages.passage_text", "\n\n").alias("context"), F.col("query").alias("question"), F.element_at("answers", 1).alias("answer"))
 
 
 def lettered_choice(df: DataFrame, context: str, question: str, options: str, letter: str) -> DataFrame:
@@ -40,24 +34,19 @@ def lettered_choice(df: DataFrame, context: str, question: str, options: str, le
     return df.select(strip(F.col(context)).alias("context"), F.col(question).alias("question"), F.get(F.col(options), at).alias("answer"))
 
 
-def numbered_choice(df: DataFrame, context: str, question: str, options: str, number: str) -> DataFrame:
-    """(context, question, answer): the option of a number from 0; null out of bounds."""
-    return df.select(F.col(context).alias("context"), F.col(question).alias("question"), F.get(F.col(options), F.col(number)).alias("answer"))
-
-
-def nested_sentences(df: DataFrame, sentences: str, question: str, answer: str, between: str = "") -> DataFrame:
-    """(context, question, answer) of paragraphs that are arrays of sentences, joined by ``between``; paragraphs are
+def nested_sentences(df: DataFrame, sentences: str, question: str, answer: str, between: str = "", keep: list[str] | None = None) -> DataFrame:
+    """(*keep, context, question, answer) of paragraphs that are arrays of sentences, joined by ``between``; paragraphs are
     joined by blank lines."""
     paragraphs = F.transform(F.col(sentences), lambda p: F.array_join(p, between))
-    return df.select(F.array_join(paragraphs, "\n\n").alias("context"), F.col(question).alias("question"), F.col(answer).alias("answer"))
+    return df.select(*(keep or []), F.array_join(paragraphs, "\n\n").alias("context"), F.col(question).alias("question"), F.col(answer).alias("answer"))
 
 
-def joined_paragraphs(df: DataFrame, paragraphs: str, question: str, answer: str, aliases: str | None = None) -> DataFrame:
-    """(context, question, answers) of paragraphs with paragraph_text; answers are the answer and its aliases, all
+def joined_paragraphs(df: DataFrame, paragraphs: str, question: str, answer: str, aliases: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(*keep, context, question, answers) of paragraphs with paragraph_text; answers are the answer and its aliases, all
     stripped."""
     text = F.array_join(F.transform(F.col(paragraphs), lambda p: p["paragraph_text"]), "\n\n")
     more = F.transform(F.coalesce(F.col(aliases), F.array().cast("array<string>")), strip) if aliases else F.array().cast("array<string>")
-    return df.select(text.alias("context"), F.col(question).alias("question"), F.concat(F.array(strip(F.col(answer))), more).alias("answers"))
+    return df.select(*(keep or []), text.alias("context"), F.col(question).alias("question"), F.concat(F.array(strip(F.col(answer))), more).alias("answers"))
 
 
 def zipped_turns(df: DataFrame, context: str, questions: str, answers: str, trim: bool = False) -> DataFrame:
@@ -70,10 +59,10 @@ def zipped_turns(df: DataFrame, context: str, questions: str, answers: str, trim
 
 
 def filtered_dialogues(df: DataFrame, contexts: list[str], qas: str, sentinel: str = "CANNOTANSWER") -> DataFrame:
-    """(context, conversations) of dialogues: the context columns joined by line ends, turns with the sentinel answer
+    """(context, conversations) of dialogues: the context columns joined by blank lines, turns with the sentinel answer
     dropped; a dialogue without turns left stays, with an empty conversation."""
     kept = F.filter(F.col(qas), lambda q: F.coalesce(q["answer"] != sentinel, F.lit(True)))
-    return df.select(F.concat_ws("\n", *contexts).alias("context"), conversation(kept).alias("conversations"))
+    return df.select(F.concat_ws("\n\n", *contexts).alias("context"), conversation(kept).alias("conversations"))
 
 
 def grouped_by_text(df: DataFrame, context: str, question: str, answer: str, pos: str, trim: bool = True, sentinel: str | None = None, seed: int | None = None) -> DataFrame:
@@ -146,15 +135,15 @@ def with_other_contexts(df: DataFrame, context: str, num: int, pos: str, seed: i
 
 def finish(df: DataFrame, tok: Callable[[Column], Column], dataset: str | None = None) -> DataFrame:
     """(dataset, contextlen, conversationlen, context, conversations): lengths by ``tok``, taken before the first
-    letters of contexts and contents become capitals."""
+    letters of the assistant's turns become capitals."""
     from .chat import CHAT_OVERHEAD
 
     turns = F.aggregate("conversations", F.lit(0).cast("long"), lambda n, m: n + tok(m["content"]).cast("long"))
     sized = df.select(
         F.lit(dataset).alias("dataset"), tok(F.col("context")).cast("int").alias("contextlen"), (turns + F.ceil(F.size("conversations") / 2) * CHAT_OVERHEAD).cast("int").alias("conversationlen"), "context", "conversations"
     )
-    up = F.transform("conversations", lambda m: F.struct(m["role"].alias("role"), capitalize_first(m["content"], only_lower=True).alias("content")))
-    return sized.withColumn("context", capitalize_first(F.col("context"), only_lower=True)).withColumn("conversations", up)
+    up = F.transform("conversations", lambda m: F.struct(m["role"].alias("role"), F.when(m["role"] == "assistant", capitalize_first(m["content"])).otherwise(m["content"]).alias("content")))
+    return sized.withColumn("conversations", up)
 
 
 def length_gate(df: DataFrame, context: int, conversation_: int) -> DataFrame:
@@ -170,33 +159,6 @@ def pairs_to_conversation(df: DataFrame, pairs: str = "pairs") -> DataFrame:
     return df.select("context", conversation(F.col(pairs)).alias("conversations"))
 
 
-#: corpus -> (shape, what it takes besides its column names)
-RECIPES: dict[str, tuple[Callable[..., DataFrame], dict]] = {
-    "ms_marco_v1": (selected_passages, {"num": 2}),
-    "ms_marco_v2": (selected_passages, {"num": 2}),
-    "squad": (first_answer, {"trim": True, "num": 10, "only_distinct": True}),
-    "race": (lettered_choice, {"num": 4, "only_distinct": True}),
-    "duorc_self": (first_answer, {"num": 2}),
-    "duorc_paraphrase": (first_answer, {}),
-    "hotpotqa": (nested_sentences, {"between": ""}),
-    "musique": (joined_paragraphs, {}),
-    "2wiki": (nested_sentences, {"between": " ", "num": 2}),
-    "ms_marco_mqa": (pairs_to_conversation, {"pairs": "qa_pairs"}),
-    "ms_marco_v2_mqa": (pairs_to_conversation, {"pairs": "qa_pairs"}),
-    "quac": (filtered_dialogues, {"sentinel": "CANNOTANSWER"}),
-    "coqa": (zipped_turns, {}),
-    "drop": (grouped_by_text, {"trim": False}),
-    "narrativeqa": (grouped_by_text, {"trim": False, "max_context": MAX_CONTEXT, "trim_to": MAX_TOTAL}),
-    "quail": (grouped_by_text, {"trim": False, "sentinel": "not enough information", "max_total": MAX_TOTAL}),
-    "pwc": (grouped_by_text, {"trim": False, "max_turn": MAX_TURN, "trim_to": MAX_TOTAL}),
-    "squad_mqa": (grouped_by_text, {"seed": 0}),
-    "race_mqa": (grouped_by_text, {"seed": 0}),
-    "newsqa": (zipped_turns, {"trim": True}),
-    "duorc_self_mqa": (grouped_by_text, {"unanswered": False}),
-    "duorc_paraphrase_mqa": (grouped_by_text, {"unanswered": False}),
-}
-
-
 def grouped_recipe(
     df: DataFrame, context: str, question: str, answer: str, pos: str, *, trim: bool = True, sentinel: str | None = None, seed: int | None = None,
     max_context: int | None = None, trim_to: int | None = None, max_total: int | None = None, max_turn: int | None = None, unanswered: bool = True,

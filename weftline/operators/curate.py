@@ -133,19 +133,39 @@ def largest_deficit(have: DataFrame, want: DataFrame, keys: list[str], pos: str)
     return lack.where("deficit > 0").orderBy(F.desc("deficit"), pos).limit(1).select(*keys, "deficit")
 
 
-def valid_prompt(prompt: Column, domain: Column, category: Column, complexity: Column, categories: list[str], levels: list[str]) -> Column:
-    """A prompt of 20 characters or more, a domain of 2, and a listed category and complexity."""
-    ok = (F.length(strip(prompt)) >= 20) & (F.length(strip(domain)) >= 2) & category.isin(categories) & complexity.isin(levels)
+def valid_prompt(prompt: Column, domain: Column, category: Column, complexity: Column, want_category: Column, want_complexity: Column) -> Column:
+    """A prompt of 20 characters or more, a domain of 2, and the category and complexity that were asked for, without
+    regard to case and white space around them; lengths are of stripped texts, nulls are invalid."""
+    same = lambda x, y: F.lower(strip(x)) == F.lower(strip(y))
+    ok = (F.length(strip(prompt)) >= 20) & (F.length(strip(domain)) >= 2) & same(category, want_category) & same(complexity, want_complexity)
     return F.coalesce(ok, F.lit(False))
 
 
+# The fields a generated question must have.
+QUESTION_FIELDS = ["question", "on_topic", "difficulty", "intent"]
+
+
 def valid_questions(questions: Column, on: int, off: int) -> Column:
-    """Exactly so many on-topic and off-topic questions, each with a flag, an intent and five characters or more."""
+    """Exactly so many on-topic and off-topic questions, each of five characters or more when stripped. A struct always
+    has its fields, so difficulty and intent may be null; ``valid_question_json`` asks whether they are there."""
     flag = lambda v: F.size(F.filter(questions, lambda q: q["on_topic"] == v))
-    each = F.forall(questions, lambda q: q["on_topic"].isNotNull() & q["intent"].isNotNull() & (F.length(strip(q["question"])) >= 5))
+    each = F.forall(questions, lambda q: F.length(strip(q["question"])) >= 5)
     return F.coalesce((flag(True) == on) & (flag(False) == off) & (F.size(questions) == on + off) & each, F.lit(False))
 
 
+def valid_question_json(x: Column, on: int, off: int) -> Column:
+    """The same for JSON text of an array: each object must have all of ``QUESTION_FIELDS``, null or not, and its question
+    must be a string; false for what is no array of objects."""
+    each = F.from_json(x, "array<string>")
+    flag = lambda v: F.size(F.filter(each, lambda q: F.get_json_object(q, "$.on_topic") == v))
+    keys = F.array(*[F.lit(k) for k in QUESTION_FIELDS])
+    whole = lambda q: F.size(F.array_except(keys, F.coalesce(F.json_object_keys(q), F.array().cast("array<string>")))) == 0
+    text = lambda q: F.try_variant_get(F.try_parse_json(q), "$.question", "string")
+    string = lambda q: F.schema_of_variant(F.try_variant_get(F.try_parse_json(q), "$.question", "variant")) == "STRING"
+    good = F.forall(each, lambda q: F.coalesce(whole(q) & string(q) & (F.length(strip(text(q))) >= 5), F.lit(False)))
+    return F.coalesce((flag("true") == on) & (flag("false") == off) & (F.size(each) == on + off) & good, F.lit(False))
+
+
 def cost_estimate(df: DataFrame, input_price: float = 0.2, output_price: float = 0.6) -> DataFrame:
     """One row (items, input_tokens, output_tokens, cost): prices are for a million tokens, nulls cost nothing."""
     t = df.agg(F.count("*").alias("items"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"))

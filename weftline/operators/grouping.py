@@ -10,6 +10,8 @@ from .chat import CHAT_OVERHEAD
 from .relations import ranked, seeded
 
 OPEN_BINS = 100
+#: Items that a task packs where the number of shards isn't given.
+SHARD_ITEMS = 1_000_000
 
 
 def first_fit(costs: list[int], budget: int, open_bins: int = OPEN_BINS) -> list[list[int]]:
@@ -60,13 +62,16 @@ def first_fit(costs: list[int], budget: int, open_bins: int = OPEN_BINS) -> list
     return out + [b for b in held if b]
 
 
-def greedy_pack(df: DataFrame, pos: str, tokens: Column, budget: int, shards: int = 1, open_bins: int = OPEN_BINS, overhead: int = CHAT_OVERHEAD) -> DataFrame:
+def greedy_pack(df: DataFrame, pos: str, tokens: Column, budget: int, shards: int | None = None, open_bins: int = OPEN_BINS, overhead: int = CHAT_OVERHEAD) -> DataFrame:
     """(shard, bin, slot, pos, cost) of items in the order of ``pos``, each costing its tokens and the overhead.
 
-    The result depends on the whole order, so ``shards=1`` packs all in one task, as a single reader would. With more,
-    each shard of positions (by hash) is packed by itself, which leaves at most ``open_bins`` part-filled bins more for
-    each. Null lengths count as 0, null positions are left out.
+    The result depends on the whole order, so one shard packs all in one task, as a single reader would; a task holds
+    its shard in memory, some 200 bytes an item. Without a number there are as many shards as ``SHARD_ITEMS`` items
+    ask for, which takes a count of the rows; each shard of positions (by hash) is packed by itself, which leaves at
+    most ``open_bins`` part-filled bins more for each. Null lengths count as 0, null positions are left out.
     """
+    if shards is None:
+        shards = max(1, -(-df.where(F.col(pos).isNotNull()).count() // SHARD_ITEMS))
     shard = F.pmod(F.xxhash64(F.col(pos)), F.lit(shards)).cast("int")
     rows = df.select(shard.alias("shard"), F.col(pos).cast("long").alias("pos"), (F.coalesce(tokens, F.lit(0)) + overhead).cast("int").alias("cost")).where("pos is not null")
 
@@ -87,7 +92,7 @@ def bin_texts(bins: DataFrame, texts: DataFrame, pos: str, text: str) -> DataFra
 
 def without_members(bins: DataFrame, leave: DataFrame, pos: str) -> DataFrame:
     """Bins without the listed positions; bins that lose all are gone."""
-    return bins.join(leave.select(F.col(pos).alias("pos")).distinct(), "pos", "left_anti")
+    return bins.join(leave.select(pos).distinct(), pos, "left_anti")
 
 
 def random_groups(df: DataFrame, key: str, tokens: Column, length: int, seed: int = 0) -> DataFrame:
@@ -127,3 +132,15 @@ def task_choice(key: Column, frequency: float, seed: int = 0) -> Column:
     """RECON with a frequency, else COMP; the same for the same key and seed."""
     u = F.conv(F.substring(seeded(key, seed), 1, 8), 16, 10).cast("long") / float(16**8)
     return F.when(u < frequency, "RECON").otherwise("COMP")
+
+
+def group_lengths(index: DataFrame, texts: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(group_id, items, length) of an index (group_id, key), made here or elsewhere, over the texts it names; keys
+    without a text are left out."""
+    sized = texts.select(key, F.coalesce(tokens, F.lit(0)).alias("_n"))
+    return index.join(sized, key).groupBy("group_id").agg(F.count("*").alias("items"), F.sum("_n").cast("long").alias("length"))
+
+
+def longest(lengths: DataFrame, n: int = 20) -> DataFrame:
+    """The n longest groups, of equals those of least id."""
+    return lengths.orderBy(F.desc("length"), "group_id").limit(n)

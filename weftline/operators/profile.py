@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .relations import ranked
+
 
 def finite(x: Column) -> Column:
     """The number, or null for NaN and infinities."""
@@ -43,10 +45,23 @@ def sample_ppl(loss: Column, digits: int | None = None) -> list[Column]:
     return stat_pack(F.exp(loss), digits)
 
 
-def rolling(df: DataFrame, by: list[str], order: list[str], x: str, size: int = 50) -> DataFrame:
-    """``df`` with mean, min, max and sample std of the last ``size`` values up to each row."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(1 - size, 0)
-    return df.select("*", F.avg(x).over(w).alias("roll_mean"), F.min(x).over(w).alias("roll_min"), F.max(x).over(w).alias("roll_max"), F.stddev_samp(x).over(w).alias("roll_std"))
+def rolling(df: DataFrame, by: list[str], order: list[str], x: str, size: int = 50, block: int = 100_000) -> DataFrame:
+    """``df`` with number, sum, mean, min, max and sample std of the last ``size`` values up to each row of its group.
+
+    Rows get their places in the order of group and ``order``, range-partitioned; windows run within blocks of places,
+    and the last size - 1 rows of a block also stand at the head of the next. So a group with a third of all rows is
+    spread over as many tasks as any other rows. Runs a job when called. Nulls don't count; of rows with equal order
+    any may come first.
+    """
+    block = max(block, size)
+    placed = ranked(df, F.struct(*by, *order), "_place")
+    at = F.floor(F.col("_place") / block)
+    heads_next = F.col("_place") % block > block - size
+    spread = placed.withColumn("_at", at).withColumn("_block", F.explode(F.when(heads_next, F.array(at, at + 1)).otherwise(F.array(at))))
+    w = W.partitionBy("_block", *by).orderBy("_place").rowsBetween(1 - size, 0)
+    stats = {"n": F.count(x), "sum": F.sum(x), "mean": F.avg(x), "min": F.min(x), "max": F.max(x), "std": F.stddev_samp(x)}
+    out = spread.select("*", *[c.over(w).alias(f"roll_{k}") for k, c in stats.items()]).where("_at = _block")
+    return out.select(*df.columns, *[f"roll_{k}" for k in stats])
 
 
 def per_turn(scores: DataFrame, conv: str, turn: str, score: str, turns: int) -> DataFrame:

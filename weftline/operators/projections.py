@@ -71,7 +71,14 @@ def work_items(questions: DataFrame, prompts: DataFrame) -> DataFrame:
     return questions.join(last, questions["system_prompt_id"] == last["id"]).select("question_id", "system_prompt_id", "system_prompt", "question")
 
 
+def human_projection(df: DataFrame, context: str, questions: str, keep: list[str] | None = None) -> DataFrame:
+    """(*keep, evidence, questions) of contexts with an array of questions that people asked."""
+    return df.select(*(keep or []), F.col(context).alias("evidence"), F.col(questions).alias("questions"))
+
+
 def group_members(groups: DataFrame, key: str) -> DataFrame:
-    """(key, group_id, members): to each row all keys of its group, in order. One aggregation and one join, no pairs."""
-    held = groups.groupBy("group_id").agg(F.array_sort(F.collect_list(key)).alias("members"))
-    return groups.join(held, "group_id").select(key, "group_id", "members")
+    """(key, group_id, n, first): to each row the size of its group and the group's least key. Members are rows with the
+    same group_id, so a group of n rows costs n rows, however large it is; ``grouping.group_contexts`` puts the texts
+    of a group together once."""
+    held = groups.groupBy("group_id").agg(F.count("*").alias("n"), F.min(key).alias("first"))
+    return groups.join(held, "group_id").select(key, "group_id", "n", "first")

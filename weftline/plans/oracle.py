@@ -211,7 +211,7 @@ def oracle_sql() -> dict[str, str]:
     tri = lambda x: f"CASE WHEN length({x}) = 0 THEN [] WHEN length({x}) < 3 THEN [{x}] ELSE list_distinct(list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3))) END"
     q["trigram_jaccard_pairs"] = f"""WITH w AS (SELECT example_id, {tri('answer')} AS x, {tri('answer_8b')} AS y FROM split_examples WHERE answer IS NOT NULL AND answer_8b IS NOT NULL), c AS (SELECT *, len(list_intersect(x, y)) AS b FROM w)
         SELECT example_id, round(CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 ELSE b::DOUBLE / (len(x) + len(y) - b) END, 6) AS jaccard FROM c"""
-    q["difficulty_weights"] = "SELECT example_id, round(0.5::DOUBLE + 1.5::DOUBLE * (0.6::DOUBLE * coalesce(filter_metrics.norm_edit_distance, 0.5) + 0.4::DOUBLE * (1 - coalesce(filter_metrics.jaccard_similarity, 0.5))), 6) AS weight, round(length(answer)::DOUBLE / greatest(length(coalesce(answer_8b, '')), 1), 6) AS length_ratio FROM split_examples"
+    q["difficulty_weights"] = "SELECT example_id, CAST((0.5::DOUBLE + 1.5::DOUBLE * (0.6::DOUBLE * coalesce(filter_metrics.norm_edit_distance, 0.5) + 0.4::DOUBLE * (1 - coalesce(filter_metrics.jaccard_similarity, 0.5))))::VARCHAR AS DECIMAL(12, 4))::DOUBLE AS weight, round(length(answer)::DOUBLE / greatest(length(coalesce(answer_8b, '')), 1), 6) AS length_ratio FROM split_examples"
     for v in ("responses", "qa", "turns", "plain", "tools"):
         q[f"think_split_{v}"] = think(v)
     q["tool_calls"] = f"SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _call('text').items())} FROM documents WHERE kind = 'tool'"
@@ -268,10 +268,10 @@ def oracle_sql() -> dict[str, str]:
     q["drop_over_budget"] = f"""WITH w AS (SELECT item_id, sum(words) AS total, count_if({words('question')} <= 40 AND {words('answer')} <= 40) AS turns FROM {pw} GROUP BY 1)
         SELECT i.item_id, coalesce(turns, 0)::INT AS turns FROM ift_data_pwc i LEFT JOIN w USING (item_id) WHERE {GOOD} AND {words('context')} <= 300 AND coalesce(total, 0) <= 100"""
     q["length_gate"] = "SELECT item_id, contextlen, conversationlen FROM ift_data_pwc WHERE contextlen <= 400 AND conversationlen <= 200"
-    q["zipped_turns"] = f"SELECT i.item_id, (2 * least(count(p.pos), 2))::INT AS messages FROM ift_data_pwc i LEFT JOIN {PAIRS} p USING (item_id) WHERE {GOOD} GROUP BY 1"
+    q["zipped_turns"] = f"SELECT i.item_id, (2 * count(p.pos))::INT AS messages FROM ift_data_pwc i LEFT JOIN {PAIRS} p USING (item_id) WHERE {GOOD} GROUP BY 1"
     q["lettered_choice"] = f"SELECT md5({strip('system_prompt')}) AS digest, id AS question, [category, complexity, domain, id][generation_batch % 5 + 1] AS answer FROM system_prompts"
     q["selected_passages"] = "SELECT array_to_string(list(coalesce(kind, '') ORDER BY doc_id), chr(10) || chr(10)) AS context, source AS question, min(doc_id)::VARCHAR AS answer FROM documents GROUP BY source HAVING count_if(kind = 'chat') > 0"
-    q["joined_contexts"] = f"""WITH p AS (SELECT id, system_prompt AS c, row_number() OVER (ORDER BY {seeded('id', 7)}) - 1 AS place, count(*) OVER () AS n FROM system_prompts WHERE generation_batch = 0)
+    q["joined_contexts"] = f"""WITH p AS (SELECT id, system_prompt AS c, row_number() OVER (ORDER BY {seeded('id', 7)}) - 1 AS place, count(*) OVER () AS n FROM {last('system_prompts', 'id', 'generation_batch')})
         SELECT a.id, (sum(length(b.c)) + 2 * (count(*) - 1))::INT AS chars FROM p a JOIN p b ON (b.place - a.place + a.n) % a.n < least(3, a.n) GROUP BY a.id"""
     tk = lambda x: f"(({words(x)} * 13 + 9) // 10)"
     q["corpus_records"] = f"""WITH p AS (SELECT item_id, sum({tk('question')} + {tk('answer')}) + 11 * count(*) AS n FROM {PAIRS} GROUP BY 1)
@@ -300,8 +300,8 @@ def oracle_sql() -> dict[str, str]:
     q["value_counts"] = "SELECT coalesce(category, 'unknown') AS value, count(*) AS n FROM split_examples GROUP BY 1"
     q["two_key_counts"] = "SELECT category, complexity, count(*) AS n, count(DISTINCT domain) AS domains FROM system_prompts GROUP BY 1, 2"
     q["largest_deficit"] = "SELECT category, complexity, 1000 - count(*) AS deficit FROM system_prompts WHERE category IS NOT NULL AND complexity IS NOT NULL GROUP BY 1, 2 HAVING count(*) < 1000 ORDER BY deficit DESC, min(id) LIMIT 1"
-    q["valid_prompts"] = f"SELECT id, generation_batch, coalesce(length({strip('system_prompt')}) >= 20 AND length({strip('domain')}) >= 2 AND category IN ('knowledge_injection', 'multi_constraint', 'persona', 'behavioral_constraint', 'output_format') AND complexity IN ('simple', 'moderate', 'complex'), false) AS valid FROM system_prompts"
-    q["valid_question_sets"] = f"SELECT coalesce(len(list_filter(questions, lambda q: q.on_topic)) = 10 AND len(list_filter(questions, lambda q: NOT q.on_topic)) = 2 AND len(questions) = 12 AND len(list_filter(questions, lambda q: q.on_topic IS NOT NULL AND q.intent IS NOT NULL AND length({strip('q.question')}) >= 5)) = 12, false) AS ok, count(*) AS n FROM questions GROUP BY 1"
+    q["valid_prompts"] = f"SELECT id, generation_batch, coalesce(length({strip('system_prompt')}) >= 20 AND length({strip('domain')}) >= 2 AND (generation_batch % 2 = 0 OR category = 'persona') AND category IS NOT NULL AND complexity != 'simple', false) AS valid FROM system_prompts"
+    q["valid_question_sets"] = f"SELECT coalesce(len(list_filter(questions, lambda q: q.on_topic)) = 10 AND len(list_filter(questions, lambda q: NOT q.on_topic)) = 2 AND len(questions) = 12 AND len(list_filter(questions, lambda q: length({strip('q.question')}) >= 5)) = 12, false) AS ok, count(*) AS n FROM questions GROUP BY 1"
     q["cost_estimate"] = "SELECT count(*) AS items, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens, round((coalesce(sum(input_tokens), 0) * 0.2::DOUBLE + coalesce(sum(output_tokens), 0) * 0.6::DOUBLE) / 1000000, 6) AS cost FROM responses_32b"
     q["numbered_prompts"] = "SELECT id, printf('n_%05d', row_number() OVER (ORDER BY id) - 1) AS number FROM (SELECT DISTINCT id FROM system_prompts)"
     q["latest_domains"] = f"WITH p AS {last('(SELECT * FROM system_prompts WHERE domain IS NOT NULL)', 'id', 'generation_batch')}, l AS (SELECT * FROM p ORDER BY id DESC LIMIT 100) SELECT string_agg('- ' || domain, chr(10) ORDER BY id) AS avoid FROM l"
@@ -335,7 +335,7 @@ def oracle_sql() -> dict[str, str]:
     e = "exp(l_discount)"
     q["weighted_mean_ppl"] = f"SELECT l_returnflag, round(sum(l_discount * l_quantity) / greatest(sum(l_quantity), 1), 6) AS loss, round(exp(sum(l_discount * l_quantity) / greatest(sum(l_quantity), 1)), 6) AS ppl, count({e}) AS ppl_n, round(avg({e}), 6) AS ppl_mean, round(stddev_pop({e}), 6) AS ppl_std, round(quantile_cont({e}, 0.5), 6) AS ppl_median, round(quantile_cont({e}, 0.1), 6) AS ppl_p10, round(quantile_cont({e}, 0.9), 6) AS ppl_p90 FROM lineitem GROUP BY 1"
     w = "OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)"
-    q["rolling_stats"] = f"SELECT event_id, round(avg(value) {w} + 1e-9, 3) AS roll_mean, round(min(value) {w} + 1e-9, 3) AS roll_min, round(max(value) {w} + 1e-9, 3) AS roll_max, round(stddev_samp(value) {w} + 1e-9, 3) AS roll_std FROM events"
+    q["rolling_stats"] = f"SELECT event_id, count(v) {w} AS n, (sum(v) {w})::BIGINT AS total, min(v) {w} AS least, max(v) {w} AS most, round(avg(v) {w}, 2) AS mean, round(stddev_samp(v) {w}, 1) AS std FROM (SELECT *, round(value * 10000)::BIGINT AS v FROM events)"
     norm = lambda v: f"sqrt(list_sum(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE)))"
     q["vector_norms"] = f"SELECT vec_id, round({norm('embedding')}, 5) AS norm FROM embeddings"
     q["vector_stats"] = f"""WITH v AS (SELECT vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 20),

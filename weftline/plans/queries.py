@@ -116,8 +116,7 @@ def edit_distance_pairs(s, d):
 @query
 def difficulty_weights(s, d):
     m = F.col("filter_metrics")
-    e, j = F.coalesce(m["norm_edit_distance"], F.lit(0.5)), F.coalesce(m["jaccard_similarity"], F.lit(0.5))
-    return table(s, d, "split_examples").select("example_id", F.round(0.5 + 1.5 * (0.6 * e + 0.4 * (1 - j)), 6).alias("weight"), F.round(text.length_ratio(F.col("answer"), F.coalesce("answer_8b", F.lit(""))), 6).alias("length_ratio"))
+    return table(s, d, "split_examples").select("example_id", scoring.difficulty_weight(m["norm_edit_distance"], m["jaccard_similarity"]).alias("weight"), F.round(text.length_ratio(F.col("answer"), F.coalesce("answer_8b", F.lit(""))), 6).alias("length_ratio"))
 
 
 def _think(variant):
@@ -156,14 +155,6 @@ def tool_call_rates(s, d):
     return profile.rates(tool_call_scores(s, d), ["thought", "action", "args", "full"])
 
 
-@query
-def tool_entries(s, d):
-    # instructions made of documents: history before, query after the marks
-    t = F.concat(F.lit("You are a tool.\nPrevious conversation:\n"), F.col("text"), F.lit("\nNew input: "), F.left("text", F.lit(40)), F.lit("\nGPT4Tools needs to use tools. Let's think step by step.\nThought: go on"))
-    e = table(s, d, "documents").where("kind = 'dialogue'").select("doc_id", scoring.parse_tool_entry(t, F.col("source")).alias("e"))
-    return e.select("doc_id", "e.*")
-
-
 @query
 def dialogue_turns(s, d):
     t = table(s, d, "documents").where("kind = 'dialogue'").select("doc_id", F.posexplode(scoring.dialogue_turns(F.col("text"))).alias("turn", "m"))
@@ -482,8 +473,9 @@ def largest_deficit(s, d):
 
 @query
 def valid_prompts(s, d):
-    cats = "knowledge_injection multi_constraint persona behavioral_constraint output_format".split()
-    ok = curate.valid_prompt(F.col("system_prompt"), F.col("domain"), F.col("category"), F.col("complexity"), cats, ["simple", "moderate", "complex"])
+    # a batch was asked for its own category or for personas, in whatever writing
+    asked = F.when(F.pmod("generation_batch", F.lit(2)) == 0, F.concat(F.lit(" "), F.upper("category"))).otherwise("Persona\t")
+    ok = curate.valid_prompt(F.col("system_prompt"), F.col("domain"), F.col("category"), F.col("complexity"), asked, F.when(F.col("complexity") != "simple", F.col("complexity")).otherwise(" Complex "))
     return table(s, d, "system_prompts").select("id", "generation_batch", ok.alias("valid"))
 
 
@@ -571,7 +563,7 @@ def work_items(s, d):
 @query
 def group_members(s, d):
     g = table(s, d, "documents").select("doc_id", F.xxhash64("text").alias("group_id"))
-    return projections.group_members(g, "doc_id").select("doc_id", F.size("members").alias("n"), F.get("members", 0).alias("first"))
+    return projections.group_members(g, "doc_id").select("doc_id", "n", "first")
 
 
 @query
@@ -602,7 +594,7 @@ def positions(s, d):
 
 @query
 def greedy_packing(s, d):
-    return grouping.greedy_pack(table(s, d, "ift_data_pwc"), "item_id", F.col("contextlen"), 1150)
+    return grouping.greedy_pack(table(s, d, "ift_data_pwc"), "item_id", F.col("contextlen"), 1150, shards=1)
 
 
 @query
@@ -654,8 +646,10 @@ def weighted_mean_ppl(s, d):
 
 @query
 def rolling_stats(s, d):
-    r = profile.rolling(table(s, d, "events").select("event_id", "event_type", "value"), ["event_type"], ["event_id"], "value", 50)
-    return r.select("event_id", *[F.round(F.col(f"roll_{c}") + 1e-9, 3).alias(f"roll_{c}") for c in ("mean", "min", "max", "std")])
+    # values as whole ten-thousandths, so that sums are exact in any order
+    e = table(s, d, "events").select("event_id", "event_type", F.round(F.col("value") * 10_000).cast("long").alias("value"))
+    r = profile.rolling(e, ["event_type"], ["event_id"], "value", 50)
+    return r.select("event_id", F.col("roll_n").alias("n"), F.col("roll_sum").cast("long").alias("total"), F.col("roll_min").alias("least"), F.col("roll_max").alias("most"), F.round("roll_mean", 2).alias("mean"), F.round("roll_std", 1).alias("std"))
 
 
 @query
@@ -674,3 +668,8 @@ def event_windows(s, d):
     from ..streaming.resume import late_events
 
     return late_events(table(s, d, "events"))
+
+
+from . import more_queries, recipe_queries  # noqa: E402
+
+QUERIES.update(recipe_queries.QUERIES | more_queries.QUERIES)
