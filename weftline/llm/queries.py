@@ -12,6 +12,10 @@ from . import cross_split, language, leakage, mixing, near_duplicates, packing,
 from .tokens import VOCABULARY, count_tokens
 
 
+#: What the benchmark times.
+HEADLINE = ["p1_found", "p2_found", "p3_found", "p3_assign", "p4_pack", "p5_found", "p6_found", "p7_mix", "p8_found"]
+
+
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
