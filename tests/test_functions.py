@@ -170,3 +170,15 @@ def test_run_checks_and_tally(spark):
     assert (out["m"].total_entries, out["m"].fully_passed, out["m"].passed_checks) == (2, 1, 3) and out["n"].check_pass_rate == 0.5
     none = run_checks(df, "t", []).first()
     assert none.score == 0.0 and none.all_passed
+
+
+def test_tokens(spark):
+    from weftline.functions import tokens
+
+    e = tokens.encoding()
+    for t in ("Grüße, мир! 😀", " a  b\n", "it's 1234"):
+        assert e.decode(e.encode_ordinary(t)) == t
+    df = spark.createDataFrame([(1, ["Hello world", None, ""]), (2, None), (3, [])], "k int, t array<string>")
+    assert sorted((r.k, r.tokens) for r in tokens.count_tokens(df, ["k"], F.col("t")).collect()) == [(1, 2), (2, 0), (3, 0)]
+    ids = tokens.token_ids(spark.createDataFrame([(1, "Hello world"), (2, None), (3, "")], "k int, t string"), ["k"], F.col("t")).collect()
+    assert {r.k: r.ids and e.decode(r.ids) for r in ids} == {1: "Hello world", 2: None, 3: []}

@@ -135,25 +135,30 @@ def edit_distance(a: Column, b: Column) -> Column:
     return _sequence_distance(a, b)
 
 
-def char_trigrams(x: Column) -> Column:
-    """The distinct runs of three characters; a shorter text is its own, an empty one has none. The text is cut into
-    characters once, so the time is linear in its length."""
+def _runs_of_three(x: Column) -> Column:
+    """The runs of three characters, repeated ones too, in linear time: a pattern finds them where each character is one
+    unit of UTF-16, else the text is cut into characters first."""
+
+    def cut(c: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.concat(F.get(c, i - 1), F.get(c, i), F.get(c, i + 1)))
 
-    def runs(c: Column) -> Column:
-        three = lambda i: F.concat(F.get(c, i - 1), F.get(c, i), F.get(c, i + 1))
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - 2), three))
+    one_unit = F.octet_length(F.encode(x, "UTF-16BE")) == 2 * F.length(x)
+    found = F.when(one_unit, F.regexp_extract_all(x, F.lit("(?s)(?=(...))"), F.lit(1))).otherwise(let(F.filter(F.split(x, ""), lambda c: c != ""), cut))
+    return F.when(F.length(x) == 0, F.array().cast("array<string>")).when(F.length(x) < 3, F.array(x)).otherwise(found)
 
-    cut = F.filter(F.split(x, ""), lambda c: c != "")
-    return F.when(F.length(x) == 0, F.array().cast("array<string>")).when(F.length(x) < 3, F.array(x)).otherwise(let(cut, runs))
+
+def char_trigrams(x: Column) -> Column:
+    """The distinct runs of three characters; a shorter text is its own, an empty one has none."""
+    return F.array_distinct(_runs_of_three(x))
 
 
 def trigram_jaccard(a: Column, b: Column) -> Column:
     """The share of trigrams in common; 1 for two empty texts, 0 for one."""
 
     def share(x: Column, y: Column) -> Column:
-        return let(F.size(F.array_intersect(x, y)), lambda both: F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(1.0)).otherwise(both / (F.size(x) + F.size(y) - both)))
+        return F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
-    return let2(char_trigrams(a), char_trigrams(b), share)
+    return let2(_runs_of_three(a), _runs_of_three(b), share)
 
 
 def difficulty_weight(edit: Column, jaccard: Column) -> Column:

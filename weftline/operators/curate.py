@@ -43,22 +43,22 @@ def similarity_filter(pairs: DataFrame, types: DataFrame, edit: float = EDIT, ja
     """(question_id, system_prompt_id, kept, reason, edit_distance, trigram_jaccard, off_topic) of response pairs.
 
     A pair with a blank answer is dropped with null metrics, even off topic; an off-topic pair is kept; a pair is too
-    similar if its edit distance is under and its trigram Jaccard over the thresholds. Metrics have four decimals. Blank
-    pairs take another branch of the plan, so the Arrow function never sees them. ``types`` has (question_id,
-    question_type), of which repeated ones count once, the greatest.
+    similar if its edit distance is under and its trigram Jaccard over the thresholds. Metrics have four decimals. The
+    texts of blank pairs are null before any metric looks at them. ``types`` has (question_id, question_type), of which
+    repeated ones count once, the greatest.
     """
     kinds = types.groupBy("question_id").agg(F.max("question_type").alias("question_type"))
     p = pairs.join(kinds, "question_id", "left").withColumn("off_topic", is_off_topic(F.col("question_id"), F.col("question_type")))
     blank = is_blank(F.col("answer_big")) | is_blank(F.col("answer_small"))
-    out = ["question_id", "system_prompt_id", "kept", "reason", "edit_distance", "trigram_jaccard", "off_topic"]
-    none = F.lit(None).cast("double")
-    empty = p.where(blank).select("question_id", "system_prompt_id", F.lit(False).alias("kept"), F.lit("empty_response").alias("reason"), none.alias("edit_distance"), none.alias("trigram_jaccard"), "off_topic")
-    # few bytes and much work: a number given here keeps small inputs from being merged into one task
-    spread = p.where(~blank).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "question_id")
-    full = spread.withColumn("e", edit_distance(F.col("answer_big"), F.col("answer_small"))).withColumn("j", trigram_jaccard(F.col("answer_big"), F.col("answer_small")))
-    reason = F.when(F.col("off_topic"), "off_topic_preserved").when((F.col("e") < edit) & (F.col("j") > jaccard), "too_similar").otherwise("kept")
-    full = full.withColumn("reason", reason).select("question_id", "system_prompt_id", (F.col("reason") != "too_similar").alias("kept"), "reason", F.round("e", 4).alias("edit_distance"), F.round("j", 4).alias("trigram_jaccard"), "off_topic")
-    return empty.select(*out).unionByName(full.select(*out))
+    texts = p.select("question_id", "system_prompt_id", "off_topic", *[F.when(~blank, F.col(c)).alias(c) for c in ("answer_big", "answer_small")])
+    # the bytes are few and the work per byte is a hundred times that of a shuffle, so tasks are made by rows, not bytes
+    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism)
+    texts = texts.repartition(parts, F.xxhash64("question_id", F.lit(1)))
+    big, small = F.col("answer_big"), F.col("answer_small")
+    m = texts.select("question_id", "system_prompt_id", "off_topic", edit_distance(big, small).alias("e"), trigram_jaccard(big, small).alias("j"))
+    reason = F.when(F.col("e").isNull(), "empty_response").when(F.col("off_topic"), "off_topic_preserved").when((F.col("e") < edit) & (F.col("j") > jaccard), "too_similar").otherwise("kept")
+    out = m.withColumn("reason", reason)
+    return out.select("question_id", "system_prompt_id", F.col("reason").isin("kept", "off_topic_preserved").alias("kept"), "reason", F.round("e", 4).alias("edit_distance"), F.round("j", 4).alias("trigram_jaccard"), "off_topic")
 
 
 def filter_stats(filtered: DataFrame) -> DataFrame:

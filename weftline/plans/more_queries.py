@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import checks, scoring, text
+from ..functions import checks, scoring, text, tokens as bpe
 from ..operators import chat, corpus, curate, grouping, profile, projections
-from .oracle import PAIRS, lines, seeded, sentences, strip, tokens, words
+from .oracle import PAIRS, last, lines, seeded, sentences, strip, tokens, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -322,3 +322,62 @@ def collated_batches(s, d):
     c = chat.collate(e, "batch", "example_id", "ids", F.col("ids"), pad=0)
     used = F.aggregate(F.flatten("mask"), F.lit(0).cast("long"), lambda n, x: n + x)
     return c.select("batch", F.size("ids").cast("long").alias("items"), F.size(F.get("ids", 0)).alias("width"), used.alias("used"), (F.size("ids") * F.size(F.get("ids", 0)) - used).alias("padding"))
+
+
+# --- lengths in tokens, and what depends on the whole order ---
+
+
+@query()
+def token_lengths(s, d):
+    """Tokens of contexts and of templated conversations by a public tokenizer, as packing and gates count them."""
+    i = table(s, d, "ift_data_pwc")
+    both = F.array(F.col("context"), chat.render(F.coalesce("conversations", F.array().cast("array<struct<role:string,content:string>>"))))
+    return bpe.count_tokens(i, ["item_id"], both)
+
+
+@query()
+def token_label_arrays(s, d):
+    """Ids and labels of question and answer in the tokens of a public tokenizer, cut to 128."""
+    e = table(s, d, "split_examples").where("question is not null and answer is not null")
+    q = bpe.token_ids(e, ["example_id"], F.col("question")).withColumnRenamed("ids", "q")
+    a = bpe.token_ids(e, ["example_id"], F.col("answer")).withColumnRenamed("ids", "a")
+    m = q.join(a, "example_id").select("example_id", chat.prefix_labels(F.col("q"), F.col("a"), 128).alias("l"))
+    return m.select("example_id", F.size(F.filter("l.labels", lambda x: x != chat.IGNORE)).alias("learnt"), F.aggregate("l.mask", F.lit(0), lambda n, x: n + x).alias("used"))
+
+
+def _off_topic(x: str) -> str:
+    return f"(coalesce(k.kind = 'off_topic', false) OR coalesce(TRY_CAST(list_last(string_split({x}, '_q')) AS INT) >= 11, false))"
+
+
+_TRI = lambda x: f"CASE WHEN length({x}) = 0 THEN [] WHEN length({x}) < 3 THEN [{x}] ELSE list_distinct(list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3))) END"
+
+
+@query(f"""WITH k AS (SELECT q.id AS question_id, max(coalesce(q.type, 'on_topic')) AS kind FROM (SELECT unnest(questions) AS q FROM questions) GROUP BY 1),
+    p AS (SELECT a.question_id, coalesce(a.answer, '') AS x, coalesce(b.answer, '') AS y, {_off_topic('a.question_id')} AS off_topic
+        FROM {last('responses_32b', 'question_id', 'loaded_at')} a JOIN {last('responses_8b', 'question_id', 'loaded_at')} b ON a.question_id = b.question_id LEFT JOIN k ON k.question_id = a.question_id),
+    t AS (SELECT *, {strip('x')} = '' OR {strip('y')} = '' AS empty, {_TRI('x')} AS tx, {_TRI('y')} AS ty FROM p), j AS (SELECT *, len(list_intersect(tx, ty)) AS b FROM t)
+    SELECT question_id, off_topic, empty, CASE WHEN NOT empty THEN round(b::DOUBLE / (len(tx) + len(ty) - b), 4) END AS trigram_jaccard,
+        CASE WHEN empty THEN false WHEN off_topic OR b::DOUBLE / (len(tx) + len(ty) - b) <= 0.85 THEN true END AS kept FROM j""")
+def similarity_filter_decided(s, d):
+    """What the filter decides without the edit distance; kept is null where that one decides."""
+    p = curate.response_pairs(table(s, d, "responses_32b"), table(s, d, "responses_8b"))
+    f = curate.similarity_filter(p, curate.exploded_questions(table(s, d, "questions")).select("question_id", "question_type"))
+    empty = F.col("reason") == "empty_response"
+    sure = F.when(empty | F.col("off_topic") | (F.col("trigram_jaccard") <= 0.85), F.col("kept"))
+    return f.select("question_id", "off_topic", empty.alias("empty"), "trigram_jaccard", sure.alias("kept"))
+
+
+@query("""WITH RECURSIVE items AS (SELECT row_number() OVER (ORDER BY item_id) AS i, item_id AS pos, (coalesce(contextlen, 0) + 11)::INT AS cost FROM ift_data_pwc),
+    st AS (SELECT 0::BIGINT AS i, list_transform(range(100), lambda k: 1150) AS room, list_transform(range(100), lambda k: -1::BIGINT) AS grp, -1::BIGINT AS g, -1::BIGINT AS closed
+        UNION ALL
+        SELECT i, CASE WHEN cost > 1150 THEN room ELSE list_transform(range(1, 101), lambda k: CASE WHEN k != pick THEN room[k] WHEN fits THEN room[k] - cost ELSE 1150 - cost END) END,
+            CASE WHEN cost > 1150 THEN grp ELSE list_transform(range(1, 101), lambda k: CASE WHEN k = pick AND (NOT fits OR grp[k] < 0) THEN i ELSE grp[k] END) END,
+            CASE WHEN cost > 1150 OR NOT fits OR grp[pick] < 0 THEN i ELSE grp[pick] END, CASE WHEN cost > 1150 THEN i WHEN NOT fits THEN grp[pick] ELSE -1 END
+        FROM (SELECT t.i, room, grp, cost, list_max(room) >= cost AS fits, CASE WHEN list_max(room) >= cost THEN list_position(list_transform(room, lambda r: r >= cost), true) ELSE list_position(room, list_min(room)) END AS pick
+            FROM st JOIN items t ON t.i = st.i + 1)),
+    ends AS (SELECT i, grp FROM st ORDER BY i DESC LIMIT 1),
+    closes AS (SELECT closed AS g, i AS pick FROM st WHERE closed > 0 UNION ALL SELECT grp[k], i + k FROM (SELECT i, grp, unnest(range(1, 101)) AS k FROM ends) WHERE grp[k] > 0),
+    bins AS (SELECT g, row_number() OVER (ORDER BY pick) - 1 AS bin FROM closes)
+    SELECT 0 AS shard, bin::INT AS bin, (row_number() OVER (PARTITION BY bins.g ORDER BY t.pos) - 1)::INT AS slot, t.pos, t.cost FROM items t JOIN st ON st.i = t.i JOIN bins ON bins.g = st.g""")
+def greedy_packing(s, d):
+    return grouping.greedy_pack(table(s, d, "ift_data_pwc"), "item_id", F.col("contextlen"), 1150, shards=1)

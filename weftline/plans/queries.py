@@ -592,11 +592,6 @@ def positions(s, d):
 # --- packing and grouping ---
 
 
-@query
-def greedy_packing(s, d):
-    return grouping.greedy_pack(table(s, d, "ift_data_pwc"), "item_id", F.col("contextlen"), 1150, shards=1)
-
-
 @query
 def greedy_packing_sharded(s, d):
     b = grouping.greedy_pack(table(s, d, "documents"), "doc_id", text.approx_tokens(F.col("text")), 4096, shards=8)
