@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import language, mixing, packing
-from weftline.llm.tokens import VOCABULARY, count_tokens, encoding
+from weftline.functions.tokens import VOCABULARY, count_tokens, encoding
 
 
 def check_packed(rows, sizes, capacity):

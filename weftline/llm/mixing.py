@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..session import materialize
-from .tokens import VOCABULARY, count_tokens
+from ..functions.tokens import VOCABULARY, count_tokens
 
 BLOCK_ROWS = 2000
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import cross_split, language, leakage, mixing, near_duplicates, packing, pair_defects, splits
-from .tokens import VOCABULARY, count_tokens
+from ..functions.tokens import VOCABULARY, count_tokens
 
 
 #: What the benchmark times.
