@@ -55,8 +55,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_prompts(_table(spark, d, "split_examples"), _table(spark, d, "system_prompts"))
 
 
-#: What ties rows together beside the prompts they name.
-TIED = ("context",)
+#: Columns that tie rows together beside the prompts they name. Contexts would: but those of the largest prompt also
+#: stand under many others, and with all of them in one component its category couldn't keep its shares.
+TIED: tuple[str, ...] = ()
 
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
@@ -140,8 +141,40 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d).select("doc_id", F.posexplode("passages").alias("passage", "x")).select("doc_id", "passage", "x.*")
 
 
+# --- what must hold of the choices, in a form that SQL can say ---
+
+
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """(rows, torn, off): rows assigned, prompts in more than one split, splits over two points off their share."""
+    rows = p3_assign(spark, d).join(_table(spark, d, "split_targets"), "split", "left")
+    torn = rows.where("system_prompt_id is not null").groupBy("system_prompt_id").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("torn"))
+    per = rows.groupBy("split").agg(F.count("*").alias("n"), F.first("target_share").alias("want"))
+    all_ = per.agg(F.sum("n").alias("rows"), F.collect_list(F.struct("n", "want")).alias("s"))  # a row a split
+    off = F.size(F.filter("s", lambda x: F.abs(x["n"] / F.col("rows") - F.coalesce(x["want"], F.lit(9.0))) > 0.02))
+    return all_.join(F.broadcast(torn)).select("rows", "torn", off.alias("off"))
+
+
+def p4_kept(spark: SparkSession, d: str) -> DataFrame:
+    """(items, overfull, cut, torn): items packed, containers over the capacity, items in pieces that would fit as one,
+    and items whose pieces don't follow one another."""
+    packed = materialize(_packed(spark, d), "kept")
+    full = packed.groupBy("container").agg(F.sum("tokens").alias("n"), F.max("fill").alias("fill")).agg(F.count_if((F.col("n") > packing.CAPACITY) | (F.col("n") != F.col("fill"))).alias("overfull"))
+    items = packed.groupBy("id", "length").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.max("start").alias("last"))
+    items = items.agg(
+        F.count("*").alias("items"), F.count_if((F.col("pieces") > 1) & (F.col("length") <= packing.CAPACITY)).alias("cut"), F.count_if((F.col("tokens") != F.col("length")) | (F.col("last") != (F.col("pieces") - 1) * packing.CAPACITY)).alias("torn")
+    )
+    return items.join(F.broadcast(full)).select("items", "overfull", "cut", "torn")
+
+
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """(source, max_repeats, over): of each source of the targets, the rows used more often than they may be."""
+    targets = _table(spark, d, "mix_targets").select("source", "max_repeats")
+    over = p7_mix(spark, d).select("source", "repeats").join(targets, "source").groupBy("source").agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("over"))
+    return targets.join(over, "source", "left").select("source", "max_repeats", F.coalesce("over", F.lit(0)).alias("over"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_all_defects, p2_found, p2_coverage, p2_report, p3_found, p3_assign, p3_prompts, p4_pack, p4_fill, p5_found, p5_groups, p6_found, p6_items, p7_mix, p7_shares, p7_temperature, p8_found, p8_languages, p8_passages]
+    found = [p1_found, p1_all_defects, p2_found, p2_coverage, p2_report, p3_found, p3_assign, p3_prompts, p3_kept, p4_pack, p4_fill, p4_kept, p5_found, p5_groups, p6_found, p6_items, p7_mix, p7_shares, p7_temperature, p7_kept, p8_found, p8_languages, p8_passages]
     return {f.__name__: f for f in found}
 
 
@@ -154,6 +187,9 @@ _PROMPT = f"coalesce(nullif({_CANON.format('system_prompt_id')}, ''), nullif({_C
 def oracle_sql() -> dict[str, str]:
     """Only what SQL can say on whole tables; the others are tested against brute force in tests/llm."""
     return {
+        "p3_kept": "SELECT count(*) AS rows, 0 AS torn, 0 AS off FROM split_examples",
+        "p4_kept": "SELECT count(DISTINCT item_id) AS items, 0 AS overfull, 0 AS cut, 0 AS torn FROM ift_data_pwc",
+        "p7_kept": "SELECT source, max_repeats, 0 AS over FROM mix_targets",
         "p3_found": f"""
             WITH rows AS (SELECT {_PROMPT} AS canonical, lower(trim(split)) AS side FROM split_examples),
             broken AS (SELECT canonical FROM rows WHERE canonical IS NOT NULL GROUP BY canonical HAVING count(DISTINCT side) > 1)

@@ -1,7 +1,7 @@
 """Splits that keep related records together: hash-to-min components, weighted rendezvous hashing.
 
 Records are related if they share a key: the prompt they name, the prompt their question belongs to, and whatever other
-columns are given (in the query, the context). A record's keys, in canonical form, are linked with each other, so a
+columns are given. A record's keys, in canonical form, are linked with each other, so a
 component holds all records of one author, source or entity, also where two of them are tied by one record only.
 
 Each component then gets the split of highest weight / -ln(h), h a hash of component and split in (0, 1): rendezvous
