@@ -287,3 +287,15 @@ def test_resumable_stream(spark, tmp_path):
     jsonl.write_jsonl(spark.createDataFrame([("b", 9), ("c", 3)], "k string, v int"), src, append=True)
     append_stream(spark, src, "k string, v int", step, out, ck, "k").awaitTermination()
     assert rows(spark.read.parquet(out).select("k", "w")) == [("a", 2), ("b", 4), ("c", 6)]
+
+
+def test_quantiles_against_percentile(spark):
+    rng = random.Random(5)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, float("nan"), rng.randint(0, 5) / 2, rng.random()])) for _ in range(400)] + [("c", None), ("d", 7.5)]
+    df = spark.createDataFrame(data, "g string, x double").repartition(5)
+    got = {r.g: (r.n, round(r.p, 9), round(r.q, 9), r.z, r.o) for r in profile.quantiles(df, ["g"], F.col("x"), {"p": 0.5, "q": 0.13, "z": 0.0, "o": 1.0}).collect()}
+    want = df.where("x is not null and not isnan(x)").groupBy("g").agg(F.count("x").alias("n"), F.percentile("x", 0.5).alias("p"), F.percentile("x", 0.13).alias("q"), F.min("x").alias("z"), F.max("x").alias("o"))
+    assert got == {r.g: (r.n, round(r.p, 9), round(r.q, 9), r.z, r.o) for r in want.collect()} and "c" not in got
+    stats = {r.g: r for r in profile.stat_table(df, ["g"], F.col("x")).collect()}
+    assert stats["c"].n == 0 and stats["c"].median is None and stats["d"].p90 == 7.5 and stats[None].n == got[None][0]
+    assert profile.quantiles(df.limit(0), ["g"], F.col("x"), {"p": 0.5}).count() == 0

@@ -70,7 +70,8 @@ def grouped_by_text(df: DataFrame, context: str, question: str, answer: str, pos
     seed; contexts are grouped by their hash, null ones left out, and a sentinel answer drops its turn, so a context
     that loses all turns has no row.
 
-    A group's pairs are one value, as in any nested table; the hash keeps the shuffle key small.
+    A group's pairs are one value, as in any nested table; the hash keeps the shuffle key small. ``grouped_parts`` is
+    for contexts with more turns than one value should hold.
     """
     text = strip(F.col(context)) if trim else F.col(context)
     rows = df.select(text.alias("context"), F.col(question).alias("question"), F.col(answer).alias("answer"), F.col(pos).alias("pos")).where("context is not null")
@@ -82,6 +83,19 @@ def grouped_by_text(df: DataFrame, context: str, question: str, answer: str, pos
     return g.drop("h")
 
 
+def grouped_parts(df: DataFrame, context: str, question: str, answer: str, pos: str, size: int = 1000) -> DataFrame:
+    """(h, part, pairs): the same groups in parts of at most ``size`` pairs, for contexts that have very many.
+
+    h is the hash of the stripped context; parts are numbered in the order of ``pos``, which must be unique, not from 0 and
+    not without gaps. Rows are range-partitioned by context and place, so a context with a third of all rows is spread
+    over tasks like any others. Runs a job when called.
+    """
+    rows = df.select(F.sha2(strip(F.col(context)), 256).alias("h"), F.col(pos).alias("pos"), F.struct(F.col(question).alias("question"), F.col(answer).alias("answer")).alias("pair")).where("h is not null")
+    placed = ranked(rows, F.struct("h", "pos"), "place")
+    g = placed.groupBy("h", F.floor(F.col("place") / size).alias("part")).agg(F.array_sort(F.collect_list(F.struct("pos", "pair"))).alias("x"))
+    return g.select("h", "part", F.transform("x", lambda x: x["pair"]).alias("pairs"))
+
+
 def words_of_pairs(pairs: Column) -> Column:
     """How many words questions and answers have together."""
     return F.aggregate(pairs, F.lit(0), lambda n, p: n + word_count(p["question"]) + word_count(p["answer"]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .relations import ranked
+from .relations import ranked, running
 
 
 def finite(x: Column) -> Column:
@@ -21,6 +21,38 @@ def stat_pack(x: Column, digits: int | None = None) -> list[Column]:
     return [F.count(v).alias("n"), *[(F.round(c, digits) if digits is not None else c).alias(k) for k, c in cols.items()]]
 
 
+def quantiles(df: DataFrame, by: list[str], x: Column, probs: dict[str, float]) -> DataFrame:
+    """(*by, n, one column for each of ``probs``): exact, interpolated quantiles of finite numbers, as ``percentile``
+    gives them, without a table of all values of a group in one task.
+
+    Equal values are counted first; running totals over the range-partitioned values give each one its ranks, and only
+    the values at the wanted ranks are kept. Groups without any number have no row. Null is a group.
+    """
+    v = finite(x.cast("double"))
+    counted = df.select(*by, v.alias("_x")).where("_x is not null").groupBy(*by, "_x").agg(F.count("*").alias("_c"))
+    total = running(counted, F.struct(*by, "_x"), F.col("_c"), "_to").withColumn("_from", F.col("_to") - F.col("_c"))
+    groups = total.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.min("_from").alias("_start"), F.sum("_c").alias("n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+    at = total.join(groups, same, "inner").select(*by, "_x", (F.col("_from") - F.col("_start")).alias("_lo"), (F.col("_to") - F.col("_start")).alias("_hi"), "n")
+    aggs = [F.max("n").alias("n")]
+    for name, p in probs.items():
+        rank = F.lit(p) * (F.col("n") - 1)
+        held = lambda r: F.max(F.when((F.col("_lo") <= r) & (r < F.col("_hi")), F.col("_x")))
+        low, high = held(F.floor(rank)), held(F.ceil(rank))
+        share = F.max(rank - F.floor(rank))
+        aggs.append(((1 - share) * low + share * high).alias(name))
+    return at.groupBy(*by).agg(*aggs)
+
+
+def stat_table(df: DataFrame, by: list[str], x: Column, digits: int = 6) -> DataFrame:
+    """The statistic pack of ``stat_pack`` by groups, with quantiles that no single task has to hold the values for."""
+    v = finite(x.cast("double"))
+    plain = df.groupBy(*by).agg(F.count(v).alias("n"), F.round(F.avg(v), digits).alias("mean"), F.round(F.stddev_pop(v), digits).alias("std"))
+    q = quantiles(df, by, x, {"median": 0.5, "p10": 0.1, "p90": 0.9}).drop("n")
+    q = q.select(*[F.col(c).alias(f"_{c}") for c in by], *[F.round(c, digits).alias(c) for c in ("median", "p10", "p90")])
+    return plain.join(q, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").drop(*[f"_{c}" for c in by])
+
+
 def profile(df: DataFrame, by: str, lengths: list[str], digits: int = 6) -> DataFrame:
     """Per value of ``by`` and in all (null, ``total`` true): n and mean, median, min and max of each length."""
     aggs = [F.count("*").alias("n")]

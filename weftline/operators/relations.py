@@ -28,6 +28,16 @@ def ranked(df: DataFrame, order: Column, name: str) -> DataFrame:
     return keyed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).drop("_k", "_i", "_part", "_before")
 
 
+def running(df: DataFrame, order: Column, value: Column, name: str) -> DataFrame:
+    """``df`` with the running total of a number in an order of unique values, the row's own included: as ``ranked``, a
+    range partitioning, totals within partitions, and the sums of those before."""
+    keyed = materialize(df.withColumn("_k", order).withColumn("_v", value).repartitionByRange("_k").withColumn("_part", F.spark_partition_id()), "running")
+    sizes = keyed.groupBy("_part").agg(F.sum("_v").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row a partition
+    within = F.sum("_v").over(W.partitionBy("_part").orderBy("_k").rowsBetween(W.unboundedPreceding, 0))
+    return keyed.withColumn("_s", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_s")).drop("_k", "_v", "_s", "_part", "_before")
+
+
 def last_wins(df: DataFrame, keys: list[str], pos: Column) -> DataFrame:
     """The row of highest ``pos`` for each key, the rest left out. Pre-aggregates before the shuffle, so a hot key
     costs no more than others; of equal positions any one row stays. Rows whose keys are null count as one key."""

@@ -381,3 +381,12 @@ def similarity_filter_decided(s, d):
     SELECT 0 AS shard, bin::INT AS bin, (row_number() OVER (PARTITION BY bins.g ORDER BY t.pos) - 1)::INT AS slot, t.pos, t.cost FROM items t JOIN st ON st.i = t.i JOIN bins ON bins.g = st.g""")
 def greedy_packing(s, d):
     return grouping.greedy_pack(table(s, d, "ift_data_pwc"), "item_id", F.col("contextlen"), 1150, shards=1)
+
+
+@query(f"""SELECT sha256({strip('context')}) AS context, count(*) AS turns, md5(string_agg(md5(coalesce(question, '')), '' ORDER BY example_id)) AS digest FROM split_examples WHERE context IS NOT NULL GROUP BY {strip('context')}""")
+def grouped_question_parts(s, d):
+    """Turns of a context in bounded parts; put together here only to compare them, by a digest for each turn."""
+    p = corpus.grouped_parts(table(s, d, "split_examples"), "context", "question", "answer", "example_id", 50)
+    each = p.select("h", "part", F.size("pairs").alias("n"), F.array_join(F.transform("pairs", lambda x: F.md5(F.coalesce(x["question"], F.lit("")))), "").alias("t"))
+    g = each.groupBy("h").agg(F.sum("n").alias("turns"), F.array_sort(F.collect_list(F.struct("part", "t"))).alias("x"))
+    return g.select(F.col("h").alias("context"), "turns", F.md5(F.array_join(F.transform("x", lambda x: x["t"]), "")).alias("digest"))

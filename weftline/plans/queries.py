@@ -630,7 +630,7 @@ def length_histogram(s, d):
 
 @query
 def value_stats(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(*profile.stat_pack(F.col("value"), 6))
+    return profile.stat_table(table(s, d, "events"), ["event_type"], F.col("value"))
 
 
 @query
