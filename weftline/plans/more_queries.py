@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, scoring, text, tokens as bpe
 from ..operators import chat, corpus, curate, grouping, profile, projections
+from . import oracle
 from .oracle import PAIRS, last, lines, seeded, sentences, strip, tokens, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,6 +148,30 @@ def rhyming_ends(s, d):
     return e.select("example_id", text.rhymes(last_word(F.col("question")), last_word(F.col("answer"))).alias("rhymes"))
 
 
+def _default_checks() -> dict[str, str]:
+    """All checks with their default parameters, over texts that are no JSON and have no time stamps."""
+    li, paras = lines("a"), f"list_filter(list_transform(string_split(a, '{checks.SEPARATOR}'), lambda p: {strip('p')}), lambda p: p != '')"
+    sql = {**oracle._more_checks(), **oracle._checks(), **_check_sql("a")}
+    sql |= {c: "true" for c in ("contains_string", "not_contains_string", "starts_with", "ends_with")}
+    sql |= {c: "false" for c in ("simple_vocabulary", "has_exact_keys", "key_facts_length", "related_topics_length", "confidence_is_float_in_range", "timestamps_sequential")}
+    sql |= {
+        "min_pirate_terms": sql["min_pirate_terms"].replace(">= 1", ">= 5"), "exactly_n_lines": f"len({li}) = 9", "acrostic_spells": f"len({li}) = 0", "exactly_n_paragraphs_with_separator": f"len({paras}) = 5",
+        "each_paragraph_n_sentences": f"len(list_filter({paras}, lambda p: len({sentences('p')}) != 3)) = 0", "paragraph_starts_spell": f"array_to_string(list_transform({paras}, lambda p: upper(p[1])), '') = 'FSTFF'",
+    }
+    return {c: sql[c] for c in checks.CHECKS}
+
+
+_ALL = _default_checks()
+
+
+@query(f"""WITH c AS (SELECT {', '.join(f'coalesce({v}, false) AS {k}' for k, v in _ALL.items())} FROM (SELECT coalesce(answer, '') AS a FROM split_examples)),
+    u AS (UNPIVOT c ON {', '.join(_ALL)} INTO NAME name VALUE passed) SELECT name, count(*) AS n, count_if(passed) AS passed FROM u GROUP BY 1""")
+def rule_checks_all(s, d):
+    e = table(s, d, "split_examples").select(F.coalesce("answer", F.lit("")).alias("a"))
+    per = e.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), checks.check_column(n, F.col("a")).alias("passed")) for n in checks.CHECKS])).alias("c"))
+    return per.groupBy("c.name").agg(F.count("*").alias("n"), F.count_if("c.passed").alias("passed"))
+
+
 # --- answers and prompts ---
 
 

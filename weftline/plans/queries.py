@@ -198,13 +198,6 @@ def rule_checks_summary(s, d):
     return checks.tally(r, "method").withColumn("entry_pass_rate", F.round("entry_pass_rate", 6)).withColumn("check_pass_rate", F.round("check_pass_rate", 6))
 
 
-@query
-def rule_checks_all(s, d):
-    e = table(s, d, "split_examples").select("example_id", F.coalesce("answer", F.lit("")).alias("a"))
-    per = e.select("example_id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), checks.check_column(n, F.col("a")).alias("passed")) for n in checks.CHECKS])).alias("c"))
-    return per.groupBy("c.name").agg(F.count("*").alias("n"), F.count_if("c.passed").alias("passed"))
-
-
 @query
 def rule_checks_in_rows(s, d):
     e = table(s, d, "split_examples").select("example_id", "answer", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(json.dumps(p, sort_keys=True)).alias("params")) for n, p in [*CHECK_SET[:6], ("no_such_check", {})]])).alias("c"))
