@@ -48,6 +48,7 @@ def sketch(elements: list[np.ndarray], t: int) -> np.ndarray:
     flat = np.concatenate(elements).astype(np.uint64)
     row = np.repeat(np.arange(n), [len(e) for e in elements])
     out = np.full(n * t, np.uint64(0xFFFFFFFFFFFFFFFF))
+    open_ = np.arange(n)  # sets with coordinates to fill
     for i in range(2 * t):
         h = mix(flat + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         slot = ((h >> np.uint64(32)) * np.uint64(t) >> np.uint64(32)).astype(np.int64) if i < t else np.full(len(h), i - t)
@@ -55,12 +56,15 @@ def sketch(elements: list[np.ndarray], t: int) -> np.ndarray:
         empty = out[at] >> np.uint64(32) >= np.uint64(i)  # earlier rounds have lower values
         at, value = at[empty], (np.uint64(i) << np.uint64(32)) | (h[empty] & np.uint64(0xFFFFFFFF))
         np.minimum.at(out, at, value)
-        free = (out.reshape(n, t) == np.uint64(0xFFFFFFFFFFFFFFFF)).any(1)
-        if not free.all():
+        some = (out.reshape(n, t)[open_] == np.uint64(0xFFFFFFFFFFFFFFFF)).any(1)
+        if not some.all():
+            open_ = open_[some]
+            if not len(open_):
+                break
+            free = np.zeros(n, bool)
+            free[open_] = True
             live = free[row]
             flat, row = flat[live], row[live]
-            if not len(flat):
-                break
     return out.reshape(n, t)
 
 
