@@ -34,16 +34,16 @@ def canonical_label(column: Column) -> Column:
 
 
 def related(records: DataFrame, keys: Column) -> DataFrame:
-    """Rows (key, component) of every key: records are related if they share one, directly or through others.
+    """Rows (key, component) of keys that some record ties to another key: records are related if they share a key,
+    directly or through others. A key that isn't here stands alone and is a component of its own.
 
     ``keys`` is an array of a record's keys, as text, nulls left out. A record's first key is linked with each other
-    one; keys that stand alone in all their records need no round of ``hash_to_min`` and are components of their own.
-    A record without any key is related to none. Repeated rows count once.
+    one; keys that stand alone in all their records need no round of ``hash_to_min``. A record without any key is
+    related to none. Repeated rows count once.
     """
-    rows = records.select(F.array_distinct(F.array_compact(keys)).alias("k")).where("size(k) > 0").distinct()
-    links = rows.where("size(k) > 1").select(F.get("k", 0).alias("a"), F.explode(F.slice("k", F.lit(2), F.size("k") - 1)).alias("b")).distinct()
-    found = hash_to_min(links).toDF("key", "component")
-    return rows.select(F.explode("k").alias("key")).distinct().join(found, "key", "left").select("key", F.coalesce("component", "key").alias("component"))
+    rows = records.select(F.array_distinct(F.array_compact(keys)).alias("k")).where("size(k) > 1")
+    links = rows.select(F.get("k", 0).alias("a"), F.explode(F.slice("k", F.lit(2), F.size("k") - 1)).alias("b")).distinct()
+    return hash_to_min(links).toDF("key", "component")
 
 
 def prompt_keys(id_column: str = "system_prompt_id", question_id: str = "question_id", also: tuple[str, ...] = ()) -> Column:
@@ -62,7 +62,7 @@ def key_components(examples: DataFrame, keys: Column, by: tuple[str, ...] = ())
     named = materialize(named.groupBy("k", *by).agg(F.count("*").alias("n")), "named")
     found = related(named, F.col("k"))
     per = named.select(F.get("k", 0).alias("key"), *by, "n").groupBy("key", *by).agg(F.sum("n").alias("n"))
-    return per.join(found, "key", "left")
+    return per.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
 def split_prompts(examples: DataFrame, prompts: DataFrame, id_column: str = "system_prompt_id", question_id: str = "question_id", split: str = "split", prompt_id: str = "id") -> DataFrame:
@@ -79,8 +79,10 @@ def split_prompts(examples: DataFrame, prompts: DataFrame, id_column: str = "sys
     parts = materialize(key_components(rows, prompt_keys("raw", "qid"), ("side", "spelling")).where("component is not null and side != ''"), "parts")
     torn = parts.groupBy("component").agg(F.min("side").alias("least"), F.max("side").alias("most")).where("least < most").select("component")
     broken = parts.join(torn, "component", "left_semi").groupBy("key").agg(F.min("side").alias("least"), F.max("side").alias("most"), F.min("spelling").alias("spelling")).where("least < most")
-    broken = broken.select(F.substring("key", 3, 1 << 30).alias("canonical"), "spelling")
-    return broken.join(written_ids(prompts, prompt_id), "canonical", "left").select(F.coalesce("as_written", "spelling").alias("system_prompt_id"))
+    broken = materialize(broken.select(F.substring("key", 3, 1 << 30).alias("canonical"), "spelling"), "broken")
+    # of all prompts only these are grouped and joined
+    named = prompts.withColumn("canonical", canonical_id(F.col(prompt_id))).join(broken.select("canonical"), "canonical", "left_semi")
+    return broken.join(written_ids(named, prompt_id), "canonical", "left").select(F.coalesce("as_written", "spelling").alias("system_prompt_id"))
 
 
 def written_ids(prompts: DataFrame, prompt_id: str = "id") -> DataFrame:
